@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.media import media_digest
+from lodestar.llm.mixing import mix_table
+from lodestar.llm.packing import pack_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,18 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
+    "op7_packing": op7_packing,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE: dict[str, str] = {}
