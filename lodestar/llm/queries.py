@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, lines, rules
+from lodestar.llm import chat, licenses, lines, rules
 from lodestar.llm.media import media_digest
 from lodestar.llm.mixing import mix_table
 from lodestar.llm.packing import pack_documents
@@ -40,6 +40,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op4_chat_formatting": op4_chat_formatting,
@@ -47,10 +51,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
+    "op9_license_scans": op9_license_scans,
 }
 
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op5_quality_rules": rules.ORACLE_SQL,
     "op6_line_dedup": lines.ORACLE_SQL,
+    "op9_license_scans": licenses.oracle_sql(),
 }
