@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestar.llm import chat, licenses, lines, rules
 from lodestar.llm.media import media_digest
 from lodestar.llm.mixing import mix_table
+from lodestar.llm.neardup import near_dup_table
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import quality_table
 
@@ -25,6 +26,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_table(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -52,6 +57,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_media_columns": op2_media_columns,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
