@@ -12,6 +12,7 @@ from lodestar.llm.mixing import mix_table
 from lodestar.llm.neardup import near_dup_table
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import quality_table
+from lodestar.llm.suffixes import repeat_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_table(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_media_columns": op2_media_columns,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_license_scans": op9_license_scans,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE: dict[str, str] = {
