@@ -112,7 +112,7 @@ def ligatures_joined(text: Column, table: Mapping[str, str] = LIGATURES) -> tupl
 
 def joined_lines(lines: Column) -> Column:
     """Lines of a paragraph as one; a line that ends in a hyphen takes the next without a blank."""
-    trimmed = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     glue = lambda out, x: F.when((out == "") | out.endswith("-"), F.concat(out, x)).otherwise(F.concat(out, F.lit(" "), x))
     return squeeze(F.aggregate(trimmed, F.lit(""), glue))
 
