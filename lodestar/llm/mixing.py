@@ -137,11 +137,13 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     extra = stored(lengths.groupBy("mix_source").applyInPandas(fit, "mix_source string, mix_size long, extra long"), "mix-extra")
     # the bucket that holds the last document to take, then its hash in there
     by_bucket = W.partitionBy("mix_source", "mix_size").orderBy("mix_bucket")
-    cut = (
+    # written, so that the next join is dealt by bucket too and not by length alone
+    cut = stored(
         counts.join(extra.filter("extra > 0"), ["mix_source", "mix_size"])
         .withColumn("before", F.sum("n").over(by_bucket) - F.col("n"))
         .filter("before < extra and before + n >= extra")
-        .select("mix_source", "mix_size", "mix_bucket", (F.col("extra") - F.col("before")).alias("wanted"))
+        .select("mix_source", "mix_size", "mix_bucket", (F.col("extra") - F.col("before")).alias("wanted")),
+        "mix-cut",
     )
     inside = rows.select("mix_source", "mix_size", "mix_hash", bucket.alias("mix_bucket")).join(cut, ["mix_source", "mix_size", "mix_bucket"])
     per_hash = inside.groupBy("mix_source", "mix_size", "mix_hash", "wanted").agg(F.count("*").alias("n"))
@@ -152,7 +154,8 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
         .select("mix_source", "mix_size", F.col("mix_hash").alias("bound"), (F.col("wanted") - F.col("before")).alias("at_bound"))
     )
     sizes = extra.select("mix_source", "mix_size").join(F.broadcast(sources.drop("budget")), "mix_source")
-    return sizes.join(bound, ["mix_source", "mix_size"], "left")
+    # written, so that a join with it may split a large length
+    return stored(sizes.join(bound, ["mix_source", "mix_size"], "left"), "mix-plan")
 
 
 def _unsigned(hash_column: str) -> Column:
@@ -163,10 +166,11 @@ def _unsigned(hash_column: str) -> Column:
 def mix_table(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20) -> DataFrame:
     """Per document: its size, its source's size and target, and the words taken of it."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    rows = stored(_keyed(narrow, seed).drop("text", "source"), "mix-rows")
+    # rows of one hash are numbered before the join, which then may split a large length
+    same = W.partitionBy("mix_hash", "mix_source", "mix_size").orderBy("doc_id")
+    rows = stored(_keyed(narrow, seed).drop("text", "source").withColumn("mix_number", F.row_number().over(same)), "mix-rows")
     planned = rows.join(plan_mix(rows, weights, most), ["mix_source", "mix_size"])
-    same = W.partitionBy("mix_source", "mix_size", "mix_hash").orderBy("doc_id")
-    extra = F.when(_unsigned("mix_hash") < _unsigned("bound"), 1).when((F.col("mix_hash") == F.col("bound")) & (F.row_number().over(same) <= F.col("at_bound")), 1).otherwise(0)
+    extra = F.when(_unsigned("mix_hash") < _unsigned("bound"), 1).when((F.col("mix_hash") == F.col("bound")) & (F.col("mix_number") <= F.col("at_bound")), 1).otherwise(0)
     return planned.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * (F.col("repeats") + extra)).cast("long").alias("taken"))
 
 
