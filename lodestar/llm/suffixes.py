@@ -182,6 +182,7 @@ def _sorted_repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _compared(slices: DataFrame) -> DataFrame:
     """(doc_key, text_key, lo, hi): strings of ``alone`` runs that stand elsewhere too."""
     counts = slices.groupBy("suffix_bucket").agg(F.count("*").alias("n_runs"), F.max("alone").alias("any_alone")).filter("n_runs > 1 and any_alone").drop("any_alone")
+    counts = stored(counts, "suffix-counts")
     open_ones = stored(slices.join(counts, "suffix_bucket"), "suffix-open")
     schema = "doc_key long, text_key int, lo int, hi int"
 
@@ -227,12 +228,13 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc_key, text_key, starts): where repeated strings start, as (lo, hi) ranges of each document."""
     texts = _keyed(docs)
     runs = stored(_anchored(texts), "suffix-runs")
-    shared = runs.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    # written, so that the join may split a bucket that many runs share
+    shared = stored(runs.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "suffix-buckets")
     kept = stored(runs.join(shared, "bucket"), "suffix-shared")
-    dropped(runs)
+    dropped(runs, shared)
     hulls = kept.groupBy("bucket", "hull").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "lo", "hi", "anchor")).alias("one"))
     hulls = stored(hulls, "suffix-hulls")
-    mixed = hulls.groupBy("bucket").agg(F.count("*").alias("hulls")).filter("hulls > 1").select("bucket")
+    mixed = stored(hulls.groupBy("bucket").agg(F.count("*").alias("hulls")).filter("hulls > 1").select("bucket"), "suffix-mixed")
     wanted = hulls.join(mixed, "bucket").select("bucket", (F.col("n") == 1).alias("alone"), "one.*")
     slices = stored(_slices(texts, wanted), "suffix-slices")
     single = stored(_compared(slices), "suffix-single")
@@ -240,7 +242,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     whole = kept.join(hulls.filter("n > 1").select("bucket", "hull"), ["bucket", "hull"]).select(*KEYS, "lo", "hi")
     ranges = whole.union(single).groupBy(*KEYS, "lo").agg(F.max("hi").alias("hi"))
     starts = stored(ranges.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("starts")), "suffix-starts")
-    dropped(kept, hulls, single)
+    dropped(kept, hulls, mixed, single)
     return starts
 
 
