@@ -162,6 +162,7 @@ def rest_links(members: DataFrame, labels: DataFrame, texts: DataFrame, width: i
     """Links inside buckets whose stars left several components."""
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    open_keys = stored(open_keys, "near-open-keys")
     left = stored(labelled.join(open_keys, "band", "left_semi"), "near-open")
     clusters = components(left.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-clusters").withColumnRenamed("component", "cluster")
     held = stored(left.select("node", "component").distinct().join(clusters, "node"), "near-held")
@@ -185,10 +186,12 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(sketches, node -> component for all nodes that are linked)."""
     sketches = stored(sketch(docs, width), "near-sketches")
     nodes = sketches.filter("n_shingles > 0 and doc_id is not null")
-    equal = nodes.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
+    # written, as are the centres, so that joins with them may split large groups
+    equal = stored(nodes.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "near-equal")
     alone = nodes.join(equal, ["set_a", "set_b"]).filter("doc_id = node").select("node", "bands").dropDuplicates(["node"])
     banded = alone.select("node", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "centre")
+    centres = stored(centres, "near-centres")
     members = stored(banded.join(centres, "band"), "near-members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi"), "near-texts")
