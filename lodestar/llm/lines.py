@@ -45,28 +45,35 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return guessed.filter(F.col("sites") > min_sites * (1 + NEAR)).select("line").union(exact.filter(F.col("sites") >= min_sites).select("line"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with the cleaned text, and ``n_lines``, ``n_removed`` of each document."""
+def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
+    """``line_row`` (the row as it was), the cleaned ``text``, ``n_lines`` and ``n_removed``."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _worded), _line_hash))
     lines = stored(docs.select(key.alias("line_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(hashes).alias("line")), "lines")
     spread = stored(boilerplate_lines(lines, min_sites), "boilerplate")
-    marked = lines.join(spread, "line").groupBy("line_key").agg(F.collect_set("line").alias("line_bad"))
-    marked = docs.withColumn("line_key", key).join(marked, "line_key", "left")
+    marked = stored(lines.join(spread, "line").groupBy("line_key").agg(F.collect_set("line").alias("line_bad")), "lines-marked")
+    packed = docs.select(F.struct(*docs.columns).alias("line_row"), key.alias("line_key")).join(marked, "line_key", "left")
     is_bad = lambda x: F.array_contains("line_bad", _line_hash(x)) & _worded(x)
-    split = marked.withColumn("line_all", F.split("text", "\n")).withColumn("line_kept", F.when(F.col("line_bad").isNotNull(), F.filter("line_all", lambda x: ~is_bad(x))))
-    lost = F.length("text") - F.length(F.array_join("line_kept", "\n"))
-    split = split.withColumn("line_cut", F.coalesce(lost <= MOST_LOST * F.length("text"), F.lit(False)))
-    n_all = F.coalesce(F.size("line_all"), F.lit(0))
+    text = F.col("line_row")["text"].cast("string")
+    split = packed.withColumn("line_all", F.split(text, "\n")).withColumn("line_kept", F.when(F.col("line_bad").isNotNull(), F.filter("line_all", lambda x: ~is_bad(x))))
+    lost = F.length(text) - F.length(F.array_join("line_kept", "\n"))
+    split = split.withColumn("line_cut", F.coalesce(lost <= MOST_LOST * F.length(text), F.lit(False)))
     return split.select(
-        *(F.when(F.col("line_cut"), F.array_join("line_kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(n_all).cast("long").alias("n_lines"),
-        F.when(F.col("line_cut"), n_all - F.size("line_kept")).otherwise(0).cast("long").alias("n_removed"),
+        "line_row",
+        F.when(F.col("line_cut"), F.array_join("line_kept", "\n")).otherwise(text).alias("text"),
+        F.when(text.isNull(), 0).otherwise(F.size("line_all")).cast("long").alias("n_lines"),
+        F.when(F.col("line_cut"), F.size("line_all") - F.size("line_kept")).otherwise(0).cast("long").alias("n_removed"),
     )
 
 
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of the text."""
+    return _cleaned(docs, min_sites).select(*(F.col("text") if c == "text" else F.col("line_row")[c].alias(c) for c in docs.columns))
+
+
 def line_table(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    return remove_boilerplate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), min_sites).select("doc_id", "n_lines", "n_removed", "text")
+    """Each document's lines, how many were removed, and its cleaned text."""
+    return _cleaned(docs.select("doc_id", "text", "source"), min_sites).select(F.col("line_row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
 ORACLE_SQL = r"""

@@ -8,8 +8,8 @@ blocks), and the PCM is resampled and stored as 16-bit WAV.
 
 Defined results: a null payload counts as empty; an empty one is padded to a
 whole 576-byte frame; equal payloads give equal files; rows are independent,
-so ties and repeated rows need no rule; any other columns pass untouched, and
-a clash with an output name raises ``ValueError``.
+so ties and repeated rows need no rule; other columns pass untouched, but one
+that has an output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -190,23 +190,21 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[list]:
 
 def encode_telephony(df: DataFrame, column: str, output: str = "media") -> DataFrame:
     """``df`` with ``output``: the column's bytes as a telephony WAV file."""
-    if output in df.columns:
-        raise ValueError(f"column {output} is there already")
-    schema = df.select("*", F.lit(b"").alias(output)).schema
+    kept = [c for c in df.columns if c != output]
+    schema = df.select(*kept, F.lit(b"").alias(output)).schema
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = pa.array([encode_one(payload_of(x.as_py())[1]) for x in batch.column(column)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, media], names=[*batch.schema.names, output])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), media], names=[*kept, output])
 
     return df.mapInArrow(encode, schema)
 
 
 def decode_telephony(df: DataFrame, column: str = "media", to_rate: int = 16_000, output: str = "pcm") -> DataFrame:
     """``df`` with ``output``: the resampled 16-bit PCM as WAV, and ``feature``."""
-    if {output, "feature"} & set(df.columns):
-        raise ValueError(f"column {output} or feature is there already")
-    schema = df.select("*", F.lit(b"").alias(output), F.lit("").alias("feature")).schema
+    kept = [c for c in df.columns if c not in (output, "feature")]
+    schema = df.select(*kept, F.lit(b"").alias(output), F.lit("").alias("feature")).schema
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +213,7 @@ def decode_telephony(df: DataFrame, column: str = "media", to_rate: int = 16_000
                 for codec, _, samples, out in decode_many(files, to_rate):
                     pcm.append(wav(1, to_rate, out.tobytes()))
                     feature.append(feature_of(codec, samples, out))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pcm, pa.binary()), pa.array(feature, pa.string())], names=[*batch.schema.names, output, "feature"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(pcm, pa.binary()), pa.array(feature, pa.string())], names=[*kept, output, "feature"])
 
     return df.mapInArrow(decode, schema)
 

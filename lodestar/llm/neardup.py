@@ -215,6 +215,7 @@ def near_dup_kept(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with one document of each class; of rows equal in id one stays."""
     _, labels = classes(docs, width)
     gone = labels.filter("component <> node").select(F.col("node").alias("near_gone"))
-    left = docs.join(gone, F.col("doc_id") == F.col("near_gone"), "left_anti")
-    named = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(left.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("near_row"), F.col("doc_id").cast("long").alias("near_id"))
+    left = packed.join(gone, F.col("near_id") == F.col("near_gone"), "left_anti")
+    named = left.filter(F.col("near_id").isNotNull()).dropDuplicates(["near_id"])
+    return named.union(left.filter(F.col("near_id").isNull())).select("near_row.*")

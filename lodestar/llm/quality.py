@@ -119,7 +119,8 @@ class Reader:
         """Three hashed features of each word: shape with echo, shape pair, the word itself."""
         top = np.uint64(64 - BITS)
         pair = shape.copy()
-        pair[1:] = mix(shape[1:] + shape[:-1] * np.uint64(31))
+        inside = rows[1:] == rows[:-1]
+        pair[1:][inside] = mix(shape[1:] + shape[:-1] * np.uint64(31))[inside]
         kinds = (mix(shape + echo.astype(np.uint64)), mix(pair ^ np.uint64(0x51ED270B)), mix(words ^ np.uint64(0x2545F491)))
         return tuple((x >> top).astype(np.int64) for x in kinds)
 
@@ -233,10 +234,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[dict[in
 
 def _scored(batch: pa.RecordBatch, reader: Reader, known: dict, weights: np.ndarray) -> tuple[np.ndarray, ...]:
     parts = []
-    for measures, kinds, firsts in reader.measure(batch.column("text")):
+    for measures, kinds, _ in reader.measure(batch.column("text")):
         n = measures["n_words"]
         gained = sum(weights[k] for k in kinds) if len(kinds[0]) else np.zeros(0)
-        z = np.diff(np.concatenate([[0.0], np.cumsum(gained)])[firsts]) / (n + SHRINK) + weights[-1]
+        # summed row by row, so that a text's score does not depend on its neighbours
+        z = np.bincount(np.repeat(np.arange(len(n)), n), weights=gained, minlength=len(n)) / (n + SHRINK) + weights[-1]
         votes = votes_of(measures)
         label = np.array([known.get(v, np.nan) for v in votes.tolist()])
         parts.append((n, votes, np.where(n > 0, label, 0.0), np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)))

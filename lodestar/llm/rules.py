@@ -96,8 +96,9 @@ def rule_table(docs: DataFrame) -> DataFrame:
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """The documents that are kept, their failing lines removed from the text."""
-    kept = _verdict(_counted(docs)).filter("kept")
-    return kept.withColumn("text", F.array_join("rule_kept", "\n")).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("rule_row"), F.col("text").alias("text"))
+    kept = _verdict(_counted(packed)).filter("kept")
+    return kept.select(*(F.array_join("rule_kept", "\n").alias(c) if c == "text" else F.col("rule_row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm.anchors import Anchorer
 from lodestar.llm.scratch import dropped, stored
@@ -41,7 +41,8 @@ PERIOD = 32
 RANKED = 4 * PERIOD
 SLICE = 43
 BLOCK_BYTES = 1 << 20
-WIDE = 50_000
+#: Runs of a suffix bucket that one block holds.
+WIDE = BLOCK_BYTES // (LENGTH + SLICE)
 KEYS = ["doc_key", "text_key"]
 
 
@@ -122,9 +123,14 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(read, schema)
 
 
+def _key_columns(doc_id: Column, text: Column) -> list[Column]:
+    """What tells rows apart; rows equal in both get equal results."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))), F.hash(F.coalesce(text.cast("string"), F.lit("")))]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_key"), F.hash(text).alias("text_key"), text.alias("text"))
+    keys = [c.alias(k) for k, c in zip(KEYS, _key_columns(F.col("doc_id"), F.col("text")), strict=True)]
+    return docs.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -284,13 +290,15 @@ def repeat_table(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes taken out of the text; broken characters become U+FFFD."""
     starts = repeated_starts(docs)
-    keyed = docs.withColumn("doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("text_key", F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    columns, schema = docs.columns, docs.schema
+    plain = docs.toDF(*(f"in_{i}" for i in range(len(columns))))
+    at = columns.index("text")
+    keyed = plain.withColumns({k: c for k, c in zip(KEYS, _key_columns(F.col(f"in_{columns.index('doc_id')}"), F.col(f"in_{at}")), strict=True)})
     joined = keyed.join(starts, KEYS, "left").drop(*KEYS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t.as_py() is None else b"".join(kept_parts(t.as_py().encode(), s.as_py() or [])[0]).decode(errors="replace") for t, s in zip(batch.column("text"), batch.column("starts"), strict=True)]
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(docs.columns)
+            texts = [None if t.as_py() is None else b"".join(kept_parts(t.as_py().encode(), s.as_py() or [])[0]).decode(errors="replace") for t, s in zip(batch.column(at), batch.column("starts"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, schema)
