@@ -28,6 +28,8 @@ from lodestar.llm.scratch import stored
 
 SPACES = r"[^\x20\x09-\x0D]+"
 DP_BUDGET = 1 << 17
+#: How far above the budget the program looks.
+OVER = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -55,14 +57,15 @@ def water_fill(sizes: list[int], weights: Iterable[int], most: int) -> list[Frac
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words meet ``budget``.
 
-    All lengths first give their proportional share; single documents in turn
-    bring the rest within the program's table, which then finds the largest
-    reachable sum not above what is left.
+    A budget over the program's table is first met by the proportional share of
+    all lengths; single documents in turn bring the rest within the program's table, which then finds the nearest
+    reachable sum to what is left.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(n) * budget // total for n in counts], dtype=np.int64)
+    share = budget if budget > DP_BUDGET else 0
+    take = np.array([int(n) * share // total for n in counts], dtype=np.int64)
     rest = budget - int((lengths * take).sum())
     order = np.random.default_rng(len(lengths)).permutation(len(lengths))
     while rest > DP_BUDGET:
@@ -73,25 +76,28 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 rest -= int(lengths[i])
         if rest == before:
             break
-    rest_table = min(rest, DP_BUDGET)
-    reached = np.zeros(rest_table + 1, dtype=bool)
+    # sums a little above the budget count too: the nearest one is taken
+    goal = min(rest, DP_BUDGET)
+    most = goal + min(int(lengths.max()), OVER)
+    reached = np.zeros(most + 1, dtype=bool)
     reached[0] = True
-    by = np.full(rest_table + 1, -1, dtype=np.int64)
+    by = np.full(most + 1, -1, dtype=np.int64)
     items: list[tuple[int, int]] = []
     for i in order:
-        left, group = min(int(counts[i] - take[i]), rest_table // int(lengths[i])), 1
-        while left and not reached[rest_table]:
+        left, group = min(int(counts[i] - take[i]), most // int(lengths[i])), 1
+        while left and not reached[goal]:
             group = min(group, left)
             step = group * int(lengths[i])
-            if step <= rest_table:
-                new = np.flatnonzero(reached[: rest_table + 1 - step] & ~reached[step:]) + step
+            if step <= most:
+                new = np.flatnonzero(reached[: most + 1 - step] & ~reached[step:]) + step
                 reached[new], by[new] = True, len(items)
                 items.append((int(i), group))
             left -= group
             group *= 2
-        if reached[rest_table]:
+        if reached[goal]:
             break
-    at = int(np.flatnonzero(reached).max())
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - goal).argmin()])
     while at:
         i, group = items[by[at]]
         take[i] += group
@@ -181,7 +187,8 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     """
     rows = stored(_keyed(docs.select("doc_id", "text", "source"), seed).drop("text", "source"), "mix-rows")
     plan = plan_mix(rows, weights, most)
-    planned = _keyed(docs, seed).join(plan, ["mix_source", "mix_size"])
+    packed = _keyed(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("mix_row")), seed).drop("doc_id", "text", "source")
+    planned = packed.join(plan, ["mix_source", "mix_size"])
     extra = F.when((_unsigned("mix_hash") < _unsigned("bound")) | (F.col("mix_hash") == F.col("bound")), 1).otherwise(0)
     times = F.when(F.col("mix_size") > 0, F.col("repeats") + extra).otherwise(0).cast("int")
-    return planned.withColumn("mix_times", times).filter("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    return planned.withColumn("mix_times", times).filter("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("mix_row.*")
