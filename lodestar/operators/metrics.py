@@ -35,16 +35,19 @@ def retrieval_summary(by_question: DataFrame, ks: Sequence[int]) -> DataFrame:
     return by_question.agg(F.count("*").alias("questions"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), *means)
 
 
-def auc(scores: DataFrame, score: str, positive: str) -> DataFrame:
-    """Share of (positive, negative) pairs in order, ties as half.
+def auc(scores: DataFrame, score: str, positive: str, steps: int = 1000) -> DataFrame:
+    """Share of (positive, negative) pairs in order, ties as half; scores of bounded range, as similarities are.
 
-    By counts of equal scores and a running total, so pairs are never made:
-    scores are dealt by range, the totals of the ranges added up after.
+    By counts of equal scores and running totals, so pairs are never made:
+    totals of ``steps`` parts of the unit first, then inside each part.
     """
     counted = scores.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    below = F.sum("neg").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1))
-    ranked = counted.withColumn("below", F.coalesce(below, F.lit(0)))
-    total = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    counted = counted.withColumn("part", F.floor(F.col("s") * steps))
+    before = F.coalesce(F.sum("part_neg").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = counted.groupBy("part").agg(F.sum("neg").alias("part_neg")).select("part", before.alias("before"))
+    inside = F.coalesce(F.sum("neg").over(W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = counted.withColumn("inside", inside).join(parts, "part")
+    total = F.sum(F.col("pos") * (F.col("before") + F.col("inside") + F.col("neg") / 2))
     return ranked.agg(F.round(total / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 

@@ -20,10 +20,12 @@ def _plain(v):
     return str(v)
 
 
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(tuple(_plain(v) for v in row) for row in frame.astype(object).itertuples(index=False))
+def rows(names, values):
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(names), sorted(tuple(_plain(row[i]) for i in order) for row in values)
 
 
 def assert_same(query, sql, spark, sf_dir, c):
-    assert rows(query(spark, sf_dir).toPandas()) == rows(c.execute(sql).df())
+    got = query(spark, sf_dir)
+    want = c.execute(sql)
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in want.description], want.fetchall())
