@@ -21,7 +21,8 @@ def rules(spark):
 
 
 def valid(spark, rules, *rows):
-    out = P.validated(spark.createDataFrame([process(ocid=f"o{i}", title=f"t{i}", tender_id=f"x{i}", description="a plain description", **{}) if r is None else process(**({"ocid": f"o{i}", "title": f"t{i}", "tender_id": f"x{i}", "description": "a plain description"} | r)) for i, r in enumerate(rows)], PROCESS), rules)
+    made = [process(**({"ocid": f"o{i}", "title": f"t{i}", "tender_id": f"x{i}", "description": "a plain description"} | r)) for i, r in enumerate(rows)]
+    out = P.validated(spark.createDataFrame(made, PROCESS), rules)
     return {r.ocid: r for r in out.collect()}
 
 
