@@ -652,14 +652,14 @@ def nested_flatten_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nested = nested.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("ocid")), "ocid", "left_semi")
     null = lambda kind: F.lit(None).cast(kind)
-    from lodestar.schemas import _party
+    from lodestar.schemas import PARTY
 
     tender = F.struct(
         null("string").alias("id"), null("string").alias("title"), null("string").alias("description"), null("string").alias("procurementMethodDetails"), null("string").alias("mainProcurementCategory"), null("string").alias("datePublished"),
         null("struct<amount:double,currency:string,amount_PEN:double>").alias("value"), null("struct<startDate:string>").alias("tenderPeriod"), null("int").alias("numberOfTenderers"), null("array<struct<id:string>>").alias("tenderers"), F.col("items"),
     )
     compiled = F.struct(
-        F.col("ocid"), null("string").alias("date"), null("struct<id:string>").alias("dataSegmentation"), null("struct<id:string,name:string>").alias("buyer"), null(f"array<{_party}>").alias("parties"), tender.alias("tender"), F.col("awards")
+        F.col("ocid"), null("string").alias("date"), null("struct<id:string>").alias("dataSegmentation"), null("struct<id:string,name:string>").alias("buyer"), null(f"array<{PARTY}>").alias("parties"), tender.alias("tender"), F.col("awards")
     )
     flat = flattened(nested.select("ocid", "releases", compiled.alias("compiledRelease")), F.lit("2026-01"))
     return flat.select(F.col("ocid").cast("long").alias("o_orderkey"), F.col("n_items").cast("long").alias("n_items"), F.col("n_suppliers").cast("long").alias("n_suppliers"), "last_release_at", "item_states", F.round("awarded_amount", 2).alias("awarded_amount"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-_party = "struct<id:string,roles:array<string>,additionalIdentifiers:array<struct<scheme:string,id:string>>,address:struct<department:string,region:string,locality:string>>"
+PARTY = "struct<id:string,roles:array<string>,additionalIdentifiers:array<struct<scheme:string,id:string>>,address:struct<department:string,region:string,locality:string>>"
 _tender = (
     "struct<id:string,title:string,description:string,procurementMethodDetails:string,mainProcurementCategory:string,datePublished:string,"
     "value:struct<amount:double,currency:string,amount_PEN:double>,tenderPeriod:struct<startDate:string>,numberOfTenderers:int,"
     "tenderers:array<struct<id:string>>,items:array<struct<description:string,statusDetails:string,classification:struct<id:string>>>>"
 )
-_compiled = f"struct<ocid:string,date:string,dataSegmentation:struct<id:string>,buyer:struct<id:string,name:string>,parties:array<{_party}>,tender:{_tender},awards:array<struct<value:struct<amount:double>,suppliers:array<struct<id:string>>>>>"
+_compiled = f"struct<ocid:string,date:string,dataSegmentation:struct<id:string>,buyer:struct<id:string,name:string>,parties:array<{PARTY}>,tender:{_tender},awards:array<struct<value:struct<amount:double>,suppliers:array<struct<id:string>>>>>"
 
 
 def fields(ddl: str) -> list[tuple[str, str]]:
