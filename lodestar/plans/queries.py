@@ -530,7 +530,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SCORES}, t AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in _THRESHOLDS)}]) AS threshold) SELECT threshold, count(*) FILTER (outside AND score < threshold) AS gate_right, count(*) FILTER (NOT outside AND score < threshold) AS gate_wrong,
-count(*) FILTER (outside AND (score < threshold OR verdict)) AS final_right, count(*) FILTER (NOT outside AND (score < threshold OR verdict)) AS final_wrong, count(*) FILTER (score >= threshold) AS calls, round(count(*) FILTER (score >= threshold) * 0.00012, 6) AS cost,
+count(*) FILTER (outside AND (score < threshold OR verdict)) AS final_right, count(*) FILTER (NOT outside AND (score < threshold OR verdict)) AS final_wrong, count(*) FILTER (score >= threshold) AS calls, round(count(*) FILTER (score >= threshold) * 0.00012::DOUBLE, 6) AS cost,
 round(min(CASE WHEN NOT outside THEN score END) - threshold, 4) AS margin, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) FILTER (NOT outside AND score < threshold), '') AS wrongly_gated FROM t, scores GROUP BY threshold""")
 def threshold_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.threshold_options(_scores(spark, sf_dir), _THRESHOLDS, 0.00012)
