@@ -60,7 +60,7 @@ def note_counts(register: DataFrame) -> DataFrame:
 
 def length_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Least, median, most and ninth decile of the lengths."""
-    sized = chunks.select(F.length(text).alias("chars"))
+    sized = chunks.select(F.length(text).cast("long").alias("chars"))
     return sized.agg(F.count("*").alias("chunks"), F.min("chars").alias("least"), F.median("chars").alias("median"), F.max("chars").alias("most"), F.round(F.percentile("chars", F.lit(0.9)), 2).alias("p90"))
 
 
