@@ -226,7 +226,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[dict[in
             arrays = [pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(pattern, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["columns", "values", "pattern"])
 
-    drawn = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # copies are drawn one by one and equal rows once, so no group of them can swell the sample
+    hashed = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("drawn_by"))
+    drawn = hashed.filter(F.pmod("drawn_by", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["drawn_by"]).select("text")
     got = sorted(drawn.mapInArrow(feature, "columns array<int>, values array<float>, pattern long").collect())
     features = [(np.array(r["columns"], dtype=np.int64), np.array(r["values"], dtype=np.float64)) for r in got]
     return known, fit_scorer(features, np.array([known[r["pattern"]] for r in got]))
