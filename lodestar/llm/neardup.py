@@ -39,6 +39,7 @@ from lodestar.llm.wordhash import WordHasher, mix, shingles
 BINS = 128
 ROWS = 4
 BLOCK = 512
+BLOCK_CHARS = 1 << 23
 #: A link needs PER_CENT * union <= 100 * intersection.
 PER_CENT = 80
 EMPTY = np.uint64(2**64 - 1)
@@ -166,7 +167,10 @@ def rest_links(members: DataFrame, labels: DataFrame, texts: DataFrame, width: i
     left = stored(labelled.join(open_keys, "band", "left_semi"), "near-open")
     clusters = components(left.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-clusters").withColumnRenamed("component", "cluster")
     held = stored(left.select("node", "component").distinct().join(clusters, "node"), "near-held")
-    sizes = held.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    # blocks hold a bounded number of documents and, on average, of characters
+    lengths = held.join(texts.select(F.col("doc_id").alias("node"), F.length("text").alias("chars")), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS))
+    sizes = lengths.groupBy("cluster").agg(blocks.cast("int").alias("n_blocks"))
     dealt = held.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     paired = dealt.withColumn("other", meets).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("first"), "node", "component")
