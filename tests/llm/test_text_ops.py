@@ -69,9 +69,10 @@ def test_perspectives(spark):
     assert chat.rotate_perspectives(df.filter("false")).count() == 0
 
 
-def test_perspectives_run_without_python(spark):
-    plan = chat.rotate_perspectives(spark.createDataFrame([(1, 1, "a", "b")], "conv_id long, turn long, role string, text string"))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_native_operators_run_without_python(spark):
+    turns = spark.createDataFrame([(1, 1, "a", "b")], "conv_id long, turn long, role string, text string")
+    for df in (chat.rotate_perspectives(turns), rules.rule_table(documents(spark)), rules.apply_rules(documents(spark)), licenses.license_table(documents(spark))):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
 def test_license_places_and_labels(spark):
