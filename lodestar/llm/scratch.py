@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, so a lost
-executor costs a reread and nothing else.  Only a session without that
-setting (a test) gets a folder of this process.  Tables are deleted when the
+executor costs a reread and nothing else.  Without that setting a cluster uses
+its warehouse folder, and a local session (a test) a folder of this process.  Tables are deleted when the
 JVM ends.
 """
 
@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        # executors of a cluster see the warehouse, never this process's folders
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodestar-scratch"
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestar-")
