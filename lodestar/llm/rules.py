@@ -35,16 +35,29 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line with words stands all three kinds of rules."""
-    n_chars = F.length(_without(line, SPACE_CHARS))
-    symbols = n_chars - F.length(_without(_without(line, SPACE_CHARS), SYMBOLS))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
-    capitals = letters - F.length(F.regexp_replace(F.regexp_replace(line, r"[^\p{L}]+", ""), r"\p{Lu}+", ""))
-    bars = F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("  ")))
-    shouting = (letters >= 8) & (capitals > CAPITAL_SHARE * letters)
+def measured(lines: Column) -> Column:
+    """Each line with its counts, in two steps so that each pattern runs over a line once."""
+    looked = F.transform(lines, lambda x: F.struct(x.alias("line"), _without(x, SPACE_CHARS).alias("dense"), F.regexp_replace(x, r"[^\p{L}]+", "").alias("letters")))
+    return F.transform(
+        looked,
+        lambda x: F.struct(
+            x["line"].alias("line"),
+            F.length(x["dense"]).alias("chars"),
+            F.length(_without(x["dense"], SYMBOLS)).alias("no_symbols"),
+            F.length(x["letters"]).alias("letters"),
+            F.length(F.regexp_replace(x["letters"], r"\p{Lu}+", "")).alias("small"),
+        ),
+    )
+
+
+def passes(x: Column) -> Column:
+    """Whether a measured line stands all three kinds of rules."""
+    line = x["line"]
+    symbols = x["chars"] - x["no_symbols"] > SYMBOL_SHARE * x["chars"]
+    shouting = (x["letters"] >= 8) & (x["letters"] - x["small"] > CAPITAL_SHARE * x["letters"])
+    bars = F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("  "))) >= 3
     stuttering = F.length(line) - F.length(F.regexp_replace(line, r"(?<!\S)(\S+)(?: \1(?!\S))+", "")) > 0.5 * F.length(line)
-    return ~((symbols > SYMBOL_SHARE * n_chars) | shouting | stuttering | (bars >= 3) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
+    return ~(symbols | shouting | bars | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | stuttering)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -68,8 +81,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     starts = F.col("rule_starts")
     gaps = F.transform(starts, lambda p, j: F.least(F.lit(5), F.coalesce(F.get(starts, j + 1) - p, F.lit(5))))
     repeated = F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    kept_lines = F.filter("rule_lines", line_passes)
-    step = step.withColumns({"n_repeat_words": repeated, "rule_kept": kept_lines})
+    step = step.withColumns({"n_repeat_words": repeated, "rule_kept": F.filter(measured(F.col("rule_lines")), passes)})
     word_chars = F.length(_without(F.col("rule_text"), SPACE_CHARS))
     return step.withColumns(
         {
@@ -78,7 +90,7 @@ def _counted(docs: DataFrame) -> DataFrame:
             "n_symbols": (F.length("rule_text") - F.length(_without(F.col("rule_text"), SYMBOLS))).cast("long"),
             "n_dup_lines": (F.size("rule_lines") - F.size(F.array_distinct("rule_lines"))).cast("long"),
             "n_lines_removed": (F.size("rule_lines") - F.size("rule_kept")).cast("long"),
-            "kept_chars": F.length(_without(F.array_join("rule_kept", "\n"), SPACE_CHARS)).cast("long"),
+            "kept_chars": F.aggregate("rule_kept", F.lit(0).cast("long"), lambda n, x: n + x["chars"]),
         }
     )
 
@@ -98,7 +110,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     """The documents that are kept, their failing lines removed from the text."""
     packed = docs.select(F.struct(*docs.columns).alias("rule_row"), F.col("text").alias("text"))
     kept = _verdict(_counted(packed)).filter("kept")
-    return kept.select(*(F.array_join("rule_kept", "\n").alias(c) if c == "text" else F.col("rule_row")[c].alias(c) for c in docs.columns))
+    return kept.select(*(F.array_join(F.transform("rule_kept", lambda x: x["line"]), "\n").alias(c) if c == "text" else F.col("rule_row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""
