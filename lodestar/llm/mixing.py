@@ -159,7 +159,7 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
         .filter("before < wanted and before + n >= wanted")
         .select("mix_source", "mix_size", F.col("mix_hash").alias("bound"), (F.col("wanted") - F.col("before")).alias("at_bound"))
     )
-    sizes = extra.select("mix_source", "mix_size").join(F.broadcast(sources.drop("budget")), "mix_source")
+    sizes = extra.select("mix_source", "mix_size").join(sources.drop("budget"), "mix_source")
     # written, so that a join with it may split a large length
     return stored(sizes.join(bound, ["mix_source", "mix_size"], "left"), "mix-plan")
 
