@@ -52,7 +52,8 @@ def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
     lines = stored(docs.select(key.alias("line_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(hashes).alias("line")), "lines")
     spread = stored(boilerplate_lines(lines, min_sites), "boilerplate")
     marked = stored(lines.join(spread, "line").groupBy("line_key").agg(F.collect_set("line").alias("line_bad")), "lines-marked")
-    packed = docs.select(F.struct(*docs.columns).alias("line_row"), key.alias("line_key")).join(marked, "line_key", "left")
+    # joined alike at every size
+    packed = docs.select(F.struct(*docs.columns).alias("line_row"), key.alias("line_key")).join(marked.hint("merge"), "line_key", "left")
     is_bad = lambda x: F.array_contains("line_bad", _line_hash(x)) & _worded(x)
     text = F.col("line_row")["text"].cast("string")
     split = packed.withColumn("line_all", F.split(text, "\n")).withColumn("line_kept", F.when(F.col("line_bad").isNotNull(), F.filter("line_all", lambda x: ~is_bad(x))))
