@@ -3,9 +3,9 @@
 Per line hash, HyperLogLog sketches of the sites merge by aggregation (map
 side first).  Lines whose estimate is near the threshold get an exact
 distinct count; the others are decided by the estimate.  Boilerplate lines
-are removed from their documents.  A document of which they hold more than
-half the characters is a copy rather than a page with furniture, so it is
-left whole for document-level dedup.
+are removed from every document that keeps a line of its own.  A document
+of boilerplate lines alone is a copy rather than a page with furniture, so it
+is left whole for document-level dedup.
 
 Defined results: a line is compared without blanks at its ends and lines
 without other characters are never boilerplate; a null source is a site of
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestar.llm.scratch import stored
 
 MIN_SITES = 10
-MOST_LOST = 0.5
 SKETCH_LG = 10
 #: Relative error that the exact count settles: over five standard errors of the sketch.
 NEAR = 0.2
@@ -57,8 +56,7 @@ def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
     is_bad = lambda x: F.array_contains("line_bad", _line_hash(x)) & _worded(x)
     text = F.col("line_row")["text"].cast("string")
     split = packed.withColumn("line_all", F.split(text, "\n")).withColumn("line_kept", F.when(F.col("line_bad").isNotNull(), F.filter("line_all", lambda x: ~is_bad(x))))
-    lost = F.length(text) - F.length(F.array_join("line_kept", "\n"))
-    split = split.withColumn("line_cut", F.coalesce(lost <= MOST_LOST * F.length(text), F.lit(False)))
+    split = split.withColumn("line_cut", F.coalesce(F.exists("line_kept", _worded), F.lit(False)))
     return split.select(
         "line_row",
         F.when(F.col("line_cut"), F.array_join("line_kept", "\n")).otherwise(text).alias("text"),
