@@ -11,14 +11,18 @@ All of this happens inside the partition that read the documents: no shuffle,
 memory bounded by one batch and the open pools, and a lost task repeats
 with the same result because its number is part of every sequence id.
 
-Defined results: a null or empty text is its end token alone; very long texts
-become many full windows; equal texts and repeated rows are packed each on
-their own; an empty table gives no rows; further columns are ignored.
+Defined results: a null or empty text is its end token alone; an added token's
+string in a text is that token; very long texts become many full windows;
+equal texts and repeated rows are packed each on their own; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -41,8 +45,21 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(ranks_path: str) -> Callable[[str], np.ndarray]:
-    """Byte-pair ids of a text; special tokens' strings are ordinary text.
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Strings with ids of their own: the added tokens of the JSON tokenizer beside the ranks."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added token {t['content']!r} takes more or less than its own string")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def encoder(ranks_path: str) -> Callable[[str], list[int]]:
+    """Byte-pair ids of a text, cut at the strings of added tokens, the longest where several match.
 
     Kept in the tokenizer library's own registry, so a worker loads it once.
     """
@@ -53,8 +70,21 @@ def encoder(ranks_path: str) -> Callable[[str], np.ndarray]:
     if ranks_path not in known:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        known[ranks_path] = tiktoken.Encoding(ranks_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return known[ranks_path]._core_bpe.encode_ordinary
+        known[ranks_path] = tiktoken.Encoding(ranks_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(ranks_path))
+    ordinary, added = known[ranks_path]._core_bpe.encode_ordinary, known[ranks_path]._special_tokens
+    if not added:
+        return ordinary
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        first, *rest = cuts.split(text)
+        ids = ordinary(first)
+        for token, part in zip(rest[::2], rest[1::2], strict=True):
+            ids.append(added[token])
+            ids.extend(ordinary(part))
+        return ids
+
+    return encode
 
 
 class Packer:
