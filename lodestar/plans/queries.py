@@ -178,6 +178,13 @@ def accent_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.spelling_variants(words, "word", tx.accent_key(F.col("word")))
 
 
+@query(rf"""WITH w AS (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents)
+SELECT trim(regexp_replace(translate(upper(replace(word, 'ß', 'SS')), '{tx.MARKED}', '{tx.PLAIN}'), '\s+', ' ', 'g')) AS key, count(DISTINCT word) AS spellings FROM w GROUP BY 1 HAVING count(DISTINCT word) > 1""")
+def accent_variants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \\n]")).alias("word"))
+    return lookups.spelling_variants(words, "word", tx.accent_key(F.col("word")))
+
+
 @query("SELECT doc_id, trim(text) = '' AS blank, trim(text) <> '' AND length(text) < 200 AS short FROM documents")
 def short_text_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.blank(F.col("text")).alias("blank"), tx.is_short(F.col("text"), 200).alias("short"))
