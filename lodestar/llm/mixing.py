@@ -28,7 +28,7 @@ from lodestar.llm.scratch import stored
 
 SPACES = r"[^\x20\x09-\x0D]+"
 DP_BUDGET = 1 << 17
-#: How far above the budget the program looks.
+#: How far above the budget the program looks at least, up to the longest document.
 OVER = 4096
 
 
@@ -59,7 +59,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
     A budget over the program's table is first met by the proportional share of
     all lengths; single documents in turn bring the rest within the program's table, which then finds the nearest
-    reachable sum to what is left.
+    reachable sum to what is left.  If every document left is longer than a rest
+    that is over the table, the shortest is taken where that is nearer.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -76,9 +77,14 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 rest -= int(lengths[i])
         if rest == before:
             break
-    # sums a little above the budget count too: the nearest one is taken
-    goal = min(rest, DP_BUDGET)
-    most = goal + min(int(lengths.max()), OVER)
+    if rest > DP_BUDGET:
+        left = np.flatnonzero(take < counts)
+        i = left[lengths[left].argmin()]
+        take[i] += int(lengths[i]) < 2 * rest
+        return take
+    # sums above the budget count too: the nearest one is taken, and none over twice the rest is nearer than nothing
+    goal = rest
+    most = goal + min(int(lengths.max()), max(OVER, goal))
     reached = np.zeros(most + 1, dtype=bool)
     reached[0] = True
     by = np.full(most + 1, -1, dtype=np.int64)
