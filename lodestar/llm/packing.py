@@ -19,9 +19,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import base64
-import json
-import os
+import functools
 import re
 import zlib
 from collections import deque
@@ -32,6 +30,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from lodestar.llm.wordhash import runs, utf8_parts
+
 WINDOW = 1024
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 8 * WINDOW
@@ -39,52 +39,62 @@ RESERVE = 8 * WINDOW
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_id long"
 
 
-def default_ranks() -> str:
+def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def added_tokens(ranks_path: str) -> dict[str, int]:
-    """Strings with ids of their own: the added tokens of the JSON tokenizer beside the ranks."""
-    path = os.path.splitext(ranks_path)[0] + ".json"
-    if not os.path.exists(path):
-        return {}
-    with open(path, encoding="utf-8") as file:
-        tokens = json.load(file)["added_tokens"]
-    for t in tokens:
-        if t["single_word"] or t["lstrip"] or t["rstrip"]:
-            raise ValueError(f"added token {t['content']!r} takes more or less than its own string")
-    return {t["content"]: t["id"] for t in tokens}
+class Encoder:
+    """Ids of texts as little-endian bytes, from the JSON tokenizer.
 
+    Byte-level BPE never joins over a single blank between two other
+    characters, so texts are cut before such blanks and what repeats is
+    looked up.  Cuts not met before go through the tokenizer in one joined
+    text; the bytes that each id stands for say where one cut ends.  The table
+    of known cuts is emptied when it holds ``KNOWN`` of them.
+    """
 
-def encoder(ranks_path: str) -> Callable[[str], list[int]]:
-    """Byte-pair ids of a text, cut at the strings of added tokens, the longest where several match.
+    CUT = re.compile(r"(?<=\S)(?= \S)")
+    KNOWN, LONGEST = 1 << 19, 64
 
-    Kept in the tokenizer library's own registry, so a worker loads it once.
-    """
-    import public_tokenizers
-    import tiktoken
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # in the vocabulary one character stands for one byte
+        self.n_bytes = np.array([added.get(i) or len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, new: list[str]) -> None:
+        ids = self.ids("".join(new))
+        ends = np.cumsum(np.array([len(x.encode()) for x in new], dtype=np.int64))
+        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+        raw, at = ids.tobytes(), 0
+        for cut, end in zip(new, (4 * cuts).tolist(), strict=True):
+            self.known[cut] = raw[at:end]
+            at = end
 
-    known = tiktoken.registry.ENCODINGS
-    if ranks_path not in known:
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        known[ranks_path] = tiktoken.Encoding(ranks_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(ranks_path))
-    ordinary, added = known[ranks_path]._core_bpe.encode_ordinary, known[ranks_path]._special_tokens
-    if not added:
-        return ordinary
-    cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    def many(self, texts: list[str]) -> list[bytes]:
+        all_cuts = [self.CUT.split(x) for x in texts]
+        if len(self.known) >= self.KNOWN:
+            self.known.clear()
+        new = {c for cuts in all_cuts for c in cuts if c not in self.known}
+        # a cut at either end of a text may have white space there, and is not joined with others
+        joined = [c for c in new if 1 < len(c) <= self.LONGEST and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        if joined:
+            self.learn(joined)
+        get = self.known.get
+        return [b"".join([get(c) or self.ids(c).tobytes() for c in cuts]) for cuts in all_cuts]
 
-    def encode(text: str) -> list[int]:
-        first, *rest = cuts.split(text)
-        ids = ordinary(first)
-        for token, part in zip(rest[::2], rest[1::2], strict=True):
-            ids.append(added[token])
-            ids.extend(ordinary(part))
-        return ids
 
-    return encode
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 class Packer:
@@ -159,9 +169,9 @@ class Packer:
             self.fill(size, [])
 
 
-def pack_documents(docs: DataFrame, ranks_path: str | None = None, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 0) -> DataFrame:
     """One row per piece of a document's ids (its end id included)."""
-    path = ranks_path or default_ranks()
+    path, end = tokenizer_path or default_tokenizer(), np.array([end_id], dtype="<u4").tobytes()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +190,15 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, end_id: int =
 
         packer = Packer(TaskContext.get().partitionId() << 40, emit)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                packer.add((doc_id, np.array(ids, dtype="<u4").tobytes(), len(ids)), len(ids))
-                packer.pack(RESERVE)
-                if len(rows) >= 20_000:
-                    yield flush()
+            offsets = utf8_parts(batch.column("text"))[1]
+            for first, last in runs(offsets):
+                texts = ["" if x is None else x for x in batch.column("text").slice(first, last - first).to_pylist()]
+                for doc_id, ids in zip(batch.column("doc_id").slice(first, last - first).to_pylist(), encode.many(texts), strict=True):
+                    tokens = len(ids) // 4 + 1
+                    packer.add((doc_id, ids + end, tokens), tokens)
+                    packer.pack(RESERVE)
+                    if len(rows) >= 20_000:
+                        yield flush()
         packer.finish()
         yield flush()
 

@@ -15,7 +15,6 @@ from tests.llm.cases import documents, empty, rows, texts
 def test_pieces_cover_every_document_once(spark):
     got = pack_documents(documents(spark)).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], dtype="<u4") for i, x in enumerate(texts())}
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in got:
