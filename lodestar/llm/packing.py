@@ -20,13 +20,13 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,6 +36,8 @@ WINDOW = 1024
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 8 * WINDOW
 RESERVE = 8 * WINDOW
+#: Bytes of text that are encoded at once.
+RUN_BYTES = 1 << 22
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_id long"
 
 
@@ -46,17 +48,16 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, from the JSON tokenizer.
+    """Token ids of a text column, from the JSON tokenizer.
 
     Byte-level BPE never joins over a single blank between two other
-    characters, so texts are cut before such blanks and what repeats is
-    looked up.  Cuts not met before go through the tokenizer in one joined
-    text; the bytes that each id stands for say where one cut ends.  The table
-    of known cuts is emptied when it holds ``KNOWN`` of them.
+    characters, so texts are cut there and every distinct cut is looked up
+    once.  Cuts not met before go through the tokenizer in one joined text;
+    the bytes that each id stands for say where one cut ends.  The table of
+    known cuts is emptied when it holds ``KNOWN`` of them.
     """
 
-    CUT = re.compile(r"(?<=\S)(?= \S)")
-    KNOWN, LONGEST = 1 << 19, 64
+    KNOWN, LONGEST = 3 << 18, 64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -66,29 +67,62 @@ class Encoder:
         # in the vocabulary one character stands for one byte
         self.n_bytes = np.array([added.get(i) or len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        ids = self.ids("".join(new))
-        ends = np.cumsum(np.array([len(x.encode()) for x in new], dtype=np.int64))
-        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-        raw, at = ids.tobytes(), 0
-        for cut, end in zip(new, (4 * cuts).tolist(), strict=True):
+    def learn(self, cuts: list[str]) -> None:
+        """Remembers the ids of each of ``cuts`` after a blank."""
+        raw, at = self.ids("".join([" " + c for c in cuts])), 0
+        ends = np.cumsum(np.array([len(c.encode()) + 1 for c in cuts], dtype=np.int64))
+        n_ids = np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(raw, "<u4")]), ends) + 1
+        for cut, end in zip(cuts, (4 * n_ids).tolist(), strict=True):
             self.known[cut] = raw[at:end]
             at = end
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        all_cuts = [self.CUT.split(x) for x in texts]
+    def after_blank(self, cuts: list[str]) -> list[bytes]:
         if len(self.known) >= self.KNOWN:
             self.known.clear()
-        new = {c for cuts in all_cuts for c in cuts if c not in self.known}
-        # a cut at either end of a text may have white space there, and is not joined with others
-        joined = [c for c in new if 1 < len(c) <= self.LONGEST and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
-        if joined:
-            self.learn(joined)
+        if new := [c for c in cuts if len(c) <= self.LONGEST and c not in self.known]:
+            self.learn(new)
         get = self.known.get
-        return [b"".join([get(c) or self.ids(c).tobytes() for c in cuts]) for cuts in all_cuts]
+        return [get(c) or self.ids(" " + c) for c in cuts]
+
+    def many(self, column: pa.Array) -> tuple[bytes, np.ndarray]:
+        """(little-endian ids of all texts, the bytes before each text)."""
+        if not len(column):
+            return b"", np.zeros(1, np.int64)
+        lists = pc.split_pattern(column.fill_null(""), " ")
+        at = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        cuts, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # white space at a cut's edge may be one token with the blank beside it
+        loose = np.zeros((2, len(cuts)), dtype=bool)
+        for i in [i for i, c in enumerate(cuts) if not c or c.strip() != c]:
+            loose[:, i] = not cuts[i] or cuts[i][0].isspace(), not cuts[i] or cuts[i][-1].isspace()
+        loose = loose[1, code[:-1]] | loose[0, code[1:]]
+        loose[at[1:-1] - 1] = False  # from one text to the next there is no blank
+        joined = np.zeros(len(column), dtype=bool)
+        joined[np.searchsorted(at, np.flatnonzero(loose), side="right") - 1] = True
+        first = np.zeros(len(code), dtype=bool)
+        first[at[:-1]] = True
+        # texts with such cuts, and the first cut of every text, are encoded as they are
+        inner = ~first & ~np.repeat(joined, np.diff(at))
+        used = np.flatnonzero(np.bincount(code[inner], minlength=len(cuts)))
+        parts = self.after_blank([cuts[i] for i in used])
+        place = np.zeros(len(cuts), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        which = np.full(len(code), -1, dtype=np.int64)
+        which[inner] = place[code[inner]]
+        which[at[:-1]] = len(parts) + np.arange(len(column))
+        parts += [self.ids(x) for x in self._alone(column, cuts, code, at, joined)]
+        n = np.where(which >= 0, np.array([len(x) for x in parts])[which], 0)
+        raw = b"".join(map(parts.__getitem__, which[which >= 0].tolist()))
+        return raw, np.concatenate([[0], np.cumsum(n)])[at]
+
+    @staticmethod
+    def _alone(column: pa.Array, cuts: list[str], code: np.ndarray, at: np.ndarray, joined: np.ndarray) -> Iterator[str]:
+        for row, whole in enumerate(joined.tolist()):
+            yield column[row].as_py() if whole else cuts[code[at[row]]]
 
 
 @functools.lru_cache(maxsize=2)
@@ -190,12 +224,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
 
         packer = Packer(TaskContext.get().partitionId() << 40, emit)
         for batch in batches:
-            offsets = utf8_parts(batch.column("text"))[1]
-            for first, last in runs(offsets):
-                texts = ["" if x is None else x for x in batch.column("text").slice(first, last - first).to_pylist()]
-                for doc_id, ids in zip(batch.column("doc_id").slice(first, last - first).to_pylist(), encode.many(texts), strict=True):
-                    tokens = len(ids) // 4 + 1
-                    packer.add((doc_id, ids + end, tokens), tokens)
+            offsets, doc_ids = utf8_parts(batch.column("text"))[1], batch.column("doc_id").to_pylist()
+            for first, last in runs(offsets, RUN_BYTES):
+                ids, at = encode.many(batch.column("text").slice(first, last - first))
+                for doc_id, a, b in zip(doc_ids[first:last], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    tokens = (b - a) // 4 + 1
+                    packer.add((doc_id, ids[a:b] + end, tokens), tokens)
                     packer.pack(RESERVE)
                     if len(rows) >= 20_000:
                         yield flush()
