@@ -27,9 +27,8 @@ class Anchorer:
         """(first row, last row, runs of strings of these rows).
 
         A run has: row (from the first row on), lo and hi (its strings' first
-        and last start in the document), anchor (place of the gram), bucket
-        (hash of the gram) and hull (hash of all bytes the run's strings cover
-        and of how they lie around the anchor).
+        and last start in the document), anchor (place of the gram) and bucket
+        (hash of the gram).
         """
         raw_all, offsets_all = utf8_parts(column)
         for a, b in runs(offsets_all, CHUNK):
@@ -39,7 +38,7 @@ class Anchorer:
     def of(self, raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         n, length = len(raw), self.length
         if n < length:
-            return {k: np.zeros(0, np.int64) for k in ("row", "lo", "hi", "anchor", "bucket", "hull")}
+            return {k: np.zeros(0, np.int64) for k in ("row", "lo", "hi", "anchor", "bucket")}
         self.tables.fit(n + 1)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.tables.up[:n], out=total[1:])
@@ -58,11 +57,9 @@ class Anchorer:
         starts = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[rows]
         place = (key[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         if not len(place):
-            return {k: np.zeros(0, np.int64) for k in ("row", "lo", "hi", "anchor", "bucket", "hull")}
+            return {k: np.zeros(0, np.int64) for k in ("row", "lo", "hi", "anchor", "bucket")}
         first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])]))
         last = np.concatenate([first[1:], [len(place)]]) - 1
         lo, hi, anchor, row = starts[first], starts[last], place[first], rows[first]
-        covered = (total[hi + length] - total[lo]) * self.tables.down[lo]
-        hull = mix(mix(covered) + (anchor - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
         base = offsets[row]
-        return {"row": row, "lo": lo - base, "hi": hi - base, "anchor": anchor - base, "bucket": grams[anchor].view(np.int64), "hull": hull.view(np.int64)}
+        return {"row": row, "lo": lo - base, "hi": hi - base, "anchor": anchor - base, "bucket": grams[anchor].view(np.int64)}

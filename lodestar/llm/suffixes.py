@@ -5,22 +5,23 @@ anywhere else too, in the same document or another.
 
 Bucketing.  A string's bucket is its anchor (see ``anchors``); a run of
 neighbouring strings with one anchor is one row.  Buckets of one row hold no
-repeat.  Runs whose hull (all bytes they cover) equals another's are
-repeated as a whole.  What is left are runs that are alone in their hull
-while their bucket has others: they are compared string by string, against one
-run of every different hull.
-
-Sorting.  These runs are dealt into suffix buckets by the bytes that a slice
-of at most ``SLICE`` neighbouring strings has in common.  A task works through
-its suffix buckets in blocks of about ``BLOCK_BYTES``: the suffixes of a block
+repeat.  All other runs are cut into slices of at most ``SLICE`` neighbouring
+strings, and a slice's suffix bucket is the bytes that all strings of its
+place have in common.  Slices equal in every byte are sent once, with the
+number of their copies, so a large group of copies is one row.
+
+Sorting.  Every suffix bucket is sorted, and the sort alone says which strings
+are equal: hashes only deal rows to buckets and name them.  A task works
+through its buckets in blocks of about ``BLOCK_BYTES``: the suffixes of a block
 are sorted by their first ``PERIOD`` bytes, and longer ties are resolved by
 ranks that were computed before for the block's difference-cover sample.  A
-bucket of more than ``WIDE`` runs is not sorted in one place; its strings are
-counted by hash over all tasks instead.
+bucket over ``WIDE_BYTES`` is dealt anew by all bytes of its strings, one
+string a row, copies counted, and is sorted likewise.
 
 Defined results: null text is empty; texts under ``LENGTH`` bytes lose
 nothing; texts are worked on whole; ties, equal texts and repeated rows are
-repeats of each other; a null id is allowed; an empty table gives no rows;
+repeats of each other; rows without id are told apart by their texts, and
+rows equal in id and text get equal results; an empty table gives no rows;
 further columns stay in ``remove_repeats``, are ignored by ``repeat_table``.
 """
 
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm.anchors import Anchorer
@@ -41,9 +43,9 @@ PERIOD = 32
 RANKED = 4 * PERIOD
 SLICE = 43
 BLOCK_BYTES = 1 << 20
-#: Runs of a suffix bucket that one block holds.
-WIDE = BLOCK_BYTES // (LENGTH + SLICE)
-KEYS = ["doc_key", "text_key"]
+#: A suffix bucket over so many bytes is dealt by all bytes of its strings.
+WIDE_BYTES = BLOCK_BYTES
+KEY = "row_key"
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -110,62 +112,72 @@ def block_classes(text: np.ndarray, starts: np.ndarray, groups: np.ndarray, leng
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    schema = "doc_key long, text_key int, lo int, hi int, anchor int, bucket long, hull long"
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchorer = Anchorer(LENGTH)
+        anchorer, names = Anchorer(LENGTH), ["lo", "hi", "anchor"]
         for batch in batches:
-            keys = [batch.column(k) for k in KEYS]
             for a, _, run in anchorer.runs(batch.column("text")):
-                rows = pa.array(run["row"] + a)
-                yield pa.RecordBatch.from_arrays([*(k.take(rows) for k in keys), *(pa.array(run[c].astype(np.int32)) for c in ("lo", "hi", "anchor")), pa.array(run["bucket"]), pa.array(run["hull"])], names=[x.split()[0] for x in schema.split(", ")])
+                keys = batch.column(KEY).take(pa.array(run["row"] + a))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(run[c].astype(np.int32)) for c in names), pa.array(run["bucket"])], names=[KEY, *names, "bucket"])
 
-    return docs.mapInArrow(read, schema)
+    return docs.mapInArrow(read, f"{KEY} binary, lo int, hi int, anchor int, bucket long")
 
 
-def _key_columns(doc_id: Column, text: Column) -> list[Column]:
-    """What tells rows apart; rows equal in both get equal results."""
-    return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))), F.hash(F.coalesce(text.cast("string"), F.lit("")))]
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of SHA-256 over id and text; a null id is no number."""
+    whole = F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("none")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.substring(F.unhex(F.sha2(whole, 256)), 1, 16)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    keys = [c.alias(k) for k, c in zip(KEYS, _key_columns(F.col("doc_id"), F.col("text")), strict=True)]
-    return docs.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(_row_key(F.col("doc_id"), F.col("text")).alias(KEY), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
 
+def _slices(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Every run in slices of up to ``SLICE`` strings.
 
-def _slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of every wanted run, in slices of up to ``SLICE`` strings, with the slice's suffix bucket."""
-    lists = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi", "anchor", "bucket", "alone")).alias("runs"))
-    joined = texts.join(lists, KEYS)
-    schema = "suffix_bucket long, doc_key long, text_key int, start int, n int, anchor int, alone boolean, bytes binary"
+    ``piece`` names a slice by 128 bits of its bytes and of ``before``, the
+    bytes from its start to the anchor.
+    """
+    names = ["suffix_bucket", "before", "piece", KEY, "start", "bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc, key, text, some in zip(*(batch.column(c) for c in (*KEYS, "text", "runs")), strict=True):
-                raw, seen = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py().encode(), set()
+            out: list[list] = [[] for _ in names]
+            buckets, befores, pieces, keys, starts, parts = out
+            for key, text, some in zip(batch.column(KEY).to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
+                raw = text.as_buffer().to_pybytes()
                 for run in some.as_py():
-                    # repeated rows come with the same runs; they count apart but are cut once
-                    if (run["lo"], run["hi"]) in seen:
-                        continue
-                    seen.add((run["lo"], run["hi"]))
-                    x = run["anchor"]
-                    for k in range((x - run["hi"]) // SLICE, (x - run["lo"]) // SLICE + 1):
-                        near, far = k * SLICE, k * SLICE + SLICE - 1  # distances of string starts before the anchor
-                        start, end = max(run["lo"], x - far), min(run["hi"], x - near)
+                    lo, hi, x = run["lo"], run["hi"], run["anchor"]
+                    name = run["bucket"].to_bytes(8, "little", signed=True)
+                    for k in range((x - hi) // SLICE, (x - lo) // SLICE + 1):
+                        near, far = k * SLICE, k * SLICE + SLICE - 1  # bytes from a string's start to the anchor
+                        start = max(lo, x - far)
+                        part = raw[start : min(hi, x - near) + LENGTH]
                         core = raw[x - near : x - far + LENGTH]
-                        bucket = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=run["bucket"].to_bytes(8, "little", signed=True), salt=bytes([k])).digest(), "little", signed=True)
-                        for column, value in zip(out, (bucket, doc.as_py(), key.as_py(), start, end - start + 1, x - start, run["alone"], raw[start : end + LENGTH]), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return joined.mapInArrow(cut, schema)
-
-
-def _sorted_repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(slice, offset) of every string in ``alone`` slices of a block that another slice has too."""
-    n, anchor = table["n"].to_numpy().astype(np.int64), table["anchor"].to_numpy().astype(np.int64)
-    parts = table["bytes"].to_pylist()
+                        buckets.append(int.from_bytes(hashlib.blake2b(core, digest_size=8, key=name, salt=bytes([k])).digest(), "little", signed=True))
+                        befores.append(x - start)
+                        pieces.append(hashlib.blake2b(part, digest_size=16, salt=bytes([x - start])).digest())
+                        keys.append(key)
+                        starts.append(start)
+                        parts.append(part)
+                if len(keys) >= 20_000:
+                    yield batched(out)
+                    for column in out:
+                        column.clear()
+            yield batched(out)
+
+    def batched(out: list[list]) -> pa.RecordBatch:
+        types = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    joined = texts.join(lists, KEY)
+    return joined.mapInArrow(cut, f"suffix_bucket long, before int, piece binary, {KEY} binary, start int, bytes binary")
+
+
+def sorted_repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, first and last offset) of the strings of a block that occur twice or more, copies counted."""
+    anchor, parts = table["before"].to_numpy().astype(np.int64), table["bytes"].to_pylist()
+    n = np.array([len(x) - LENGTH + 1 for x in parts], dtype=np.int64)
     # each slice lies so that its anchor is at a whole period
     text, places, at = bytearray(), np.zeros(len(parts), dtype=np.int64), 0
     for i, part in enumerate(parts):
@@ -179,31 +191,35 @@ def _sorted_repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     bucket = np.unique(table["suffix_bucket"].to_numpy(), return_inverse=True)[1]
     groups = bucket[rows] * LENGTH + (anchor[rows] - offset)
     order, classes = block_classes(np.frombuffer(bytes(text), dtype=np.uint8), places[rows] + offset, groups)
-    twice = np.bincount(classes)[classes] > 1
-    found = order[twice]
-    found = found[table["alone"].to_numpy(zero_copy_only=False)[rows[found]]]
-    return rows[found], offset[found]
+    copies = table["copies"].to_numpy()[rows]
+    found = np.zeros(len(rows) + 1, dtype=bool)
+    found[order] = np.bincount(classes, weights=copies[order])[classes] > 1
+    # neighbouring strings of a slice as one range
+    joins = np.concatenate([[False], found[:-2] & found[1:-1] & (rows[1:] == rows[:-1]), [False]])
+    first, last = np.flatnonzero(found[:-1] & ~joins[:-1]), np.flatnonzero(found[:-1] & ~joins[1:])
+    return rows[first], offset[first], offset[last]
 
 
-def _compared(slices: DataFrame) -> DataFrame:
-    """(doc_key, text_key, lo, hi): strings of ``alone`` runs that stand elsewhere too."""
-    counts = slices.groupBy("suffix_bucket").agg(F.count("*").alias("n_runs"), F.max("alone").alias("any_alone")).filter("n_runs > 1 and any_alone").drop("any_alone")
-    counts = stored(counts, "suffix-counts")
-    open_ones = stored(slices.join(counts, "suffix_bucket"), "suffix-open")
-    schema = "doc_key long, text_key int, lo int, hi int"
+def _sorted(pieces: DataFrame) -> DataFrame:
+    """(piece, lo, hi): repeated strings by slice, from ``pieces`` (suffix_bucket, before, piece, bytes, copies)."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            row, offset = _sorted_repeats(table)
-            lo = pa.array((table["start"].to_numpy()[row] + offset).astype(np.int32))
-            return pa.RecordBatch.from_arrays([*(table[k].combine_chunks().take(pa.array(row)) for k in KEYS), lo, lo], names=["doc_key", "text_key", "lo", "hi"])
+            # a bucket of one row, seen once, has nothing to be equal to
+            code = np.unique(table["suffix_bucket"].to_numpy(), return_inverse=True)[1]
+            table = table.filter(pa.array(np.bincount(code, weights=table["copies"].to_numpy())[code] > 1))
+            row, lo, hi = sorted_repeats(table) if len(table) else (np.zeros(0, np.int64),) * 3
+            names = table["piece"].combine_chunks().take(pa.array(row))
+            return pa.RecordBatch.from_arrays([names, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["piece", "lo", "hi"])
 
         held, size, last = [], 0, None
         for batch in batches:
+            if not len(batch):
+                continue
             buckets = batch.column("suffix_bucket").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, [len(buckets)]])
-            weights = np.concatenate([[0], np.cumsum(batch.column("n").to_numpy().astype(np.int64) + LENGTH)])
+            weights = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy().astype(np.int64))])
             begin = 0
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 # a block ends only where a suffix bucket does
@@ -217,38 +233,40 @@ def _compared(slices: DataFrame) -> DataFrame:
         if held:
             yield solved(held)
 
-    narrow = open_ones.filter(F.col("n_runs") <= WIDE).drop("n_runs").repartition("suffix_bucket").sortWithinPartitions("suffix_bucket")
-    by_sort = narrow.mapInArrow(sort, schema)
-    # strings of wide buckets, told apart by two hashes
-    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("offset")
-    wide = open_ones.filter(F.col("n_runs") > WIDE).select("suffix_bucket", "anchor", *KEYS, "start", "alone", "bytes", at)
+    dealt = pieces.select("suffix_bucket", "before", "piece", "bytes", "copies").repartition("suffix_bucket").sortWithinPartitions("suffix_bucket")
+    return dealt.mapInArrow(sort, "piece binary, lo int, hi int")
+
+
+def _repeats(pieces: DataFrame) -> DataFrame:
+    """(piece, lo, hi) of all ``pieces``; buckets too wide for a block are dealt anew, string by string."""
+    wide = stored(pieces.groupBy("suffix_bucket").agg(F.sum(F.length("bytes")).alias("size")).filter(F.col("size") > WIDE_BYTES).select("suffix_bucket"), "suffix-wide")
+    found = _sorted(pieces.join(wide, "suffix_bucket", "left_anti"))
     string = F.expr(f"substring(bytes, offset + 1, {LENGTH})")
-    wide = wide.select("suffix_bucket", (F.col("anchor") - F.col("offset")).alias("before"), F.xxhash64(string).alias("hash_a"), F.xxhash64(F.lit(1), string).alias("hash_b"), *KEYS, (F.col("start") + F.col("offset")).alias("lo"), "alone")
-    which = ["suffix_bucket", "before", "hash_a", "hash_b"]
-    twice = wide.groupBy(*which).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    by_hash = wide.filter("alone").join(twice, which).select(*KEYS, "lo", F.col("lo").alias("hi"))
-    return by_sort.union(by_hash)
+    single = pieces.join(wide, "suffix_bucket").select("piece", "before", "bytes", "copies", F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)).alias("offset"))
+    single = single.select("piece", "offset", "copies", (F.col("before") - F.col("offset")).alias("before"), string.alias("bytes"))
+    name = F.substring(F.unhex(F.sha2(F.concat(F.col("before").cast("string").cast("binary"), F.lit(":").cast("binary"), F.col("bytes")), 256)), 1, 16)
+    strings = single.groupBy("before", "bytes").agg(F.sum("copies").alias("copies"))
+    twice = stored(_sorted(strings.select(F.xxhash64("before", "bytes").alias("suffix_bucket"), "before", name.alias("piece"), "bytes", "copies")), "suffix-twice")
+    again = single.select("piece", "offset", name.alias("string")).join(twice.select(F.col("piece").alias("string")), "string")
+    return found.union(again.select("piece", F.col("offset").alias("lo"), F.col("offset").alias("hi")))
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, starts): where repeated strings start, as (lo, hi) ranges of each document."""
+    """(row_key, starts): where repeated strings start, as (lo, hi) ranges of each document."""
     texts = _keyed(docs)
     runs = stored(_anchored(texts), "suffix-runs")
-    # written, so that the join may split a bucket that many runs share
-    shared = stored(runs.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "suffix-buckets")
-    kept = stored(runs.join(shared, "bucket"), "suffix-shared")
+    # tables are written where the next join is to split a key that many rows share
+    shared = stored(runs.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "suffix-shared")
+    lists = stored(runs.join(shared, "bucket").groupBy(KEY).agg(F.collect_set(F.struct("lo", "hi", "anchor", "bucket")).alias("runs")), "suffix-lists")
     dropped(runs, shared)
-    hulls = kept.groupBy("bucket", "hull").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "lo", "hi", "anchor")).alias("one"))
-    hulls = stored(hulls, "suffix-hulls")
-    mixed = stored(hulls.groupBy("bucket").agg(F.count("*").alias("hulls")).filter("hulls > 1").select("bucket"), "suffix-mixed")
-    wanted = hulls.join(mixed, "bucket").select("bucket", (F.col("n") == 1).alias("alone"), "one.*")
-    slices = stored(_slices(texts, wanted), "suffix-slices")
-    single = stored(_compared(slices), "suffix-single")
-    dropped(slices)
-    whole = kept.join(hulls.filter("n > 1").select("bucket", "hull"), ["bucket", "hull"]).select(*KEYS, "lo", "hi")
-    ranges = whole.union(single).groupBy(*KEYS, "lo").agg(F.max("hi").alias("hi"))
-    starts = stored(ranges.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("starts")), "suffix-starts")
-    dropped(kept, hulls, mixed, single)
+    slices = stored(_slices(texts, lists), "suffix-slices")
+    dropped(lists)
+    pieces = stored(slices.groupBy("suffix_bucket", "before", "piece", "bytes").agg(F.count("*").alias("copies")), "suffix-pieces")
+    found = stored(_repeats(pieces), "suffix-found")
+    dropped(pieces)
+    ranges = slices.select(KEY, "start", "piece").join(found, "piece").select(KEY, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    starts = stored(ranges.groupBy(KEY).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("starts")), "suffix-starts")
+    dropped(slices, found)
     return starts
 
 
@@ -283,8 +301,8 @@ def repeat_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.string()), strict=True))], names=[x.split()[0] for x in schema.split(", ")])
 
     starts = repeated_starts(docs)
-    keyed = _keyed(docs.select("doc_id", "text")).withColumn("doc_id", F.nullif("doc_key", F.lit(-(2**63))))
-    return keyed.join(starts, KEYS, "left").select("doc_id", "text", "starts").mapInArrow(digest, schema)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _row_key(F.col("doc_id"), F.col("text")).alias(KEY))
+    return keyed.join(starts, KEY, "left").select("doc_id", "text", "starts").mapInArrow(digest, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -293,8 +311,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns, schema = docs.columns, docs.schema
     plain = docs.toDF(*(f"in_{i}" for i in range(len(columns))))
     at = columns.index("text")
-    keyed = plain.withColumns({k: c for k, c in zip(KEYS, _key_columns(F.col(f"in_{columns.index('doc_id')}"), F.col(f"in_{at}")), strict=True)})
-    joined = keyed.join(starts, KEYS, "left").drop(*KEYS)
+    keyed = plain.withColumn(KEY, _row_key(F.col(f"in_{columns.index('doc_id')}"), F.col(f"in_{at}")))
+    joined = keyed.join(starts, KEY, "left").drop(KEY)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import neardup, suffixes
 from lodestar.llm.graph import components
@@ -129,7 +130,7 @@ def _sorted(rows):
 @pytest.mark.parametrize("wide", [False, True])
 def test_repeats_match_brute_force(spark, monkeypatch, wide):
     if wide:  # every suffix bucket takes the way of the largest
-        monkeypatch.setattr(suffixes, "WIDE", 1)
+        monkeypatch.setattr(suffixes, "WIDE_BYTES", 1)
     got = suffixes.repeat_table(documents(spark)).collect()
     assert _sorted(got) == _sorted(brute_repeats([r[:2] for r in rows()]))
     assert suffixes.repeat_table(empty(spark)).count() == 0
@@ -142,6 +143,22 @@ def test_shared_passages_and_periods(spark):
     assert _sorted(suffixes.repeat_table(df).collect()) == _sorted(brute_repeats(texts))
 
 
+def test_the_sort_decides(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_sorted", lambda pieces: pieces.select("piece", F.lit(0).alias("lo"), F.lit(0).alias("hi")).limit(0))
+    assert {r.n_removed for r in suffixes.repeat_table(documents(spark)).collect()} == {0}
+
+
+def test_rows_without_id_are_told_apart_by_their_texts(spark):
+    # two texts whose 32-bit hashes are equal, one of them repeated elsewhere
+    other = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(256))
+    made = spark.range(400_000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2((F.col("id") + 10**9).cast("string"), 512)).alias("t")).withColumn("h", F.hash("t"))
+    pair = made.groupBy("h").agg(F.collect_list("t").alias("t")).filter(F.size("t") > 1).first()
+    a, b = pair.t[:2]
+    texts = [(None, a), (None, b), (5, a), (-(2**63), other), (None, other + "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert _sorted(suffixes.repeat_table(df).collect()) == _sorted(brute_repeats(texts))
+
+
 def test_removed_text_keeps_columns(spark):
     out = suffixes.remove_repeats(documents(spark))
     assert out.columns == documents(spark).columns
