@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -49,34 +50,9 @@ def by_words(text: Column, include: Sequence[str], exclude: Sequence[str] = ())
     return condition & ~any_of(exclude) if exclude else condition
 
 
-def checked(raw: Mapping[str, Any], departments: Mapping[str, str], categories: Sequence[str], key: Any) -> tuple[dict, list[str]]:
-    """The valid fields of an extracted filter, and a warning for each other one.
-
-    ``departments`` gives the shown name by ``key`` of what was written.
-    """
-    good: dict[str, Any] = {}
-    warnings: list[str] = []
-
-    def settle(field: str, value: Any, accepted: Any) -> None:
-        if accepted is None:
-            warnings.append(f"{field} not recognised: {value}")
-        else:
-            good[field] = accepted
-
-    if raw.get("department"):
-        settle("department", raw["department"], departments.get(key(raw["department"])))
-    if raw.get("category"):
-        settle("category", raw["category"], raw["category"] if raw["category"] in categories else None)
-    for field in ("amount_min", "amount_max"):
-        value = raw.get(field)
-        if value is not None:
-            number = isinstance(value, int | float) and not isinstance(value, bool) and value >= 0
-            settle(field, value, float(value) if number else None)
-    for field in ("date_from", "date_to"):
-        value = raw.get(field)
-        if value:
-            settle(field, value, _iso_day(str(value)))
-    return good, warnings
+def _amount(value: Any) -> float | None:
+    number = isinstance(value, int | float) and not isinstance(value, bool)
+    return float(value) if number and value >= 0 else None
 
 
 def _iso_day(text: str) -> str | None:
@@ -88,23 +64,52 @@ def _iso_day(text: str) -> str | None:
         return None
 
 
+@dataclass(frozen=True)
+class Rule:
+    """How one field of a filter is read, and how two limits on it become one."""
+
+    read: Callable[[Any], Any]
+    tighter: Callable[[Iterable], Any] | None = None
+    #: The field that lists several values for the same column.
+    many: str | None = None
+
+
+def rules(departments: Mapping[str, str], categories: Sequence[str], key: Callable[[str], str]) -> dict[str, Rule]:
+    """The rule of every field; ``departments`` gives the shown name by ``key`` of what was written."""
+    listed = {c: c for c in categories}
+    return {
+        "department": Rule(lambda x: departments.get(key(x)), many="departments"),
+        "category": Rule(listed.get, many="categories"),
+        "amount_min": Rule(_amount, max),
+        "amount_max": Rule(_amount, min),
+        "date_from": Rule(lambda x: _iso_day(str(x)), max),
+        "date_to": Rule(lambda x: _iso_day(str(x)), min),
+    }
+
+
+RULES = rules({}, (), str)
+
+
+def checked(raw: Mapping[str, Any], departments: Mapping[str, str], categories: Sequence[str], key: Any) -> tuple[dict, list[str]]:
+    """The valid fields of an extracted filter, and a warning for each other one."""
+    given = {field: raw[field] for field in FIELDS if raw.get(field) not in (None, "")}
+    by = rules(departments, categories, key)
+    read = {field: (value, by[field].read(value)) for field, value in given.items()}
+    good = {field: got for field, (_, got) in read.items() if got is not None}
+    return good, [f"{field} not recognised: {read[field][0]}" for field in read if field not in good]
+
+
 def combined(asked: Mapping[str, Any], chosen: Mapping[str, Any]) -> tuple[dict, bool]:
     """Both filters at once, and whether they contradict each other in a listed field.
 
     Limits that cross are no contradiction; they just match nothing.
     """
-    out, against = dict(asked), False
-    for one, many in (("department", "departments"), ("category", "categories")):
-        if chosen.get(many):
-            if asked.get(one):
-                against |= asked[one] not in chosen[many]
-            else:
-                out[many] = list(chosen[many])
-    for field, narrower in (("amount_min", max), ("date_from", max), ("amount_max", min), ("date_to", min)):
-        values = [f[field] for f in (asked, chosen) if f.get(field) is not None]
-        if values:
-            out[field] = narrower(values)
-    return out, against
+    # every field as the set of values that both allow; None allows all
+    wanted = {r.many: ({asked[f]} if asked.get(f) else None, list(chosen.get(r.many) or ())) for f, r in RULES.items() if r.many}
+    contradiction = any(one and many and one.isdisjoint(many) for one, many in wanted.values())
+    lists = {name: many for name, (one, many) in wanted.items() if many and not one}
+    limits = {f: [x[f] for x in (asked, chosen) if x.get(f) is not None] for f, r in RULES.items() if r.tighter}
+    return {**asked, **lists, **{f: RULES[f].tighter(x) for f, x in limits.items() if x}}, contradiction
 
 
 def step_counts(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:

@@ -1,156 +1,180 @@
-"""Version notes of consolidated laws: which text is in force, and a register of the changes.
+r"""Version notes of consolidated laws: which text is in force, and a register of the changes.
 
-Resolving is sequential inside a document (a note deletes earlier paragraphs
-and takes in later ones), so a document's paragraphs are one group.
+A note stands after the text it speaks of, and that text ends with a mark.
+Everything a note needs is found by windows over a document's paragraphs and
+by equi-joins on paragraph numbers:
+
+* the text marked last in the ``look_back`` paragraphs before the note;
+* the stretch that the note's new text takes up, to its closing quotation mark;
+* the stretch that the old text takes up, from the paragraph with the new
+  text's label to the marked one.
+
+``resolved`` gives both results at once: the text that stays of every
+paragraph, and what the register says of it.  Corrections of errata hold for
+all paragraphs of the document, whatever stands in the other notes.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from lodestar.schemas import PARAGRAPH, VERSION_NOTE, names
+from lodestar.schemas import PARAGRAPH, VERSION_NOTE, fields, names
 
 #: How many paragraphs back a note's old text may begin.
 LOOK_BACK = 15
 # fixed values: how the source words its notes
 MARK = "(*)"
 CHANGE = (
-    r"\(\*\)\s*(?P<unit>Literal|Numeral(?:\s+\d+)?|Disposición|Artículo|Párrafo)\s+"
-    r"(?P<action>modificad[oa]|incorporad[oa]|derogad[oa]|sustituid[oa])\s+por\s+(?P<norm>.+?),\s*publicad[oa]\s+el\s+(?P<dated>\d{1,2}\s+\w+\s+\d{4})"
+    r"(?s)^\(\*\)\s*(Literal|Numeral(?:\s+\d+)?|Disposición|Artículo|Párrafo)\s+"
+    r"(modificad[oa]|incorporad[oa]|derogad[oa]|sustituid[oa])\s+por\s+(.+?),\s*publicad[oa]\s+el\s+(\d{1,2}\s+(?U:\w+)\s+\d{4})"
 )
-VALIDITY = r"\(\*\)\s*De conformidad con"
-ERRATUM = r"\(\*\)\s*NOTA SPIJ.*?dice:\s*[“\"](?P<wrong>.+?)[”\"],\s*debiendo decir:\s*[“\"](?P<right>.+?)[”\"]"
-NEW_TEXT = r"(?i)cuyo texto es el siguiente:\s*"
-LABEL = r"[“\"]?\s*([a-zñ]\)|\d+(?:\.\d+)*\.?|[A-ZÁÉÍÓÚÑ]+(?:\s+[A-ZÁÉÍÓÚÑ]+)?\.)"
+VALIDITY = r"^\(\*\)\s*De conformidad con"
+ERRATUM = r"(?s)^\(\*\)\s*NOTA SPIJ.*?dice:\s*[“\"](.+?)[”\"],\s*debiendo decir:\s*[“\"](.+?)[”\"]"
+NEW_TEXT = r"(?iu)cuyo texto es el siguiente:\s*"
+LABEL = r"^\s*[“\"]?\s*([a-zñ]\)|\d+(?:\.\d+)*\.?|[A-ZÁÉÍÓÚÑ]+(?:\s+[A-ZÁÉÍÓÚÑ]+)?\.)"
 CLOSED = r"[”\"]\s*$"
 
 
-def label_of(text: str) -> str:
+def label_of(text: Column) -> Column:
     """The label a unit starts with (``e)``, ``41.1``, ``PRIMERA``), or nothing."""
-    found = re.match(LABEL, text.strip())
-    return found[1].rstrip(".").strip() if found else ""
+    return F.regexp_replace(F.regexp_extract(text, LABEL, 1), r"\.$", "")
 
 
-def note_kind(text: str) -> tuple[str, re.Match | None]:
+def note_kind(text: Column) -> Column:
     """erratum, validity, change or unknown; empty if the paragraph is no note."""
-    if not text.startswith(MARK):
-        return "", None
-    for kind, pattern in (("erratum", ERRATUM), ("validity", VALIDITY), ("change", CHANGE)):
-        if found := re.match(pattern, text, re.S):
-            return kind, found
-    return "unknown", None
-
-
-@dataclass
-class Resolver:
-    """One document's paragraphs in reading order; ``text`` is None where a paragraph has gone."""
-
-    pages: list[int]
-    text: list[str | None]
-    look_back: int = LOOK_BACK
-    register: list[dict] = field(default_factory=list)
-
-    def run(self) -> None:
-        self.join_split_notes()
-        gone: set[int] = set()
-        for at in range(len(self.text)):
-            kind, found = note_kind(self.text[at] or "")
-            if kind:
-                getattr(self, f"on_{kind}")(at, found, gone)
-        for at, text in enumerate(self.text):
-            bare = "" if at in gone else re.sub(r"\s*\(\*\)", "", text or "").strip()
-            self.text[at] = bare or None
-
-    def enter(self, at: int, action: str, **more: object) -> None:
-        self.register.append({"pos": at, "page": self.pages[at], "action": action} | more)
-
-    def join_split_notes(self) -> None:
-        """A note cut by the end of its page moves to the page where it goes on."""
-        for at in range(len(self.text) - 1):
-            here, after = self.text[at] or "", self.text[at + 1] or ""
-            if note_kind(here)[0] == "unknown" and self.pages[at] != self.pages[at + 1] and not after.startswith(MARK):
-                self.text[at], self.text[at + 1] = "", f"{here} {after}"
-
-    def on_erratum(self, at: int, found: re.Match, gone: set[int]) -> None:
-        wrong, right = found["wrong"], found["right"]
-        marked = re.compile(re.escape(wrong) + r"(\s*\(\*\)\s*NOTA SPIJ)?")
-        self.text = [t and marked.sub(lambda _: right, t) for t in self.text]
-        gone.add(at)
-        self.enter(at, "erratum", old_text=wrong, new_text=right)
-
-    def on_validity(self, at: int, found: re.Match, gone: set[int]) -> None:
-        self.text[at] = "[Nota de vigencia] " + re.sub(r"^\(\*\)\s*", "", self.text[at])
-        self.enter(at, "validity notice", state="kept", new_text=self.text[at][:120])
-
-    def on_unknown(self, at: int, found: None, gone: set[int]) -> None:
-        self.enter(at, "not recognised", state="to review", new_text=self.text[at][:160])
-
-    def on_change(self, at: int, found: re.Match, gone: set[int]) -> None:
-        unit, action, norm, dated = found["unit"], found["action"].lower(), " ".join(found["norm"].split()), found["dated"]
-        behind = range(at - 1, max(-1, at - 1 - self.look_back), -1)
-        marked = next((k for k in behind if (self.text[k] or "").rstrip().endswith(MARK)), None)
-        source = f"{action} por {norm}, publicada el {dated}]"
-        row = {"norm": norm, "dated": dated}
-        if action.startswith("incorporad"):
-            self.text[at] = f"[{unit} {source}"
-            self.enter(at, f"{unit} {action}", state="added text kept", **row)
-        elif action.startswith("derogad"):
-            old = "" if marked is None else self.text[marked]
-            if marked is not None:
-                gone.add(marked)
-            self.text[at] = " ".join(f"[{unit} {label_of(old)} {source}".split(" ")).replace("  ", " ")
-            self.enter(at, f"{unit} {action}", state="repealed text removed", old_text=old[:300], **row)
-        else:
-            new = self.new_text(at, gone)
-            label = label_of(new)
-            near = [] if marked is None or not label else range(marked, max(-1, marked - self.look_back), -1)
-            first = next((k for k in near if label_of(self.text[k] or "") == label), None)
-            old = [] if first is None else list(range(first, marked + 1))
-            gone.update(old)
-            self.text[at] = f"[Texto vigente — {unit} {source} {new}"
-            row |= {"label": label, "old_pages": sorted({self.pages[k] for k in old}), "old_text": " ".join(self.text[k] or "" for k in old)[:300], "new_text": new[:300]}
-            self.enter(at, f"{unit} {action}", state="old text removed" if old else "old text not found", **row)
-
-    def new_text(self, at: int, gone: set[int]) -> str:
-        """The text that the note brings; it may run on to the closing quotation mark, on this page."""
-        parts = re.split(NEW_TEXT, self.text[at], maxsplit=1)
-        new = parts[1] if len(parts) > 1 else ""
-        for k in range(at + 1, len(self.text)):
-            if re.search(CLOSED, new) or (self.text[k] or "").startswith(MARK) or self.pages[k] != self.pages[at]:
-                break
-            new = f"{new}\n{self.text[k]}"
-            gone.add(k)
-        return new.strip()
-
-
-def _resolved(group: pd.DataFrame, look_back: int) -> tuple[pd.DataFrame, Resolver]:
-    ordered = group.sort_values(["page", "pos"])
-    resolver = Resolver(ordered["page"].tolist(), ordered["text"].tolist(), look_back)
-    resolver.run()
-    return ordered, resolver
+    known = F.when(text.rlike(ERRATUM), "erratum").when(text.rlike(VALIDITY), "validity").when(text.rlike(CHANGE), "change")
+    return F.when(text.startswith(MARK), known.otherwise("unknown")).otherwise("")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _numbered(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs by number; a note cut by the end of its page goes to the page where it goes on."""
+    reading = W.partitionBy("document").orderBy("page", "pos")
+    cut = (note_kind(F.col("text")) == "unknown") & (F.lead("page").over(reading) != F.col("page")) & ~F.lead("text").over(reading).startswith(MARK)
+    begun = paragraphs.withColumns({"at": F.row_number().over(reading), "cut": F.coalesce(cut, F.lit(False))})
+    whole = F.when(F.lag("cut").over(reading), F.concat_ws(" ", F.lag("text").over(reading), "text")).otherwise(F.col("text"))
+    return begun.withColumn("text", F.when(F.col("cut"), "").otherwise(whole)).drop("cut").withColumn("kind", note_kind(F.col("text")))
+
+
+def _corrected(numbered: DataFrame) -> DataFrame:
+    """All errata of a document applied to its other paragraphs, in reading order."""
+    found = F.struct("at", F.regexp_extract("text", ERRATUM, 1).alias("wrong"), F.regexp_extract("text", ERRATUM, 2).alias("right"))
+    errata = numbered.filter("kind = 'erratum'").groupBy("document").agg(F.sort_array(F.collect_list(found)).alias("errata"))
+
+    def correct(text: Column, erratum: Column) -> Column:
+        pattern = F.concat(F.lit(r"\Q"), erratum["wrong"], F.lit(r"\E(\s*\(\*\)\s*NOTA SPIJ)?"))
+        return F.regexp_replace(text, pattern, F.regexp_replace(erratum["right"], r"([\\$])", r"\\$1"))
+
+    both = numbered.join(errata, "document", "left")
+    text = F.when((F.col("kind") == "erratum") | F.col("errata").isNull(), F.col("text")).otherwise(F.aggregate("errata", F.col("text"), correct))
+    return both.withColumn("text", text).drop("errata")
+
+
+def _changes(paragraphs: DataFrame, look_back: int) -> DataFrame:
+    """Change notes with the stretches of paragraphs that their new and old texts take up."""
+    reading = W.partitionBy("document").orderBy("at")
+    behind = reading.rowsBetween(-look_back, -1)
+    # what comes next, as what came last when read backwards
+    ahead = W.partitionBy("document").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, -1)
+    last = lambda condition, over: F.last(F.when(condition, F.col("at")), ignorenulls=True).over(over)
+    looked = paragraphs.withColumns(
+        {
+            "marked": last(F.rtrim("text").endswith(MARK), behind),
+            "closed": last(F.col("text").rlike(CLOSED), ahead),
+            "next_note": last(F.col("text").startswith(MARK), ahead),
+            "page_end": F.max("at").over(W.partitionBy("document", "page")),
+        }
+    )
+    brought = F.when(F.col("text").rlike(NEW_TEXT), F.get(F.split("text", NEW_TEXT, 2), F.lit(1))).otherwise("")
+    part = lambda i: F.regexp_extract("text", CHANGE, i)
+    notes = looked.filter("kind = 'change'").select(
+        "document", "page", F.col("at").alias("note"), "marked", part(1).alias("unit"), F.lower(part(2)).alias("action"), F.regexp_replace(part(3), r"\s+", " ").alias("norm"), part(4).alias("dated"), brought.alias("new"),
+        F.least("closed", F.col("next_note") - 1, "page_end").alias("new_end"),
+    )
+    replaces = F.col("action").rlike("^(modificad|sustituid)")
+    notes = notes.withColumns({"replaces": replaces, "new_end": F.when(replaces & ~F.col("new").rlike(CLOSED), F.col("new_end")).otherwise(F.col("note"))})
+    at = lambda first, end: F.explode(F.when(first <= end, F.sequence(first, end)))
+    row = F.struct("at", F.col("page").alias("on_page"), "text")
+    rows = paragraphs.select("document", "at", row.alias("row"))
+
+    def stretch(first: Column, end: Column, name: str) -> DataFrame:
+        """The paragraphs ``first`` to ``end`` of every note, in one array."""
+        wanted = notes.select("document", "note", at(first, end).alias("at"))
+        return wanted.join(rows, ["document", "at"]).groupBy("document", "note").agg(F.sort_array(F.collect_list("row")).alias(name))
+
+    after = stretch(F.col("note") + 1, F.col("new_end"), "after")
+    before = stretch(F.greatest(F.lit(1), F.col("marked") - (look_back - 1)), F.col("marked"), "before")
+    full = notes.join(after, ["document", "note"], "left").join(before, ["document", "note"], "left")
+    none = F.expr("cast(array() as array<struct<at:int,on_page:int,text:string>>)")
+    full = full.withColumns({"after": F.coalesce("after", none), "before": F.coalesce("before", none)})
+    full = full.withColumn("new", _stripped(F.concat_ws("\n", F.array("new"), F.transform("after", lambda r: r["text"])))).withColumn("label", F.when(F.col("replaces"), label_of(F.col("new"))))
+    first = F.array_max(F.transform(F.filter("before", lambda r: label_of(r["text"]) == F.col("label")), lambda r: r["at"]))
+    full = full.withColumn("first", F.when(F.col("replaces") & (F.col("label") != ""), first).when(F.col("action").startswith("derogad"), F.col("marked")))
+    return full.withColumn("old", F.filter("before", lambda r: r["at"] >= F.col("first")))
+
+
+def _entered(notes: DataFrame) -> DataFrame:
+    """(document, at, said, entry): what stands in a change note's place, and its line in the register."""
+    texts = F.concat_ws(" ", F.transform("old", lambda r: r["text"]))
+    source = F.concat(F.col("action"), F.lit(" por "), F.col("norm"), F.lit(", publicada el "), F.col("dated"), F.lit("]"))
+    gone, added = F.col("action").startswith("derogad"), F.col("action").startswith("incorporad")
+    label = F.when(gone, F.nullif(label_of(texts), F.lit("")))
+    said = F.concat(F.when(F.col("replaces"), "[Texto vigente — ").otherwise("["), F.concat_ws(" ", "unit", label, source), F.when(F.col("replaces"), F.concat(F.lit(" "), "new")).otherwise(""))
+    found = F.size("old") > 0
+    state = F.when(added, "added text kept").when(gone, "repealed text removed").when(found, "old text removed").otherwise("old text not found")
+    line = {
+        "action": F.concat_ws(" ", "unit", "action"),
+        "norm": F.col("norm"),
+        "dated": F.col("dated"),
+        "old_pages": F.when(F.col("replaces"), F.sort_array(F.array_distinct(F.transform("old", lambda r: r["on_page"])))),
+        "label": F.col("label"),
+        "state": state,
+        "old_text": F.when(~added, F.substring(F.coalesce(texts, F.lit("")), 1, 300)),
+        "new_text": F.when(F.col("replaces"), F.substring("new", 1, 300)),
+    }
+    return notes.select("document", F.col("note").alias("at"), said.alias("said"), _line(line).alias("entry"))
+
+
+def _line(values: dict[str, Column]) -> Column:
+    return F.struct(*(values.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields(VERSION_NOTE) if n not in ("document", "pos", "page")))
+
+
+def resolved(paragraphs: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
+    """Every paragraph with the text that stays of it (null: none) and, for notes, its register ``entry``."""
+    numbered = _corrected(_numbered(paragraphs))
+    notes = _changes(numbered, look_back)
+    taken = notes.select("document", F.explode(F.concat("old", "after")["at"]).alias("at")).distinct().withColumn("taken", F.lit(True))
+    every = numbered.join(_entered(notes), ["document", "at"], "left").join(taken, ["document", "at"], "left")
+    kind, text = F.col("kind"), F.col("text")
+    notice = F.concat(F.lit("[Nota de vigencia] "), F.regexp_replace(text, r"^\(\*\)\s*", ""))
+    stays = F.when(F.col("taken") | (kind == "erratum"), None).when(kind == "validity", notice).otherwise(F.coalesce("said", text))
+    entry = (
+        F.when(kind == "erratum", _line({"action": F.lit("erratum"), "old_text": F.regexp_extract(text, ERRATUM, 1), "new_text": F.regexp_extract(text, ERRATUM, 2)}))
+        .when(kind == "validity", _line({"action": F.lit("validity notice"), "state": F.lit("kept"), "new_text": F.substring(notice, 1, 120)}))
+        .when(kind == "unknown", _line({"action": F.lit("not recognised"), "state": F.lit("to review"), "new_text": F.substring(text, 1, 160)}))
+        .otherwise(F.col("entry"))
+    )
+    bare = F.nullif(_stripped(F.regexp_replace(stays, r"\s*\(\*\)", "")), F.lit(""))
+    return every.select("document", "page", "pos", bare.alias("text"), F.when(kind != "", entry).alias("entry"))
 
 
 def in_force(paragraphs: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     """The paragraphs with every note resolved; pages and positions stay."""
-
-    def clean(group: pd.DataFrame) -> pd.DataFrame:
-        ordered, resolver = _resolved(group, look_back)
-        return ordered.assign(text=resolver.text).dropna(subset=["text"])[names(PARAGRAPH)]
-
-    return paragraphs.groupBy("document").applyInPandas(clean, PARAGRAPH)
+    return standing(resolved(paragraphs, look_back))
 
 
 def register(paragraphs: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     """One row for every note: what it did, and which text it replaced."""
+    return entries(resolved(paragraphs, look_back))
+
+
+def standing(rows: DataFrame) -> DataFrame:
+    return rows.filter("text is not null").select(*names(PARAGRAPH))
 
-    def enter(group: pd.DataFrame) -> pd.DataFrame:
-        ordered, resolver = _resolved(group, look_back)
-        rows = pd.DataFrame(resolver.register, columns=[c for c in names(VERSION_NOTE) if c != "document"], dtype=object)
-        rows.insert(0, "document", ordered["document"].iat[0])
-        return rows.where(rows.notna(), None)
 
-    return paragraphs.groupBy("document").applyInPandas(enter, VERSION_NOTE)
+def entries(rows: DataFrame) -> DataFrame:
+    """The register's lines among ``resolved`` rows; ``pos`` is the note's place on its page."""
+    return rows.filter("entry is not null").select("document", "pos", "page", *(F.col(f"entry.{n}").alias(n) for n in names(VERSION_NOTE) if n not in ("document", "pos", "page"))).select(*names(VERSION_NOTE))

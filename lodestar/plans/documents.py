@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestar.functions.text import ligatures_joined, removed
 from lodestar.operators.chunks import chunked, pages_of_paragraphs, paragraphs, with_metadata
-from lodestar.operators.versions import in_force, register
+from lodestar.operators.versions import entries, resolved, standing
 
 # fixed values: page furniture of the gazette and of the consolidated edition
 FURNITURE = {
@@ -33,19 +33,19 @@ def rule_counts(noise: DataFrame) -> DataFrame:
 
 
 def clean_paragraphs(pages: DataFrame, with_notes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs to keep, paragraphs of documents with notes before they are resolved)."""
+    """(paragraphs to keep, resolved paragraphs of the documents with notes, for their register)."""
     quiet = noise_out(pages).drop("hits")
     noted = F.col("document").isin(list(with_notes))
     wanted = lambda df: df.filter(~F.col("text").rlike(DROPPED_PARAGRAPHS))
     plain = wanted(paragraphs(quiet.filter(~noted), blank_lines=False))
-    raw = wanted(paragraphs(quiet.filter(noted), blank_lines=True))
-    return plain.unionByName(in_force(raw).select(*plain.columns)), raw
+    rows = resolved(wanted(paragraphs(quiet.filter(noted), blank_lines=True))).persist()
+    return plain.unionByName(standing(rows).select(*plain.columns)), rows
 
 
 def clean_documents(pages: DataFrame, with_notes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(clean pages, register of version notes)."""
-    kept, raw = clean_paragraphs(pages, with_notes)
-    return pages_of_paragraphs(kept), register(raw)
+    kept, rows = clean_paragraphs(pages, with_notes)
+    return pages_of_paragraphs(kept), entries(rows)
 
 
 def chunk_documents(pages: DataFrame, catalogue: DataFrame, size: int = 500, overlap: int = 150) -> DataFrame:

@@ -95,6 +95,23 @@ def test_ingestion_survives_a_broken_network(tmp_path):
         other.page(1)
 
 
+def test_a_torn_page_is_fetched_again(tmp_path):
+    made, _ = client(tmp_path, server := Server())
+    (tmp_path / "page_00002.json").write_text('{"results": [{"oc')
+    (tmp_path / "page_00003.json.part").write_text("left behind")
+    rows, how = paged_api.ingested(made, 10)
+    assert how == "complete" and len(rows) == 6 and server.calls == 3
+    assert json.loads((tmp_path / "page_00002.json").read_text())["results"][0] == {"ocid": "o2"}
+
+
+def test_lanes_read_every_page_once(tmp_path):
+    for page in range(1, 8):
+        (tmp_path / f"page_{page:05d}.json").write_text(json.dumps({"results": [{"n": page}], "has_next": page < 7}))
+    for options in ({"last": "7", "lanes": "3"}, {"last": "7"}, {}):
+        reader = paged_api.PagedReader({"url": "http://127.0.0.1:1/{page}", "cache": str(tmp_path)} | options)
+        assert sorted(n for lane in reader.partitions() for n, _ in reader.read(lane)) == list(range(1, 8))
+
+
 def test_api_as_a_data_source(spark, tmp_path):
     for page in (1, 2):
         (tmp_path / f"page_{page:05d}.json").write_text(json.dumps({"results": [{"ocid": "a", "buyer": {"id": "b"}}, {"ocid": f"o{page}"}]}))
