@@ -2,49 +2,56 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# fixed values: letters with marks and what they compare as
-MARKED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+
+def _folded(first: int, last: int) -> dict[str, str]:
+    """Capitals of a range that decompose into one plain character, and that character."""
+    plain = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in range(first, last + 1)}
+    return {c: p.upper() for c, p in plain.items() if len(p.upper()) == 1 and p.upper() != c}
+
+
+#: Latin, Greek, Cyrillic, further Latin and Greek, and full-width letters.
+FOLDED = {c: p for span in ((0xAA, 0x52F), (0x1E00, 0x1FFF), (0xFF01, 0xFF5E)) for c, p in _folded(*span).items()}
+MARKED, PLAIN = "".join(FOLDED), "".join(FOLDED.values())
+# fixed values: Unicode's white space
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space (Unicode's too) as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
 def accent_key(text: Column) -> Column:
     """Comparison key without marks, case and extra blanks; null gives the empty key.
 
-    Built-in functions only, for the letters in ``MARKED``; ``accent_key_full``
-    covers all of Unicode.
+    Built-in functions only: marks that stand alone are taken out, letters with
+    marks are looked up in ``FOLDED``; ``accent_key_full`` covers what else
+    Unicode decomposes (ligatures, fractions, other scripts).
     """
-    return squeeze(F.translate(F.upper(F.coalesce(text.cast("string"), F.lit(""))), MARKED, PLAIN))
+    upper = F.upper(F.coalesce(text.cast("string"), F.lit("")))
+    return squeeze(F.translate(F.regexp_replace(upper, r"\p{Mn}+", ""), MARKED, PLAIN))
 
 
 def accent_key_full(text: Column) -> Column:
-    """``accent_key`` by full decomposition, for letters beyond ``MARKED``."""
+    """``accent_key`` by full decomposition, for letters beyond ``FOLDED``."""
 
     @F.pandas_udf(T.StringType())
     def run(column: pd.Series) -> pd.Series:
-        parts = column.fillna("").astype(str).str.normalize("NFKD").map(lambda s: "".join(c for c in s if not _combining(c)))
+        parts = column.fillna("").astype(str).str.normalize("NFKD").map(lambda s: "".join(c for c in s if not unicodedata.combining(c)))
         return parts.str.upper().str.split().str.join(" ")
 
     return run(text)
 
 
-def _combining(char: str) -> bool:
-    import unicodedata
-
-    return bool(unicodedata.combining(char))
-
-
 def literal_newlines_out(text: Column) -> Column:
     r"""A written-out ``\n`` becomes a blank."""
     return squeeze(F.replace(text, F.lit("\\n"), F.lit(" ")))

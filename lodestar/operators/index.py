@@ -1,10 +1,13 @@
 """The vector table: what must be embedded, what is stale, and its replacement.
 
-The table is Parquet, one folder per model and chunk configuration.
+The table is Parquet, one folder per model and chunk configuration, in it one
+folder per version.  ``build`` writes the next version; readers take the last
+one that is complete, so a build that breaks changes nothing for them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -148,9 +151,57 @@ def index_path(root: str, model: str, configuration: str) -> str:
     return f"{root.rstrip('/')}/{model}__{configuration}"
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table, in order."""
+    where, files = _files(spark, path)
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d{6}", n) and files.exists(_files(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
 def open_index(spark: SparkSession, path: str) -> DataFrame:
-    """The table, read only; it must be there."""
-    return spark.read.parquet(path)
+    """The table's last version, read only; it must be there."""
+    if not (known := versions(spark, path)):
+        raise FileNotFoundError(f"no index in {path}")
+    return spark.read.parquet(f"{path}/v{known[-1]:06d}")
+
+
+def build(current: DataFrame, path: str, make: Callable[[], Embedder], steps: int = 8) -> DataFrame:
+    """Brings the table in ``path`` up to ``current`` (id, text, metadata..., hash) and returns it.
+
+    New and changed rows are embedded in ``steps`` by their ids, and every step
+    is kept in a staging folder: a build that broke goes on after its last
+    whole step.  Then kept and staged rows become the next version.  With
+    nothing changed no version is written.
+    """
+    spark, staging = current.sparkSession, f"{path}/staging"
+    known = versions(spark, path)
+    indexed = open_index(spark, path) if known else None
+    if indexed is not None and not pending(current, indexed).limit(1).count() and not stale(current, indexed).limit(1).count():
+        return indexed
+    step = F.pmod(F.xxhash64("id"), F.lit(steps))
+    parts = []
+    for i in range(steps):
+        part, files = _files(spark, f"{staging}/{i}")
+        if not files.exists(_files(spark, f"{staging}/{i}/_SUCCESS")[0]):
+            todo = current.filter(step == i)
+            todo = todo if indexed is None else pending(todo, indexed).select(*current.columns)
+            embedded(todo, "text", make).write.mode("overwrite").parquet(str(part))
+        parts.append(str(part))
+    # a step from a build that broke may hold rows that have changed since: those are embedded again
+    staged = spark.read.parquet(*parts)
+    have = staged if indexed is None else indexed.unionByName(staged)
+    new = refreshed(current, have.dropDuplicates(["id", "hash"]), make)
+    new.write.mode("overwrite").parquet(f"{path}/v{(known or [0])[-1] + 1:06d}")
+    where, files = _files(spark, staging)
+    files.delete(where, True)
+    return open_index(spark, path)
 
 
 def refreshed(current: DataFrame, indexed: DataFrame | None, make: Callable[[], Embedder]) -> DataFrame:

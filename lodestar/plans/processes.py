@@ -121,7 +121,8 @@ def with_basics(df: DataFrame, rules: Rules) -> DataFrame:
 def with_repeats(df: DataFrame, rules: Rules) -> DataFrame:
     """Rules 1b and 1c: one tender under two ids; one title of one buyer again."""
     newest = [F.desc_nulls_last("compiled_at"), F.desc("n_releases"), F.asc("ocid")]
-    by_tender = W.partitionBy("tender_id")
+    # processes without a tender are no group, so each is a partition of its own
+    by_tender = W.partitionBy(F.coalesce(F.col("tender_id"), F.concat(F.lit("\u0000"), "ocid")))
     df = df.withColumns({"_tender_n": F.count("*").over(by_tender), "_tender_at": F.row_number().over(by_tender.orderBy(*newest))})
     copy = F.col("tender_id").isNotNull() & (F.col("_tender_n") > 1) & (F.col("_tender_at") > 1)
     df = df.withColumns({"in_analysis": ~copy, "excluded_because": F.when(copy, "same tender under another id").otherwise("")})
@@ -133,7 +134,7 @@ def with_repeats(df: DataFrame, rules: Rules) -> DataFrame:
     df = df.join(kinds, "ocid", "left").withColumns({"version_kind": F.coalesce("version_kind", F.lit("")), "is_current": F.coalesce("is_current", F.lit(True))})
     # the same day and description again inside a group is the same process counted twice
     eligible = (F.col("version_kind") != "") & F.col("in_analysis")
-    same_day = W.partitionBy("buyer_id", "title", F.to_date("published"), "description", eligible.cast("int")).orderBy(*newest)
+    same_day = W.partitionBy("buyer_id", "title", F.to_date("published"), "description", F.when(~eligible, F.col("ocid"))).orderBy(*newest)
     again = eligible & (F.row_number().over(same_day) > 1)
     df = df.withColumn("_again", again)
     df = df.withColumns({"in_analysis": F.col("in_analysis") & ~F.col("_again"), "excluded_because": F.when(F.col("_again"), "registered again on the same day").otherwise(F.col("excluded_because"))})

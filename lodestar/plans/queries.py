@@ -166,20 +166,25 @@ def clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.squeeze(F.col("text"))).alias("digest"))
 
 
-@query(rf"""SELECT doc_id, md5(trim(regexp_replace(translate(upper(replace(text, 'ß', 'SS')), '{tx.MARKED}', '{tx.PLAIN}'), '\s+', ' ', 'g'))) AS digest FROM documents""")
+#: By the database's own folding, which shares no table with the code.
+_FOLD = r"trim(regexp_replace(upper(strip_accents(replace({}, 'ß', 'SS'))), '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}\p{{Zs}}]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_FOLD.format('text')}) AS digest FROM documents")
 def accent_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.accent_key(F.col("text"))).alias("digest"))
 
 
-@query(rf"""WITH w AS (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents WHERE lang IN ('fr', 'es'))
-SELECT trim(regexp_replace(translate(upper(word), '{tx.MARKED}', '{tx.PLAIN}'), '\s+', ' ', 'g')) AS key, count(DISTINCT word) AS spellings FROM w GROUP BY 1 HAVING count(DISTINCT word) > 1""")
+@query(f"""WITH w AS (SELECT coalesce(lang, '') || ':' || unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents)
+SELECT {_FOLD.format('word')} AS key, count(DISTINCT word) AS spellings FROM w GROUP BY 1 HAVING count(DISTINCT word) > 1""")
 def accent_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "es")).select(F.explode(F.split("text", "[ \\n]")).alias("word"))
-    return lookups.spelling_variants(words, "word", tx.accent_key(F.col("word")))
+    """Spellings inside each language."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \\n]")).alias("word"), "lang")
+    return lookups.spelling_variants(words.select(F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), "word").alias("word")), "word", tx.accent_key(F.col("word")))
 
 
-@query(rf"""WITH w AS (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents)
-SELECT trim(regexp_replace(translate(upper(replace(word, 'ß', 'SS')), '{tx.MARKED}', '{tx.PLAIN}'), '\s+', ' ', 'g')) AS key, count(DISTINCT word) AS spellings FROM w GROUP BY 1 HAVING count(DISTINCT word) > 1""")
+@query(f"""WITH w AS (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents)
+SELECT {_FOLD.format('word')} AS key, count(DISTINCT word) AS spellings FROM w GROUP BY 1 HAVING count(DISTINCT word) > 1""")
 def accent_variants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \\n]")).alias("word"))
     return lookups.spelling_variants(words, "word", tx.accent_key(F.col("word")))
@@ -572,7 +577,28 @@ def paragraph_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy(F.col("document").cast("long").alias("doc_id")).agg(F.count("*").alias("paragraphs"))
 
 
-@query(None)
+_CHUNKS = """
+WITH paragraphs AS (
+  SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ps FROM documents
+), cut AS (
+  SELECT doc_id, list_transform(ps, lambda p: CASE WHEN length(p) <= 500 THEN {'done': CAST([] AS VARCHAR[]), 'now': p} ELSE
+    list_reduce(list_transform(string_split(p, ' '), lambda w: {'done': CAST([] AS VARCHAR[]), 'now': w}),
+      lambda s, x: CASE WHEN s.now <> '' AND length(s.now) + 1 + length(x.now) > 500 THEN {'done': list_append(s.done, s.now), 'now': x.now} ELSE {'done': s.done, 'now': trim(s.now || ' ' || x.now, ' ')} END) END) AS ps FROM paragraphs
+), units AS (
+  SELECT doc_id, flatten(list_transform(ps, lambda s: CASE WHEN s.now <> '' THEN list_append(s.done, s.now) ELSE s.done END)) AS us FROM cut
+), packed AS (
+  SELECT doc_id, list_reduce(list_transform(us, lambda u: {'done': CAST([] AS VARCHAR[]), 'now': u}),
+    lambda s, x: CASE WHEN length(s.now) + 2 + length(x.now) <= 500 THEN {'done': s.done, 'now': s.now || chr(10) || chr(10) || x.now}
+      WHEN length(s.now) <= 150 THEN {'done': list_append(s.done, s.now), 'now': x.now}
+      ELSE {'done': list_append(s.done, s.now), 'now': trim(CASE WHEN contains(right(s.now, 150), ' ') THEN substr(right(s.now, 150), instr(right(s.now, 150), ' ') + 1) ELSE right(s.now, 150) END || ' ' || x.now, ' ')} END) AS s FROM units WHERE len(us) > 0
+), chunks AS (
+  SELECT doc_id, unnest(list_append(s.done, s.now)) AS text, unnest(range(0, len(s.done) + 1)) AS n FROM packed
+)
+SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(text) AS INTEGER) AS chars, left(sha1(text), 12) AS hash FROM chunks
+"""
+
+
+@query(_CHUNKS)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _doc_pages(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return chunks.chunked(pages, 500, 150).select(F.col("document").cast("long").alias("doc_id"), "n", F.length("text").alias("chars"), tx.content_hash(F.col("text")).alias("hash"))

@@ -15,18 +15,22 @@ from lodestar.operators.index import Embedder, embedded
 
 
 def indexed_stream(rows: DataFrame, path: str, checkpoint: str, make: Callable[[], Embedder]) -> StreamingQuery:
-    """Appends (id, text, hash, embedding, batch) for rows whose id and hash are not there yet.
+    """Appends (id, text, hash, embedding, batch) for rows that differ from what their id holds now.
 
-    A batch that is run again finds its rows and appends nothing, so the table
-    is right after any failure; ``current_index`` gives the latest of each id.
+    A text that comes back after another one is a change too.  A null text
+    takes the id out.  A batch that is run again finds its rows in place and
+    appends nothing, so the table is right after any failure; ``current_index``
+    gives what holds.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["id", "hash"])
+        fresh = batch.withColumn("hash", F.when(F.col("text").isNotNull(), F.col("hash"))).dropDuplicates(["id", "hash"])
         if _there(spark, path):
-            fresh = fresh.join(spark.read.parquet(path).select("id", "hash"), ["id", "hash"], "left_anti")
-        embedded(fresh, "text", make).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+            now = _latest(spark, path).select(F.col("id").alias("id_now"), F.col("hash").alias("hash_now"))
+            fresh = fresh.join(now, (F.col("id") == F.col("id_now")) & F.col("hash").eqNullSafe(F.col("hash_now")), "left_anti")
+        rows = embedded(fresh, "text", make).withColumn("embedding", F.when(F.col("text").isNotNull(), F.col("embedding")))
+        rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
     return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -36,8 +40,13 @@ def _there(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def _latest(spark: SparkSession, path: str) -> DataFrame:
+    return latest_per_key(spark.read.parquet(path), ["id"], [F.desc("batch"), F.asc_nulls_last("hash")])
+
+
 def current_index(spark: SparkSession, path: str) -> DataFrame:
-    return latest_per_key(spark.read.parquet(path), ["id"], [F.desc("batch"), F.asc("hash")])
+    """The rows that hold: the latest of every id that was not taken out."""
+    return _latest(spark, path).filter(F.col("text").isNotNull())
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:

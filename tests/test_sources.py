@@ -216,6 +216,40 @@ def test_streamed_index(spark, tmp_path):
     assert {r.id: r.text for r in jobs.current_index(spark, path).collect()} == {"a": "xx", "b": "y"}
 
 
+def test_a_text_that_comes_back_and_one_that_goes(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "index")
+    seen = []
+    for pairs in ([("a", "A"), ("b", "x")], [("a", "B")], [("a", "A")], [("b", None)], [("b", None), ("a", "A")]):
+        rows = spark.createDataFrame(pairs, "id string, text string").selectExpr("*", "sha1(text) hash")
+        rows.coalesce(1).write.mode("append").parquet(str(source))
+        jobs.indexed_stream(spark.readStream.schema("id string, text string, hash string").parquet(str(source)), path, str(tmp_path / "check"), Toy).awaitTermination()
+        seen.append({r.id: r.text for r in jobs.current_index(spark, path).collect()})
+    assert seen == [{"a": "A", "b": "x"}, {"a": "B", "b": "x"}, {"a": "A", "b": "x"}, {"a": "A"}, {"a": "A"}]
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_index_build_is_resumed_and_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = lambda *pairs: index.to_index(spark.createDataFrame(list(pairs), "id string, text string"), "id", "text", {})
+    with pytest.raises(FileNotFoundError):
+        index.open_index(spark, path)
+    first = index.build(rows(("a", "x"), ("b", "y")), path, Toy, steps=2)
+    assert index.versions(spark, path) == [1] and first.count() == 2
+    index.build(rows(("a", "x"), ("b", "y")), path, Toy, steps=2)
+    assert index.versions(spark, path) == [1]
+
+    class Failing(Toy):
+        def passages(self, texts):
+            raise OSError("gone")
+
+    with pytest.raises(Exception, match="gone"):
+        index.build(rows(("a", "xx"), ("c", "z")), path, Failing, steps=1)
+    assert {r.id for r in index.open_index(spark, path).collect()} == {"a", "b"}
+    second = index.build(rows(("a", "xx"), ("c", "z")), path, Toy, steps=2)
+    assert {r.id: r.text for r in second.collect()} == {"a": "xx", "c": "z"} and second.filter("embedding is null").count() == 0
+    assert index.versions(spark, path) == [1, 2]
+
+
 def test_windowed_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = jobs.windowed_counts(events.withColumn("ts", events.ts.cast("timestamp")))

@@ -19,6 +19,14 @@ def test_keys_and_repairs(spark):
     assert list(row) == ["JUNIN NANDU", "", 'OBRA: "MEJORA" CUSCO', "¿Qué? si", "a b c", "JUNIN NANDU"]
 
 
+def test_keys_of_all_marks(spark):
+    texts = ["e\u0301cole", "ŞIRNAK Ż ő Ǖ", "Άλφα Ёж", "ＡＢ\u3000c", "N\u0303andu\u0308", "straße ½ ﬁn", "ª º ø"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [list(r) for r in df.select(tx.accent_key(F.col("t")), tx.accent_key_full(F.col("t"))).collect()]
+    assert [a for a, _ in got][:5] == ["ECOLE", "SIRNAK Z O U", "ΑΛΦΑ ЕЖ", "AB C", "NANDU"]
+    assert all(a == b for (a, b), t in zip(got, texts, strict=True) if t != texts[5])
+
+
 def test_lines_and_ligatures(spark):
     text, n = tx.ligatures_joined(F.col("t"))
     row = one(spark, {"t": ("string", "Caliﬁ cación de ﬂujo, ofﬁ"), "l": ("array<string>", [" uno-", "dos ", "", " tres"])}, text, n, tx.joined_lines(F.col("l")))
