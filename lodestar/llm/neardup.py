@@ -8,19 +8,25 @@ document to the others are candidates (a star), so candidates are linear in
 the buckets; all are confirmed on the full shingle sets.
 
 A star can miss the link of two members that are both unlike its centre.
-So buckets whose members still lie in different components are taken up
-again: their members are gathered into clusters, each cluster is dealt into
-blocks of about ``BLOCK`` documents, and every pair of blocks is compared
-completely in one task, which returns only links that join two components.
-No bucket, cluster or group is capped, sampled or collected whole.
-
-Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z.  Defined results: a
-document of fewer than ``width`` words is one shingle; null or empty text has
-no shingles and is linked with nothing; documents are nodes by ``doc_id``, so
-rows of one id are one node, and a row without id stands alone and is kept
-(its component is null); ties fall to the smallest id; very long texts are
-compared whole; an empty table gives no rows; further columns stay in
-``near_dup_kept`` and are ignored by ``near_dup_table``.
+So members of buckets that still span several components are taken up again,
+with an exact candidate test: sets with similarity t share one of the
+``n - ceil(t * n) + 1`` rarest shingles of each (rare by a table of ``COUNTS``
+counters, any order would do).  Members of different components that share
+such a shingle are one group.  In a group all members outside its largest
+component are compared with all others, in blocks of at most about ``BLOCK``
+sets a side, on shingle ids; a task returns only links that join components.
+No bucket or group is capped, sampled or collected whole.
+
+Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z; shingles are told apart
+by 64-bit hashes over two prime moduli a word.  Defined results: a document of
+fewer than ``width`` words is one shingle; null or empty text has no shingles
+and is linked with nothing; documents are nodes by ``doc_id``, so rows of one
+id are one node with the links of all of them (its ``n_shingles`` stand row by
+row); a row without id stands alone and is kept (its component is null); ties
+fall to the smallest id; very long texts are compared whole; an empty table
+gives no rows.  ``near_dup_kept`` keeps all rows of a kept id but repeats equal
+in id and text, of which any one stays; further columns stay there and are
+ignored by ``near_dup_table``.
 """
 
 from __future__ import annotations
@@ -28,18 +34,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestar.llm.graph import components
-from lodestar.llm.scratch import stored
-from lodestar.llm.wordhash import WordHasher, mix, shingles
+from lodestar.llm.scratch import dropped, stored
+from lodestar.llm.wordhash import PrimeHasher, WordHasher, mix, shingles
 
 BINS = 128
 ROWS = 4
 BLOCK = 512
-BLOCK_CHARS = 1 << 23
+BLOCK_SHINGLES = 1 << 20
+#: Counters by which shingles are told rare or common; all of them reach the driver.
+COUNTS = 1 << 20
 #: A link needs PER_CENT * union <= 100 * intersection.
 PER_CENT = 80
 EMPTY = np.uint64(2**64 - 1)
@@ -88,7 +95,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher = PrimeHasher()
         for batch in batches:
             for a, b, sets, hashes, at in shingle_sets(batch.column("text"), width, hasher):
                 sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -107,19 +114,25 @@ def is_link(both: int, a: int, b: int) -> bool:
     return 100 * both >= PER_CENT * (a + b - both)
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The edges (a, b) whose documents' full sets are similar enough."""
-    left = edges.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    paired = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def shingle_table(docs: DataFrame, width: int) -> DataFrame:
+    """(node, set): the distinct shingle ids of documents, once for each different set of an id."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = PrimeHasher()
         for batch in batches:
-            sides = [[s for _, _, sets, _, _ in shingle_sets(batch.column(c), width, hasher) for s in sets] for c in ("text_a", "text_b")]
-            same = [is_link(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in zip(*sides, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+            for a, b, sets, _, _ in shingle_sets(batch.column("text"), width, hasher):
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], names=["node", "set"])
+
+    return docs.mapInArrow(read, "node long, set array<long>").groupBy("node", F.sha2(F.concat_ws(",", F.col("set").cast("array<string>")), 256).alias("print")).agg(F.any_value("set").alias("set")).drop("print")
 
-    return paired.mapInArrow(check, "a long, b long").distinct()
+
+def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (a, b) whose documents' full sets are similar enough."""
+    left = edges.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    paired = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return paired.filter(100 * both >= PER_CENT * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
 def joining_links(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], first: np.ndarray) -> list[tuple[int, int]]:
@@ -159,31 +172,75 @@ def joining_links(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], f
     return out
 
 
-def rest_links(members: DataFrame, labels: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def _counter(shingle_ids: np.ndarray) -> np.ndarray:
+    return (shingle_ids.view(np.uint64) % np.uint64(COUNTS)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter stand in ``sets``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(batch.column("set").flatten().to_numpy()), minlength=COUNTS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["counter", "n"])
+
+    out = np.zeros(COUNTS, dtype=np.int64)
+    for batch in sets.select("set").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        out[batch.column("counter").to_numpy()] = batch.column("n").to_numpy()
+    return out
+
+
+def rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(node, component, shingle): the rarest shingles of each set, as many as a similar set cannot all miss."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("set")
+            ids, offsets = column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64)
+            sizes = np.diff(offsets)
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((ids, counts[_counter(ids)], rows))
+            place = np.arange(len(ids)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            taken = place < (sizes - -(-PER_CENT * sizes // 100) + 1)[rows]
+            chosen = pa.array(rows[taken])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(chosen), batch.column("component").take(chosen), pa.array(ids[order][taken])], names=["node", "component", "shingle"])
+
+    return sets.mapInArrow(pick, "node long, component long, shingle long")
+
+
+def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links inside buckets whose stars left several components."""
-    labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = members.select("node", "band").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     open_keys = stored(open_keys, "near-open-keys")
-    left = stored(labelled.join(open_keys, "band", "left_semi"), "near-open")
-    clusters = components(left.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-clusters").withColumnRenamed("component", "cluster")
-    held = stored(left.select("node", "component").distinct().join(clusters, "node"), "near-held")
-    # blocks hold a bounded number of documents and, on average, of characters
-    lengths = held.join(texts.select(F.col("doc_id").alias("node"), F.length("text").alias("chars")), "node")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS))
-    sizes = lengths.groupBy("cluster").agg(blocks.cast("int").alias("n_blocks"))
-    dealt = held.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    meets = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    paired = dealt.withColumn("other", meets).select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("first"), "node", "component")
-    full = paired.join(texts.withColumnRenamed("doc_id", "node"), "node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        hasher = WordHasher()
-        column = pa.array(pdf["text"], pa.string())
-        sets = [s for _, _, some, _, _ in shingle_sets(column, width, hasher) for s in some]
-        found = joining_links(pdf["node"].to_numpy(), pdf["component"].to_numpy(), sets, pdf["first"].to_numpy(bool))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return full.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long")
+    nodes = labelled.join(open_keys, "band", "left_semi").select("node", "component").distinct()
+    open_sets = stored(sets.join(nodes, "node"), "near-open-sets")
+    shared = stored(rarest(open_sets, shingle_counts(open_sets)).distinct(), "near-rare")
+    # groups by shingle; of shingles with the same members one is enough
+    print_of = lambda seed: F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(20)"))
+    groups = shared.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main"), F.count("*").alias("n"), print_of(1).alias("print_a"), print_of(2).alias("print_b"))
+    groups = groups.filter("low <> high").groupBy("n", "print_a", "print_b").agg(F.min(F.struct("shingle", "main")).alias("one")).select("one.*")
+    held = stored(shared.join(stored(groups, "near-groups"), "shingle").withColumn("aside", F.col("component") != F.col("main")), "near-held")
+    # blocks hold a bounded number of documents and, on average, of shingles
+    sizes = held.join(open_sets.groupBy("node").agg(F.sum(F.size("set")).alias("size")), "node").groupBy("shingle", "aside").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    sizes = stored(sizes.groupBy("shingle").agg(F.max(F.when(F.col("aside"), F.col("n"))).alias("n_aside"), F.max(F.when(~F.col("aside"), F.col("n"))).alias("n_main")), "near-sizes")
+    dealt = held.join(sizes, "shingle")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("aside"), deal("n_aside")).otherwise(F.col("n_aside") + deal("n_main")))
+    # those aside meet every block, the others only the blocks aside
+    meets = F.explode(F.sequence(F.lit(0), F.when(F.col("aside"), F.col("n_aside") + F.col("n_main")).otherwise(F.col("n_aside")) - 1))
+    paired = dealt.withColumn("other", meets).select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("first"), "node", "component")
+    full = paired.join(open_sets.select("node", "set"), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = table["set"].combine_chunks()
+        sets = np.split(column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()[1:-1] - column.offsets[0].as_py())
+        found = joining_links(table["node"].to_numpy(), table["component"].to_numpy(), sets, table["first"].to_numpy())
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return full.groupBy("shingle", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -192,20 +249,23 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     nodes = sketches.filter("n_shingles > 0 and doc_id is not null")
     # written, as are the centres, so that joins with them may split large groups
     equal = stored(nodes.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "near-equal")
-    alone = nodes.join(equal, ["set_a", "set_b"]).filter("doc_id = node").select("node", "bands").dropDuplicates(["node"])
+    # an id with several sets has the bands of all of them
+    alone = nodes.join(equal, ["set_a", "set_b"]).filter("doc_id = node").select("node", "bands").distinct()
     banded = alone.select("node", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "centre")
+    centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("band", "centre")
     centres = stored(centres, "near-centres")
     members = stored(banded.join(centres, "band"), "near-members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi"), "near-texts")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = stored(shingle_table(narrow.join(wanted, "doc_id", "left_semi"), width), "near-sets")
     stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(confirmed(stars, texts, width), "near-links")
+    links = stored(confirmed(stars, sets), "near-links")
     labels = components(links, "near-stars")
-    rest = stored(rest_links(members, labels, texts, width), "near-rest")
+    rest = stored(rest_links(members, labels, sets), "near-rest")
+    dropped(members, sets, centres, links)
     known = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    same_id = nodes.join(equal, ["set_a", "set_b"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    return sketches, components(known.union(rest).union(same_id), "near-classes")
+    same_set = nodes.join(equal, ["set_a", "set_b"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    return sketches, components(known.union(rest).union(same_set), "near-classes")
 
 
 def near_dup_table(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -216,10 +276,10 @@ def near_dup_table(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def near_dup_kept(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each class; of rows equal in id one stays."""
+    """``docs`` with one document of each class; of rows equal in id and text one stays."""
     _, labels = classes(docs, width)
     gone = labels.filter("component <> node").select(F.col("node").alias("near_gone"))
-    packed = docs.select(F.struct(*docs.columns).alias("near_row"), F.col("doc_id").cast("long").alias("near_id"))
+    packed = docs.select(F.struct(*docs.columns).alias("near_row"), F.col("doc_id").cast("long").alias("near_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("near_text"), F.col("text").isNull().alias("near_none"))
     left = packed.join(gone, F.col("near_id") == F.col("near_gone"), "left_anti")
-    named = left.filter(F.col("near_id").isNotNull()).dropDuplicates(["near_id"])
+    named = left.filter(F.col("near_id").isNotNull()).dropDuplicates(["near_id", "near_text", "near_none"])
     return named.union(left.filter(F.col("near_id").isNull())).select("near_row.*")

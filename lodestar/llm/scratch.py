@@ -47,11 +47,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more, and lets go of finished shuffles."""
+    jvm = None
     for table in tables:
         ref, path = _paths.pop(id(table), (lambda: None, ""))
         if ref() is table:
             jvm = table.sparkSession.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            # shuffle files go when the driver collects the plans that wrote them
-            jvm.System.gc()
+    if jvm is not None:
+        # shuffle files go when the driver collects the plans that wrote them
+        jvm.System.gc()

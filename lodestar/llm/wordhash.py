@@ -1,8 +1,11 @@
 """Words of whole Arrow text columns, hashed with numpy for all documents at once.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from one
-running sum over the text, then mixed.  A column is worked through in runs of
-about ``CHUNK`` bytes, so memory does not grow with the batch.
+A word's hash is a polynomial over its bytes, taken from a running sum over the
+text, then mixed: modulo 2**64 where hashes only spread words (``WordHasher``),
+modulo two primes together where they stand for words (``PrimeHasher``), as the
+powers of two have words of one hash by construction.  A column is worked
+through in runs of about ``CHUNK`` bytes, so memory does not grow with the
+batch.
 """
 
 from __future__ import annotations
@@ -111,10 +114,51 @@ class WordHasher:
             starts, ends, firsts = word_spans(part, at, self.space)
             if self.fold is not None:
                 part = self.fold[part]
-            self.tables.fit(len(part) + 1)
+            yield a, b, self.of(part, starts, ends), firsts
+
+    def of(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words at ``starts`` to ``ends`` of a run of bytes."""
+        self.tables.fit(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.tables.up[: len(part)], out=total[1:])
+        return mix((total[ends] - total[starts]) * self.tables.down[starts])
+
+
+class PrimeHasher(WordHasher):
+    """Word hashes by two polynomials modulo primes, 62 bits, with the word's length."""
+
+    PRIMES = (2**31 - 1, 2**31 - 19)
+    BASES = (1_103_515_245, 1_664_525_017)
+    #: Bytes whose products may be added up without a remainder.
+    SHORT = 1 << 24
+
+    def __init__(self, fold: bool = True) -> None:
+        super().__init__(fold)
+        self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in self.PRIMES]
+
+    def _powers(self, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        prime = np.uint64(self.PRIMES[which])
+        if n > len(self.powers[which][0]):
+            grown = []
+            for known, base in zip(self.powers[which], (self.BASES[which], pow(self.BASES[which], -1, int(prime))), strict=True):
+                while len(known) < n:
+                    known = np.concatenate([known, known * np.uint64(pow(base, len(known), int(prime))) % prime])
+                grown.append(known)
+            self.powers[which] = tuple(grown)
+        return self.powers[which]
+
+    def of(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for which, p in enumerate(self.PRIMES):
+            prime = np.uint64(p)
+            up, down = self._powers(which, len(part) + 1)
+            terms = (part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]
+            if len(part) > self.SHORT:
+                terms %= prime
             total = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.tables.up[: len(part)], out=total[1:])
-            yield a, b, mix((total[ends] - total[starts]) * self.tables.down[starts]), firsts
+            np.cumsum(terms, out=total[1:])
+            out = out << np.uint64(31) | (total[ends] - total[starts]) % prime * down[starts] % prime
+        return mix(out + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
 def shingles(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import neardup, suffixes
 from lodestar.llm.graph import components
-from lodestar.llm.wordhash import WordHasher, shingles
+from lodestar.llm.wordhash import PrimeHasher, WordHasher, shingles
 from tests.llm.cases import documents, empty, prose, rows
 
 import pyarrow as pa
@@ -86,6 +86,50 @@ def test_block_comparison_is_complete():
                 assert root(a) == root(b)
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    x, y = prose(41, 120), prose(42, 120)
+    texts = [(1, x), (1, y), (2, x + " q"), (3, y + " q"), (4, prose(43, 50)), (4, prose(43, 50))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = neardup.near_dup_table(df, 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4} and len(got) == 6
+    kept = sorted((r.doc_id, r.text) for r in neardup.near_dup_kept(df, 2).collect())
+    assert kept == sorted({(1, x), (1, y), (4, texts[-1][1])})
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_recall_on_sample_documents(spark, width):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    label, _ = brute_components([(r.doc_id, r.text) for r in df.collect()], width)
+    assert {r.doc_id: r.component_id for r in neardup.near_dup_table(df, width).collect()} == label
+
+
+def test_links_between_groups_are_found_without_their_centres(spark):
+    # near copies with more and more edits: early ones are like each other, late ones like few
+    base = prose(9, 150).split(" ")
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for j in range(3 + i // 6):
+            words[(i * 37 + j * 11) % 150] = f"edit{i}.{j}"
+        texts.append((i, " ".join(words)))
+    label, _ = brute_components(texts, 2)
+    got = neardup.near_dup_table(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == label and 1 < len(set(label.values())) < 60
+
+
+def test_words_of_one_hash_modulo_powers_of_two_differ():
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    words = [thue, thue.translate(str.maketrans("ab", "ba"))]
+    (_, _, old, _), = WordHasher().words(pa.array([" ".join(words)]))
+    (_, _, new, _), = PrimeHasher().words(pa.array([" ".join(words)]))
+    assert old[0] == old[1] and new[0] != new[1]
+    long = pa.array(["w " * 40 + "x" * (PrimeHasher.SHORT + 9) + " w y"])
+    (_, _, hashes, _), = PrimeHasher().words(long)
+    assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[-2]
+
+
 def test_densification_fills_every_bin():
     hashes = np.array([1, 2**60, 2**63], dtype=np.uint64)
     signature = neardup.signatures(hashes, np.array([0, 0, 1, 3]))
