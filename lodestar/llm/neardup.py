@@ -115,7 +115,7 @@ def is_link(both: int, a: int, b: int) -> bool:
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
-    """(node, set): the distinct shingle ids of documents, once for each different set of an id."""
+    """(node, set): the distinct shingle ids of each row's text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = PrimeHasher()
@@ -124,7 +124,16 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], names=["node", "set"])
 
-    return docs.mapInArrow(read, "node long, set array<long>").groupBy("node", F.sha2(F.concat_ws(",", F.col("set").cast("array<string>")), 256).alias("print")).agg(F.any_value("set").alias("set")).drop("print")
+    return docs.mapInArrow(read, "node long, set array<long>")
+
+
+def wanted_sets(docs: DataFrame, sketches: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The sets of ``wanted`` ids; only ids of several rows are looked through for repeats."""
+    several = stored(sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "near-several")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    name = F.sha2(F.concat_ws(",", F.col("set").cast("array<string>")), 256)
+    of_several = shingle_table(narrow.join(several, "doc_id", "left_semi"), width).groupBy("node", name.alias("print")).agg(F.any_value("set").alias("set")).drop("print")
+    return shingle_table(narrow.join(several, "doc_id", "left_anti"), width).unionByName(of_several)
 
 
 def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -215,7 +224,7 @@ def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
     labelled = members.select("node", "band").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
     open_keys = stored(open_keys, "near-open-keys")
-    nodes = labelled.join(open_keys, "band", "left_semi").select("node", "component").distinct()
+    nodes = stored(labelled.join(open_keys, "band", "left_semi").select("node", "component").distinct(), "near-open")
     open_sets = stored(sets.join(nodes, "node"), "near-open-sets")
     shared = stored(rarest(open_sets, shingle_counts(open_sets)).distinct(), "near-rare")
     # groups by shingle; of shingles with the same members one is enough
@@ -250,19 +259,23 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     # written, as are the centres, so that joins with them may split large groups
     equal = stored(nodes.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "near-equal")
     # an id with several sets has the bands of all of them
-    alone = nodes.join(equal, ["set_a", "set_b"]).filter("doc_id = node").select("node", "bands").distinct()
-    banded = alone.select("node", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("band", "centre")
+    alone = nodes.join(equal, ["set_a", "set_b"]).filter("doc_id = node").select("node", "n_shingles", "bands").distinct()
+    banded = alone.select("node", "n_shingles", F.explode("bands").alias("band"))
+    # a centre with the sizes that its sets have in the bucket
+    largest = F.max(F.struct(F.bitwise_not("node").alias("node"), "n_shingles"))["n_shingles"]
+    centres = banded.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("first"), F.max("node").alias("last"), largest.alias("most"))
+    centres = centres.filter("first.node <> last").select("band", F.col("first.node").alias("centre"), F.col("first.n_shingles").alias("least"), "most")
     centres = stored(centres, "near-centres")
     members = stored(banded.join(centres, "band"), "near-members")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(shingle_table(narrow.join(wanted, "doc_id", "left_semi"), width), "near-sets")
-    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    # small tables are written where a join is to know their size, and then need not move the texts
+    wanted = stored(members.select(F.col("node").alias("doc_id")).distinct(), "near-wanted")
+    sets = stored(wanted_sets(docs, sketches, wanted, width), "near-sets")
+    near_in_size = (100 * F.col("n_shingles") >= PER_CENT * F.col("least")) & (100 * F.col("most") >= PER_CENT * F.col("n_shingles"))
+    stars = stored(members.filter((F.col("node") != F.col("centre")) & near_in_size).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-candidates")
     links = stored(confirmed(stars, sets), "near-links")
     labels = components(links, "near-stars")
     rest = stored(rest_links(members, labels, sets), "near-rest")
-    dropped(members, sets, centres, links)
+    dropped(members, sets, centres, links, wanted, stars)
     known = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
     same_set = nodes.join(equal, ["set_a", "set_b"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     return sketches, components(known.union(rest).union(same_set), "near-classes")
