@@ -7,8 +7,9 @@ Bucketing.  A string's bucket is its anchor (see ``anchors``); a run of
 neighbouring strings with one anchor is one row.  Buckets of one row hold no
 repeat.  All other runs are cut into slices of at most ``SLICE`` neighbouring
 strings, and a slice's suffix bucket is the bytes that all strings of its
-place have in common.  Slices equal in every byte are sent once, with the
-number of their copies, so a large group of copies is one row.
+place have in common.  Slices are named by 128 bits of BLAKE2b over their bytes
+and counted by name, so a large group of copies is one row; the bytes of one
+slice of each name are cut out where a suffix bucket has two slices or more.
 
 Sorting.  Every suffix bucket is sorted, and the sort alone says which strings
 are equal: hashes only deal rows to buckets and name them.  A task works
@@ -132,18 +133,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(_row_key(F.col("doc_id"), F.col("text")).alias(KEY), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _batched(schema: str, rows: list[list]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(rows, types, strict=True)], names=list(names))
+
+
 def _slices(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """Every run in slices of up to ``SLICE`` strings.
 
-    ``piece`` names a slice by 128 bits of its bytes and of ``before``, the
-    bytes from its start to the anchor.
+    ``piece`` names a slice's bytes and ``before``, the bytes from its start to
+    the anchor.
     """
-    names = ["suffix_bucket", "before", "piece", KEY, "start", "bytes"]
+    schema = f"suffix_bucket long, piece binary, {KEY} binary, start int, before int, size int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            buckets, befores, pieces, keys, starts, parts = out
+            out: list[list] = [[] for _ in range(6)]
+            buckets, pieces, keys, starts, befores, sizes = out
             for key, text, some in zip(batch.column(KEY).to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 for run in some.as_py():
@@ -155,23 +162,39 @@ def _slices(texts: DataFrame, lists: DataFrame) -> DataFrame:
                         part = raw[start : min(hi, x - near) + LENGTH]
                         core = raw[x - near : x - far + LENGTH]
                         buckets.append(int.from_bytes(hashlib.blake2b(core, digest_size=8, key=name, salt=bytes([k])).digest(), "little", signed=True))
-                        befores.append(x - start)
                         pieces.append(hashlib.blake2b(part, digest_size=16, salt=bytes([x - start])).digest())
                         keys.append(key)
                         starts.append(start)
-                        parts.append(part)
-                if len(keys) >= 20_000:
-                    yield batched(out)
-                    for column in out:
-                        column.clear()
-            yield batched(out)
+                        befores.append(x - start)
+                        sizes.append(len(part))
+            yield _batched(schema, out)
+
+    return texts.join(lists, KEY).mapInArrow(cut, schema)
 
-    def batched(out: list[list]) -> pa.RecordBatch:
-        types = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    joined = texts.join(lists, KEY)
-    return joined.mapInArrow(cut, f"suffix_bucket long, before int, piece binary, {KEY} binary, start int, bytes binary")
+def _open_pieces(texts: DataFrame, slices: DataFrame) -> DataFrame:
+    """(suffix_bucket, piece, copies, before, bytes) of suffix buckets with two slices or more, each name once."""
+    pieces = stored(slices.groupBy("suffix_bucket", "piece").agg(F.count("*").alias("copies"), F.min(F.struct(KEY, "start", "before", "size")).alias("one")), "suffix-pieces")
+    several = stored(pieces.groupBy("suffix_bucket").agg(F.sum("copies").alias("n")).filter("n > 1").select("suffix_bucket"), "suffix-open")
+    wanted = pieces.join(several, "suffix_bucket").select("suffix_bucket", "piece", "copies", "one.*")
+    lists = wanted.groupBy(KEY).agg(F.collect_list(F.struct("suffix_bucket", "piece", "copies", "before", "start", "size")).alias("pieces"))
+    # repeated rows are one here: their slices are counted already
+    one_each = texts.groupBy(KEY).agg(F.any_value("text").alias("text"))
+    schema = "suffix_bucket long, piece binary, copies long, before int, bytes binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for text, some in zip(batch.column("text"), batch.column("pieces"), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                for p in some.as_py():
+                    for column, value in zip(out, (p["suffix_bucket"], p["piece"], p["copies"], p["before"], raw[p["start"] : p["start"] + p["size"]]), strict=True):
+                        column.append(value)
+            yield _batched(schema, out)
+
+    out = stored(one_each.join(lists, KEY).mapInArrow(cut, schema), "suffix-bytes")
+    dropped(pieces, several)
+    return out
 
 
 def sorted_repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +284,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     dropped(runs, shared)
     slices = stored(_slices(texts, lists), "suffix-slices")
     dropped(lists)
-    pieces = stored(slices.groupBy("suffix_bucket", "before", "piece", "bytes").agg(F.count("*").alias("copies")), "suffix-pieces")
+    pieces = _open_pieces(texts, slices)
     found = stored(_repeats(pieces), "suffix-found")
     dropped(pieces)
     ranges = slices.select(KEY, "start", "piece").join(found, "piece").select(KEY, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
