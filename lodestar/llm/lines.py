@@ -48,7 +48,7 @@ def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
     """``line_row`` (the row as it was), the cleaned ``text``, ``n_lines`` and ``n_removed``."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _worded), _line_hash))
-    lines = stored(docs.select(key.alias("line_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(hashes).alias("line")), "lines")
+    lines = stored(docs.select(key.alias("line_key"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("site"), F.explode(hashes).alias("line")), "lines")
     spread = stored(boilerplate_lines(lines, min_sites), "boilerplate")
     marked = stored(lines.join(spread, "line").groupBy("line_key").agg(F.collect_set("line").alias("line_bad")), "lines-marked")
     # joined alike at every size
@@ -79,17 +79,18 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, text, source, row_number() OVER () AS rid, string_split(text, chr(10)) AS ls FROM documents
 ), lines AS (
-  SELECT rid, coalesce(source, '') AS site, trim(l, ' ' || chr(9) || chr(13)) AS line FROM (SELECT rid, source, unnest(ls) AS l FROM d)
+  SELECT rid, coalesce('=' || source, '') AS site, trim(l, ' ' || chr(9) || chr(13)) AS line FROM (SELECT rid, source, unnest(ls) AS l FROM d)
 ), bad AS (
   SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
 ), parts AS (
   SELECT rid, p, l, trim(l, ' ' || chr(9) || chr(13)) IN (SELECT line FROM bad) AS is_bad
   FROM (SELECT rid, unnest(ls) AS l, generate_subscripts(ls, 1) AS p FROM d)
 ), cut AS (
-  SELECT rid, count(*) FILTER (is_bad) AS n_bad, coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (NOT is_bad), '') AS kept FROM parts GROUP BY rid
+  SELECT rid, count(*) FILTER (is_bad) AS n_bad, coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (NOT is_bad), '') AS kept,
+    count(*) FILTER (NOT is_bad AND trim(l, ' ' || chr(9) || chr(13)) <> '') AS n_own FROM parts GROUP BY rid
 )
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines,
-  CASE WHEN n_bad > 0 AND length(text) - length(kept) <= 0.5 * length(text) THEN n_bad ELSE 0 END AS n_removed,
-  CASE WHEN n_bad > 0 AND length(text) - length(kept) <= 0.5 * length(text) THEN kept ELSE text END AS text
+  CASE WHEN n_own > 0 THEN n_bad ELSE 0 END AS n_removed,
+  CASE WHEN n_bad > 0 AND n_own > 0 THEN kept ELSE text END AS text
 FROM d LEFT JOIN cut USING (rid)
 """

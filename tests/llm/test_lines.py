@@ -8,7 +8,7 @@ def brute(made):
     sites = {}
     for _, text, source, *_ in made:
         for line in (text or "").split("\n"):
-            sites.setdefault(line.strip(BLANKS), set()).add(source or "")
+            sites.setdefault(line.strip(BLANKS), set()).add(source)
     bad = {k for k, v in sites.items() if k and len(v) >= 10}
     out = {}
     for i, text, *_ in made:
@@ -18,6 +18,14 @@ def brute(made):
     return out
 
 
+def test_a_null_source_is_a_site_of_its_own(spark):
+    foot = "Shared footer line of all the sites here."
+    made = [(i, f"{prose(i, 9)}\n{foot}", s) for i, s in enumerate([None, "", *(f"s{k}" for k in range(8))])]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    assert {r.n_removed for r in lines.line_table(df).collect()} == {1}
+    assert {r.n_removed for r in lines.line_table(df.filter("source is not null")).collect()} == {0}
+
+
 def test_short_pages_lose_their_furniture(spark):
     top, foot = "Shared top line of all the sites here.", "Shared footer line of all the sites here."
     made = [(i, f"{top}\n{prose(i, 3)}\n{foot}", f"s{i % 12}") for i in range(24)]  # furniture holds most of the page
