@@ -7,14 +7,17 @@ of a run decode together (numpy steps through the samples of a block, across
 blocks), and the PCM is resampled and stored as 16-bit WAV.
 
 Defined results: a null payload counts as empty; an empty one is padded to a
-whole 576-byte frame; equal payloads give equal files; rows are independent,
-so ties and repeated rows need no rule; other columns pass untouched, but one
-that has an output's name is replaced by it.
+whole 576-byte frame; equal payloads give equal files; null media, and media
+that are no telephony WAV file (broken, another codec, or longer as PCM than
+a WAV header can say), give null PCM and a feature that names the fault, and
+end no task; rows are independent, so ties and repeated rows need no rule; an
+empty table gives no rows; very long texts are worked on whole, rows leave in
+runs of about ``RUN_BYTES`` so that a batch's PCM is never held together;
+other columns pass untouched, but one that has an output's name is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestar.llm.scratch import stored
+
 FRAME = 576
 BLOCK = 36
 RATE = 8_000
@@ -121,13 +126,13 @@ def wav(codec: int, rate: int, data: bytes) -> bytes:
 
 
 def unwav(media: bytes) -> tuple[int, int, int, bytes]:
-    """(codec, rate, block size, data) of a WAV file, chunk by chunk."""
+    """(codec, rate, block size, data) of a WAV file, chunk by chunk; ValueError if it is none."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, codec, rate, block = 12, 0, 0, 1
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
-        if name == b"fmt ":
+        if name == b"fmt " and size >= 16 and at + 24 <= len(media):
             codec, _, rate, _, block = struct.unpack_from("<HHIIH", media, at + 8)
         elif name == b"data":
             return codec, rate, block, media[at + 8 : at + 8 + size]
@@ -144,6 +149,19 @@ def encode_one(payload: bytes) -> bytes:
     return wav(CODECS[zlib.crc32(payload) % len(CODECS)], RATE, payload)
 
 
+def fault_of(media: bytes | None, to_rate: int) -> str:
+    """Why a file cannot be decoded, or nothing."""
+    if media is None:
+        return "no media"
+    try:
+        codec, rate, block, data = unwav(media)
+    except ValueError as error:
+        return str(error)
+    if codec not in CODECS or not 0 < rate <= 1_000_000 or (codec == IMA_ADPCM and block <= 4):
+        return f"codec {codec} at {rate} a second is not telephony"
+    return "too long for a WAV file" if 2 * len(data) * 2 * -(-to_rate // rate) >= 2**32 - 64 else ""
+
+
 def decode_many(files: list[bytes], to_rate: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
     """(codec, stored bytes, PCM, resampled PCM) of each file; ADPCM decodes across all files."""
     parsed = [unwav(x) for x in files]
@@ -195,8 +213,11 @@ def encode_telephony(df: DataFrame, column: str, output: str = "media") -> DataF
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media = pa.array([encode_one(payload_of(x.as_py())[1]) for x in batch.column(column)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), media], names=[*kept, output])
+            row = 0
+            for values in _texts(batch, column):
+                media = pa.array([encode_one(payload_of(x)[1]) for x in values], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, len(values)) for c in kept), media], names=[*kept, output])
+                row += len(values)
 
     return df.mapInArrow(encode, schema)
 
@@ -204,41 +225,44 @@ def encode_telephony(df: DataFrame, column: str, output: str = "media") -> DataF
 def decode_telephony(df: DataFrame, column: str = "media", to_rate: int = 16_000, output: str = "pcm") -> DataFrame:
     """``df`` with ``output``: the resampled 16-bit PCM as WAV, and ``feature``."""
     kept = [c for c in df.columns if c not in (output, "feature")]
-    schema = df.select(*kept, F.lit(b"").alias(output), F.lit("").alias("feature")).schema
+    schema = df.select(*kept, F.lit(None).cast("binary").alias(output), F.lit("").alias("feature")).schema
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pcm, feature = [], []
+            row = 0
             for files in _texts(batch, column):
-                for codec, _, samples, out in decode_many(files, to_rate):
-                    pcm.append(wav(1, to_rate, out.tobytes()))
-                    feature.append(feature_of(codec, samples, out))
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(pcm, pa.binary()), pa.array(feature, pa.string())], names=[*kept, output, "feature"])
+                faults = [fault_of(x, to_rate) for x in files]
+                pcm, feature = [None] * len(files), [f"fault={x}" for x in faults]
+                good = [i for i, x in enumerate(faults) if not x]
+                for i, (codec, _, samples, out) in zip(good, decode_many([files[i] for i in good], to_rate), strict=True):
+                    pcm[i], feature[i] = wav(1, to_rate, out.tobytes()), feature_of(codec, samples, out)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, len(files)) for c in kept), pa.array(pcm, pa.binary()), pa.array(feature, pa.string())], names=[*kept, output, "feature"])
+                row += len(files)
 
     return df.mapInArrow(decode, schema)
 
 
 def media_digest(docs: DataFrame, to_rate: int = 16_000) -> DataFrame:
-    """Each text stored as telephony audio and read back: sizes, checksums, features.
+    """Each text stored as telephony audio, read back, decoded and resampled: sizes, checksums, features.
 
-    The same encoder and decoder as above, run on a batch without shipping the
-    files through the plan.
+    The files are written once, as a table; the PCM is a column of the plan and
+    leaves as its digest, as it is several times the text.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
-        for batch in batches:
-            ids, row = batch.column("doc_id"), 0
-            for texts in _texts(batch, "text"):
-                sizes, payloads = zip(*map(payload_of, texts), strict=True)
-                files = [encode_one(x) for x in payloads]
-                out = [[] for _ in names[1:]]
-                for n, media, (codec, back, pcm, resampled) in zip(sizes, files, decode_many(files, to_rate), strict=True):
-                    values = n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(codec, pcm, resampled)
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(texts)), *map(pa.array, out)], names=names)
-                row += len(texts)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(digest, schema)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    files = stored(encode_telephony(texts, "text").select("doc_id", F.length(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("n_bytes"), "media"), "media")
+    decoded = decode_telephony(files, to_rate=to_rate)
+    # an ADPCM header is 60 bytes, the others 58; a padded payload has an even length
+    data = F.expr("substring(media, if(hex(substring(media, 21, 2)) = '1100', 61, 59))")
+    read = decoded.select("doc_id", "n_bytes", "media", data.alias("data"), "pcm", "feature")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("data").cast("long").alias("payload_bytes"),
+        F.sha2("data", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(data, -32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
+    )

@@ -71,3 +71,21 @@ def test_resampling_keeps_a_tone():
     assert len(y) == 8000 and np.abs(y - want)[50:-50].max() < 200
     down = media.resample(y, 16000, 8000)
     assert len(down) == 4000 and np.abs(down - x.astype(float))[50:-50].max() < 400
+
+
+def test_media_that_cannot_be_decoded(spark):
+    good = media.encode_one(b"x" * 576)
+    pcm = media.wav(1, 8000, b"\0" * 8)
+    made = [(1, bytearray(good)), (2, None), (3, bytearray(b"")), (4, bytearray(good[:30])), (5, bytearray(b"RIFF....WAVEfmt \x02\0\0\0xx")), (6, bytearray(pcm)), (7, bytearray(good))]
+    df = spark.createDataFrame(made, "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.decode_telephony(df).collect()}
+    assert got[1].pcm == got[7].pcm and got[1].feature == got[7].feature and not got[1].feature.startswith("fault")
+    assert all(got[i].pcm is None and got[i].feature.startswith("fault=") for i in range(2, 7))
+    assert got[2].feature == "fault=no media" and media.decode_telephony(df.filter("false")).count() == 0
+
+
+def test_query_columns_come_from_the_stored_ones(spark):
+    df = documents(spark).filter("doc_id = 8")
+    digest = media.media_digest(df).first()
+    both = media.decode_telephony(media.encode_telephony(df, "text")).first()
+    assert digest.media_sha256 == hashlib.sha256(both.media).hexdigest() and digest.pcm_sha256 == hashlib.sha256(both.pcm).hexdigest() and digest.feature == both.feature
