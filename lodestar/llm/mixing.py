@@ -11,8 +11,10 @@ inside one bucket, so no source or length, however large, meets in one task.
 
 Defined results: a null text has size 0 and a null source is a source of its
 own, last in order; documents of size 0 take nothing; rows equal in id and
-text are told apart only by number, so a rerun takes as many of them; an
-empty table gives no rows; other columns are kept by ``apply_mix``.
+text are told apart only by number, so a rerun takes as many of them; very
+long texts count whole, and one longer than its source's budget may be taken
+where that is nearer; an empty table gives no rows; other columns are kept by
+``apply_mix``.
 """
 
 from __future__ import annotations
@@ -163,7 +165,7 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     bound = (
         per_hash.withColumn("before", F.sum("n").over(by_hash) - F.col("n"))
         .filter("before < wanted and before + n >= wanted")
-        .select("mix_source", "mix_size", F.col("mix_hash").alias("bound"), (F.col("wanted") - F.col("before")).alias("at_bound"))
+        .select("mix_source", "mix_size", F.col("mix_hash").alias("bound"), (F.col("wanted") - F.col("before")).alias("at_bound"), F.col("n").alias("n_bound"))
     )
     sizes = extra.select("mix_source", "mix_size").join(sources.drop("budget"), "mix_source")
     # written, so that a join with it may split a large length
@@ -187,14 +189,18 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20) -> DataFrame:
-    """``docs`` as mixed: each row as often as the mix takes it, rows not taken left out.
-
-    Rows equal in id and text share one decision here.
-    """
+    """``docs`` as mixed: each row as often as the mix takes it, rows not taken left out."""
     rows = stored(_keyed(docs.select("doc_id", "text", "source"), seed).drop("text", "source"), "mix-rows")
     plan = plan_mix(rows, weights, most)
     packed = _keyed(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("mix_row")), seed).drop("doc_id", "text", "source")
     planned = packed.join(plan, ["mix_source", "mix_size"])
-    extra = F.when((_unsigned("mix_hash") < _unsigned("bound")) | (F.col("mix_hash") == F.col("bound")), 1).otherwise(0)
+    below, same = _unsigned("mix_hash") < _unsigned("bound"), F.coalesce(F.col("mix_hash") == F.col("bound"), F.lit(False))
+    extra = F.when(below | same, 1).otherwise(0)
+    # only repeated rows share a hash; where not all at the bound are taken, they alone are numbered
+    if plan.filter("at_bound < n_bound").limit(1).count():
+        split = same & (F.col("at_bound") < F.col("n_bound"))
+        numbered = planned.filter(split).withColumn("mix_number", F.row_number().over(W.partitionBy("mix_hash", "mix_source", "mix_size").orderBy(F.lit(0))))
+        planned = planned.filter(~split).withColumn("mix_number", F.lit(0)).unionByName(numbered)
+        extra = F.when(below | (same & (F.col("mix_number") <= F.col("at_bound"))), 1).otherwise(0)
     times = F.when(F.col("mix_size") > 0, F.col("repeats") + extra).otherwise(0).cast("int")
     return planned.withColumn("mix_times", times).filter("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("mix_row.*")
