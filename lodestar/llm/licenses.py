@@ -3,11 +3,12 @@ r"""License scan by diagonal voting, in DataFrame operations only.
 Every rolling ``K``-word hash of every document is joined with the template
 positions of the same hash.  Hits vote for the diagonal (document position
 minus template position); neighbouring diagonals, as an inserted or a lost
-word makes them, are merged; a merged span is verified by how many of the
-template's words its hits cover.  The templates are a fixed table, so their
-side of the join is broadcast.
+word makes them, are merged; a merged span is verified by the template words
+that its hits cover, as a share of the template or of the span's own extent
+in the document, whichever is longer, so that scattered words are no license.
+The templates are a fixed table, so their side of the join is broadcast.
 
-Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing.  Defined
+Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.  Defined
 results: null or empty text has no words and score 0; texts are scanned
 whole, however long; of equally good spans each counts once per label;
 repeated rows get equal results; an empty table gives no rows; other columns
@@ -23,9 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
-#: Diagonals this near belong to one span.
+#: Diagonals this near belong to one span, and no more than a quarter of the template apart.
 SLACK = 3
-#: Share of a template's words that a verified span covers.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Share of a template's words, and of its own extent, that a verified span covers.
 COVERED = 0.75
 
 # fixed values: public license texts and notices
@@ -42,6 +44,63 @@ TEMPLATES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("reserved", "All rights reserved"),
+    # whole texts
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
 
@@ -58,7 +117,7 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def _words(docs: DataFrame) -> DataFrame:
     """``docs`` with the words; splitting is cheaper than matching and leaves empty ends to cut off."""
-    split = docs.withColumn("scan_split", F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), BETWEEN))
+    split = docs.withColumn("scan_split", F.split(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER), BETWEEN))
     n = F.size("scan_split")
     head = (F.get("scan_split", F.lit(0)) == "").cast("int")
     tail = ((n > 1) & (F.get("scan_split", n - 1) == "")).cast("int")
@@ -86,6 +145,10 @@ def _phrases(docs: DataFrame) -> DataFrame:
     ).drop("scan_ends", "scan_places", "scan_words")
 
 
+def _slack(n_template: Column) -> Column:
+    return F.least(F.lit(SLACK), F.floor(n_template / 4))
+
+
 def license_spans(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Merged diagonals: keys, template, label, first and last word, coverage."""
     # positions are exploded and hashed after, all in one stage of generated code
@@ -95,11 +158,12 @@ def license_spans(docs: DataFrame, keys: list[str]) -> DataFrame:
     hits = rolled.join(F.broadcast(_templates(docs.sparkSession)), "gram").select(*keys, "template", "label", "n_template", "template_at", "at", (F.col("at") - F.col("template_at")).alias("diagonal"))
     by_diagonal = hits.groupBy(*keys, "template", "label", "n_template", "diagonal").agg(F.collect_set("template_at").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
     along = W.partitionBy(*keys, "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SLACK, F.lit(False)).cast("int")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > _slack(F.col("n_template")), F.lit(False)).cast("int")
     grouped = by_diagonal.withColumn("apart", apart).withColumn("span", F.sum("apart").over(along))
     merged = grouped.groupBy(*keys, "template", "label", "n_template", "span").agg(F.flatten(F.collect_list("votes")).alias("votes"), F.min("first").alias("first_at"), (F.max("last") + K - 1).alias("last_at"))
     words = F.array_distinct(F.flatten(F.transform("votes", lambda p: F.sequence(p, p + (K - 1)))))
-    return merged.select(*keys, "template", "label", "first_at", "last_at", (F.size(words) / F.col("n_template")).alias("coverage"))
+    extent = F.col("last_at") - F.col("first_at") + 1
+    return merged.select(*keys, "template", "label", "first_at", "last_at", (F.size(words) / F.greatest("n_template", extent)).alias("coverage"))
 
 
 def license_table(docs: DataFrame) -> DataFrame:
@@ -129,7 +193,7 @@ def oracle_sql() -> str:
     return rf"""
 WITH templates(template, label, n_template, template_at, gram) AS (VALUES {grams}),
 d AS (
-  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), seqs AS (
   SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d
 ), grams AS (
@@ -139,13 +203,13 @@ d AS (
 ), base AS (
   SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places WHERE label IS NOT NULL GROUP BY rid
 ), hits AS (
-  SELECT rid, template, label, n_template, template_at, i - template_at AS diagonal FROM grams JOIN templates ON gram = word || ' ' || second || ' ' || third
+  SELECT rid, i, template, label, n_template, template_at, i - template_at AS diagonal FROM grams JOIN templates ON gram = word || ' ' || second || ' ' || third
 ), marked AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal, template_at) > 3 THEN 1 ELSE 0 END AS apart FROM hits
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal, template_at) > least({SLACK}, n_template // 4) THEN 1 ELSE 0 END AS apart FROM hits
 ), spanned AS (
   SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal, template_at ROWS UNBOUNDED PRECEDING) AS span FROM marked
 ), covered AS (
-  SELECT rid, template, label, span, count(DISTINCT template_at + j) / n_template AS coverage FROM spanned, (SELECT unnest(range(0, {K})) AS j) GROUP BY rid, template, label, n_template, span
+  SELECT rid, template, label, span, count(DISTINCT template_at + j) / greatest(n_template, max(i) - min(i) + {K}) AS coverage FROM spanned, (SELECT unnest(range(0, {K})) AS j) GROUP BY rid, template, label, n_template, span
 ), found AS (
   SELECT rid, max(coverage) AS coverage FROM covered GROUP BY rid
 ), labelled AS (

@@ -59,7 +59,7 @@ def test_near_threshold_lines_are_counted_exactly(spark):
 def test_perspectives(spark):
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|end|>"), (1, 2, "bob", "Hello"), (1, 2, "bob", "Hello"), (1, None, None, None), (1, 300, "ann", "Late"), (None, 1, "ann", "x")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, speaker string")
-    got = {(r.conv_id, r.part, r.speaker): r for r in chat.rotate_perspectives(df).collect()}
+    got = {(r.conv_id, r.part, r.speaker): r for r in chat.rotate_perspectives(df, turns_per_part=4).collect()}
     assert set(got) == {(1, p, s) for p in (0, 1) for s in ("ann", "bob", "unknown")} | {(None, 0, "ann")}
     r = got[1, 0, "bob"]
     assert r.rendered == "<|user:unknown|>\n<|end|>\n<|system|>\nBe kind.<|end|>\n<|user:ann|>\nHi < |end|><|end|>\n<|assistant|>\nHello<|end|>\n"
@@ -69,6 +69,38 @@ def test_perspectives(spark):
     assert chat.rotate_perspectives(df.filter("false")).count() == 0
 
 
+def test_parts_of_a_long_dialogue_join_to_the_whole(spark):
+    # one dialogue with most rows, many of them without a turn or with the same one
+    turns = [(1, None if i % 3 == 0 else i // 40, "system" if i == 7 else f"speaker{i % 3}", f"text {i} " * (i % 4)) for i in range(900)] + [(2, 1, "ann", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    whole = {(r.conv_id, r.speaker): r for r in chat.rotate_perspectives(df, turns_per_part=10**6).collect()}
+    parts = sorted(chat.rotate_perspectives(df, turns_per_part=64).collect(), key=lambda r: (r.conv_id, r.speaker, r.part))
+    for (conv, speaker), one in whole.items():
+        mine = [r for r in parts if (r.conv_id, r.speaker) == (conv, speaker)]
+        assert [r.part for r in mine] == list(range(len(mine))) and all(r.n_turns == 64 for r in mine[:-1])
+        assert "".join(r.rendered for r in mine) == one.rendered and one.part_offset == 0
+        at = 0
+        for r in mine:
+            assert r.part_offset == at
+            at += len(r.rendered)
+        assert ",".join(r.mask for r in mine if r.mask) == one.mask
+        spans = [tuple(map(int, s.split("+"))) for s in one.mask.split(",")]
+        assert all(one.rendered[a - 14 : a] == "<|assistant|>\n" and one.rendered[a : a + n].endswith("<|end|>\n") for a, n in spans)
+    assert len([r for r in parts if r.conv_id == 1 and r.speaker == "speaker0"]) > 1
+
+
+def test_scattered_template_words_are_no_license(spark):
+    words = dict((i, w) for i, _, w in licenses.template_words())[6]
+    filled = " ".join(x for i in range(0, len(words), 3) for x in [*words[i : i + 3], "foo", "bar", "baz"])
+    short = "all rights reserved " * 5
+    near = " ".join([*words[:9], "extra", *words[9:]])
+    upper = "İ MIT LİCENSE mit license"
+    df = spark.createDataFrame([(1, filled), (2, " ".join(words)), (3, near), (4, short), (5, upper)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_table(df).collect()}
+    assert got[1].labels == "" and got[1].score < 0.75 and got[2].labels == "bsd" and got[2].score == 1 and got[3].labels == "bsd" and got[4].labels == "reserved"
+    assert (got[5].n_base, got[5].n_words) == (1, 5)
+
+
 def test_native_operators_run_without_python(spark):
     turns = spark.createDataFrame([(1, 1, "a", "b")], "conv_id long, turn long, role string, text string")
     for df in (chat.rotate_perspectives(turns), rules.rule_table(documents(spark)), rules.apply_rules(documents(spark)), licenses.license_table(documents(spark))):
