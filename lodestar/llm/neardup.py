@@ -259,23 +259,20 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     # written, as are the centres, so that joins with them may split large groups
     equal = stored(nodes.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "near-equal")
     # an id with several sets has the bands of all of them
-    alone = nodes.join(equal, ["set_a", "set_b"]).filter("doc_id = node").select("node", "n_shingles", "bands").distinct()
-    banded = alone.select("node", "n_shingles", F.explode("bands").alias("band"))
-    # a centre with the sizes that its sets have in the bucket
-    largest = F.max(F.struct(F.bitwise_not("node").alias("node"), "n_shingles"))["n_shingles"]
-    centres = banded.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("first"), F.max("node").alias("last"), largest.alias("most"))
-    centres = centres.filter("first.node <> last").select("band", F.col("first.node").alias("centre"), F.col("first.n_shingles").alias("least"), "most")
+    alone = nodes.join(equal, ["set_a", "set_b"]).filter("doc_id = node").select("node", "bands")
+    banded = alone.select("node", F.explode("bands").alias("band"))
+    centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("band", "centre")
     centres = stored(centres, "near-centres")
     members = stored(banded.join(centres, "band"), "near-members")
+    dropped(centres)
     # small tables are written where a join is to know their size, and then need not move the texts
     wanted = stored(members.select(F.col("node").alias("doc_id")).distinct(), "near-wanted")
     sets = stored(wanted_sets(docs, sketches, wanted, width), "near-sets")
-    near_in_size = (100 * F.col("n_shingles") >= PER_CENT * F.col("least")) & (100 * F.col("most") >= PER_CENT * F.col("n_shingles"))
-    stars = stored(members.filter((F.col("node") != F.col("centre")) & near_in_size).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-candidates")
+    stars = stored(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-candidates")
     links = stored(confirmed(stars, sets), "near-links")
     labels = components(links, "near-stars")
     rest = stored(rest_links(members, labels, sets), "near-rest")
-    dropped(members, sets, centres, links, wanted, stars)
+    dropped(members, sets, links, wanted, stars)
     known = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
     same_set = nodes.join(equal, ["set_a", "set_b"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     return sketches, components(known.union(rest).union(same_set), "near-classes")
