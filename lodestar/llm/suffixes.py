@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm.anchors import Anchorer
@@ -60,9 +61,9 @@ def difference_cover(period: int) -> np.ndarray:
     return np.array(sorted(cover))
 
 
-def _big_endian(text: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """``PERIOD`` bytes from each place as whole numbers that sort like the bytes."""
-    return [np.ascontiguousarray(text[at[:, None] + np.arange(k, k + 8)]).view(">u8").ravel().astype(np.uint64) for k in range(0, PERIOD, 8)]
+def _big_endian(text: np.ndarray, at: np.ndarray, n: int = PERIOD) -> list[np.ndarray]:
+    """``n`` bytes or a few more from each place as whole numbers that sort like the bytes."""
+    return [np.ascontiguousarray(text[at[:, None] + np.arange(k, k + 8)]).view(">u8").ravel().astype(np.uint64) for k in range(0, n, 8)]
 
 
 def _dense(keys: list[np.ndarray]) -> np.ndarray:
@@ -104,7 +105,10 @@ def block_classes(text: np.ndarray, starts: np.ndarray, groups: np.ndarray, leng
     first = to_sample[starts % PERIOD]
     # sampled places a period apart, the last so that its rank ends with the string or less than a period before
     last = first + (length - RANKED - first) // PERIOD * PERIOD
-    keys = [groups, *_big_endian(text, starts), ranks[starts + first], ranks[starts + last], *_big_endian(text, starts + length - PERIOD)]
+    # bytes before the first rank and after the last one
+    rest = int((length - RANKED - last).max(initial=0))
+    head, tail = _big_endian(text, starts, int(first.max(initial=0))), _big_endian(text, starts + length - -(-rest // 8) * 8, rest)
+    keys = [groups, *head, ranks[starts + first], ranks[starts + last], *tail]
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), dtype=np.int64)
     for key in keys:
@@ -155,13 +159,13 @@ def _slices(texts: DataFrame, lists: DataFrame) -> DataFrame:
                 raw = text.as_buffer().to_pybytes()
                 for run in some.as_py():
                     lo, hi, x = run["lo"], run["hi"], run["anchor"]
-                    name = run["bucket"].to_bytes(8, "little", signed=True)
+                    name = run["bucket"] & (2**64 - 1)
                     for k in range((x - hi) // SLICE, (x - lo) // SLICE + 1):
                         near, far = k * SLICE, k * SLICE + SLICE - 1  # bytes from a string's start to the anchor
                         start = max(lo, x - far)
                         part = raw[start : min(hi, x - near) + LENGTH]
                         core = raw[x - near : x - far + LENGTH]
-                        buckets.append(int.from_bytes(hashlib.blake2b(core, digest_size=8, key=name, salt=bytes([k])).digest(), "little", signed=True))
+                        buckets.append(xxhash.xxh3_64_intdigest(core, name ^ k) - 2**63)
                         pieces.append(hashlib.blake2b(part, digest_size=16, salt=bytes([x - start])).digest())
                         keys.append(key)
                         starts.append(start)
