@@ -219,7 +219,7 @@ def rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     return sets.mapInArrow(pick, "node long, component long, shingle long")
 
 
-def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Links inside buckets whose stars left several components."""
     labelled = members.select("node", "band").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
@@ -241,11 +241,13 @@ def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
     # those aside meet every block, the others only the blocks aside
     meets = F.explode(F.sequence(F.lit(0), F.when(F.col("aside"), F.col("n_aside") + F.col("n_main")).otherwise(F.col("n_aside")) - 1))
     paired = dealt.withColumn("other", meets).select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("first"), "node", "component")
-    full = paired.join(open_sets.select("node", "set"), "node")
+    # texts travel: they compress to less than half of their shingle ids
+    narrow = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = stored(narrow.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node", "text"]), "near-texts")
+    full = paired.join(texts, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        column = table["set"].combine_chunks()
-        sets = np.split(column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()[1:-1] - column.offsets[0].as_py())
+        sets = [x for _, _, some, _, _ in shingle_sets(table["text"], width, PrimeHasher()) for x in some]
         found = joining_links(table["node"].to_numpy(), table["component"].to_numpy(), sets, table["first"].to_numpy())
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -271,7 +273,7 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     stars = stored(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-candidates")
     links = stored(confirmed(stars, sets), "near-links")
     labels = components(links, "near-stars")
-    rest = stored(rest_links(members, labels, sets), "near-rest")
+    rest = stored(rest_links(members, labels, sets, docs, width), "near-rest")
     dropped(members, sets, links, wanted, stars)
     known = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
     same_set = nodes.join(equal, ["set_a", "set_b"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
