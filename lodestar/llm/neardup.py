@@ -13,8 +13,13 @@ with an exact candidate test: sets with similarity t share one of the
 ``n - ceil(t * n) + 1`` rarest shingles of each (rare by a table of ``COUNTS``
 counters, any order would do).  Members of different components that share
 such a shingle are one group.  In a group all members outside its largest
-component are compared with all others, in blocks of at most about ``BLOCK``
-sets a side, on shingle ids; a task returns only links that join components.
+component are compared with all others, in blocks, by size and by a mark of
+``MARK`` bits, each the parity of the shingles that fall on it: two marks
+differ in no more bits than the sets in shingles, so no link is lost.  A task
+returns a forest over the pairs that pass.  Its edges are confirmed on full
+sets; only clusters of the forest that still span several components are
+compared whole, in blocks of about ``BLOCK`` sets a side, each text going to
+its one cluster; a task returns only links that join components.
 No bucket or group is capped, sampled or collected whole.
 
 Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z; shingles are told apart
@@ -31,6 +36,7 @@ ignored by ``near_dup_table``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +45,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestar.llm.graph import components
 from lodestar.llm.scratch import dropped, stored
-from lodestar.llm.wordhash import PrimeHasher, WordHasher, mix, shingles
+from lodestar.llm.wordhash import PrimeHasher, WordHasher, mix, shingles, utf8_parts
 
 BINS = 128
 ROWS = 4
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
+#: Rows and bits of the marks that are compared before sets are.
+WIDE_BLOCK = 2048
+MARK = 1024
 #: Counters by which shingles are told rare or common; all of them reach the driver.
 COUNTS = 1 << 20
 #: A link needs PER_CENT * union <= 100 * intersection.
@@ -219,6 +228,79 @@ def rarest(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     return sets.mapInArrow(pick, "node long, component long, shingle long")
 
 
+def marks(sets: DataFrame) -> DataFrame:
+    """(node, size, mark): how many shingles of each set fall on each of ``MARK`` bits, odd or even."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                ids, sizes = part.column("set").flatten().to_numpy().view(np.uint64), np.diff(part.column("set").offsets.to_numpy())
+                bits = (mix(ids) % np.uint64(MARK)).astype(np.int64) + MARK * np.repeat(np.arange(len(sizes)), sizes)
+                odd = np.packbits(np.bincount(bits, minlength=MARK * len(sizes)).reshape(-1, MARK) & 1, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sizes.astype(np.int64)), pa.array(list(map(bytes, odd)), pa.binary())], names=["node", "size", "mark"])
+
+    return sets.mapInArrow(mark, "node long, size long, mark binary")
+
+
+def forest(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, bits: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect whatever two sets of different groups, one of each side, may be similar by size and mark."""
+    one, other = (np.flatnonzero(first), np.flatnonzero(~first)) if (~first).any() else (np.arange(len(ids)),) * 2
+    label, out = np.arange(len(ids)), []
+    for i in one:
+        # what 100 * both >= PER_CENT * union leaves for shingles of one of the two sets
+        most = (100 - PER_CENT) * (sizes[i] + sizes[other])
+        maybe = (groups[other] != groups[i]) & ((100 + PER_CENT) * np.abs(sizes[other] - sizes[i]) <= most)
+        maybe[maybe] = (100 + PER_CENT) * np.bitwise_count(bits[other[maybe]] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most[maybe]
+        found = other[maybe]
+        roots, at = np.unique(label[found], return_index=True)
+        new = roots != label[i]
+        out += [(int(ids[i]), int(ids[j])) for j in found[at[new]]]
+        label[np.isin(label, roots[new])] = label[i]
+    return out
+
+
+def near_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``forest`` of every (shingle, low, high) of rows sorted by these."""
+
+    def edges(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        column = lambda name: table[name].to_numpy()
+        ids, groups, sizes, first = map(column, ("node", "component", "size", "first"))
+        raw, _ = utf8_parts(table["mark"])
+        bits = raw.reshape(-1, MARK // 8).view(np.uint64)
+        found = [x for a, b in itertools.pairwise(bounds) for x in forest(ids[a:b], groups[a:b], sizes[a:b], bits[a:b], first[a:b])]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        key = np.stack([table[name].to_numpy().astype(np.int64) for name in ("shingle", "low", "high")])
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]).tolist()
+        # the last group may go on in the next batch
+        yield edges(table, starts)
+        held = table.slice(starts[-1]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield edges(table, [0, table.num_rows])
+
+
+def in_blocks(held: DataFrame, weights: DataFrame, key: str, most: int, most_size: int = 0) -> DataFrame:
+    """(key, low, high, first, node, component): pairs of blocks, each of about ``most`` rows and ``most_size`` shingles of a group.
+
+    Those aside of a group meet all of its blocks, the others only blocks of those aside.
+    """
+    enough = F.greatest(F.count("*") / most, F.sum("size") / most_size) if most_size else F.count("*") / most
+    sizes = weights.groupBy(key, "aside").agg(F.ceil(enough).cast("int").alias("n"))
+    sizes = stored(sizes.groupBy(key).agg(F.max(F.when(F.col("aside"), F.col("n"))).alias("n_aside"), F.max(F.when(~F.col("aside"), F.col("n"))).alias("n_main")), "near-sizes")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    dealt = held.join(sizes, key).withColumn("block", F.when(F.col("aside"), deal("n_aside")).otherwise(F.col("n_aside") + deal("n_main")))
+    meets = F.explode(F.sequence(F.lit(0), F.when(F.col("aside"), F.col("n_aside") + F.col("n_main")).otherwise(F.col("n_aside")) - 1))
+    paired = dealt.withColumn("other", meets)
+    return paired.select(key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("first"), "node", "component")
+
+
 def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Links inside buckets whose stars left several components."""
     labelled = members.select("node", "band").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -232,26 +314,29 @@ def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: Dat
     groups = shared.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main"), F.count("*").alias("n"), print_of(1).alias("print_a"), print_of(2).alias("print_b"))
     groups = groups.filter("low <> high").groupBy("n", "print_a", "print_b").agg(F.min(F.struct("shingle", "main")).alias("one")).select("one.*")
     held = stored(shared.join(stored(groups, "near-groups"), "shingle").withColumn("aside", F.col("component") != F.col("main")), "near-held")
-    # blocks hold a bounded number of documents and, on average, of shingles
-    sizes = held.join(open_sets.groupBy("node").agg(F.sum(F.size("set")).alias("size")), "node").groupBy("shingle", "aside").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
-    sizes = stored(sizes.groupBy("shingle").agg(F.max(F.when(F.col("aside"), F.col("n"))).alias("n_aside"), F.max(F.when(~F.col("aside"), F.col("n"))).alias("n_main")), "near-sizes")
-    dealt = held.join(sizes, "shingle")
-    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    dealt = dealt.withColumn("block", F.when(F.col("aside"), deal("n_aside")).otherwise(F.col("n_aside") + deal("n_main")))
-    # those aside meet every block, the others only the blocks aside
-    meets = F.explode(F.sequence(F.lit(0), F.when(F.col("aside"), F.col("n_aside") + F.col("n_main")).otherwise(F.col("n_aside")) - 1))
-    paired = dealt.withColumn("other", meets).select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("first"), "node", "component")
+    dropped(open_keys, shared)
+    marked = stored(marks(open_sets), "near-marks")
+    paired = in_blocks(held, held.select("shingle", "aside"), "shingle", WIDE_BLOCK).join(marked, "node")
+    near = stored(paired.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "node").mapInArrow(near_forest, "a long, b long").distinct(), "near-forest")
+    links = stored(confirmed(near, open_sets.select("node", "set")), "near-forest-links")
+    known = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(links)
+    grown = components(known, "near-grown").withColumnRenamed("component", "grown")
+    clusters = components(near, "near-clusters").select("node", F.col("component").alias("cluster"))
+    placed = stored(clusters.join(nodes, "node").join(grown, "node", "left").select("node", "cluster", F.coalesce("grown", "node").alias("component")), "near-placed")
+    split = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main")).filter("low <> high").select("cluster", "main")
+    left = stored(placed.join(stored(split, "near-split"), "cluster").withColumn("aside", F.col("component") != F.col("main")), "near-left")
     # texts travel: they compress to less than half of their shingle ids
     narrow = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = stored(narrow.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node", "text"]), "near-texts")
-    full = paired.join(texts, "node")
+    texts = stored(narrow.join(left.select("node"), "node", "left_semi").dropDuplicates(["node", "text"]), "near-texts")
+    weights = left.join(open_sets.groupBy("node").agg(F.sum(F.size("set")).alias("size")), "node")
+    full = in_blocks(left, weights, "cluster", BLOCK, BLOCK_SHINGLES).join(texts, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         sets = [x for _, _, some, _, _ in shingle_sets(table["text"], width, PrimeHasher()) for x in some]
         found = joining_links(table["node"].to_numpy(), table["component"].to_numpy(), sets, table["first"].to_numpy())
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return full.groupBy("shingle", "low", "high").applyInArrow(compare, "a long, b long")
+    return links.union(full.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long"))
 
 
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:

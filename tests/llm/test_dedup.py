@@ -50,7 +50,11 @@ def test_components_match_brute_force(spark, width):
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted({v for v in label.values()})
 
 
-def test_links_that_a_star_misses_are_found(spark):
+@pytest.mark.parametrize("block", [None, 3])
+def test_links_that_a_star_misses_are_found(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(neardup, "WIDE_BLOCK", block)
+        monkeypatch.setattr(neardup, "BLOCK", block)
     # a chain around one hub: neighbours are alike, the hub is like none of them
     base = prose(9, 200).split(" ")
     texts = []
@@ -86,6 +90,41 @@ def test_block_comparison_is_complete():
                 assert root(a) == root(b)
 
 
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_forest_connects_all_links_of_two_sides(batch):
+    rng = np.random.default_rng(11)
+    core = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    rows = []
+    for node in range(60):
+        held = np.unique(np.concatenate([core[rng.random(90) < rng.choice([0.85, 0.97])], rng.integers(0, 2**63, 3, dtype=np.uint64)]))
+        # two groups of one task: (1, 0, 1) has two sides, (2, 0, 0) has one
+        rows.append({"shingle": 1 + node % 2, "low": 0, "high": 1 - node % 2, "first": node % 2 == 1 or node < 20, "node": node, "component": node // 3, "set": held})
+    rows.sort(key=lambda r: (r["shingle"], r["low"], r["high"], r["node"]))
+    bits = np.zeros((60, neardup.MARK), dtype=np.uint8)
+    for at, r in enumerate(rows):
+        np.bitwise_xor.at(bits[at], (r["set"] % np.uint64(neardup.MARK)).astype(np.int64), 1)
+    table = pa.Table.from_pylist([{**r, "set": None, "size": len(r["set"]), "mark": np.packbits(b).tobytes()} for r, b in zip(rows, bits, strict=True)])
+    edges = [(a, b) for out in neardup.near_forest(iter(table.to_batches(max_chunksize=batch))) for a, b in zip(*out.to_pydict().values(), strict=True)]
+    label = list(range(60))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        label[root(b)] = root(a)
+    links = 0
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            one_side = x["shingle"] == 1 and x["first"] == y["first"]
+            if x["shingle"] == y["shingle"] and x["component"] != y["component"] and not one_side and neardup.is_link(len(np.intersect1d(x["set"], y["set"])), len(x["set"]), len(y["set"])):
+                links += 1
+                assert root(x["node"]) == root(y["node"])
+    assert links > 50
+    assert len(edges) < 60
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     x, y = prose(41, 120), prose(42, 120)
     texts = [(1, x), (1, y), (2, x + " q"), (3, y + " q"), (4, prose(43, 50)), (4, prose(43, 50))]
