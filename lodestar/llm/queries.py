@@ -11,8 +11,11 @@ from lodestar.llm.media import media_digest
 from lodestar.llm.mixing import mix_table
 from lodestar.llm.neardup import near_dup_table
 from lodestar.llm.packing import pack_documents
+from lodestar.llm.prefixes import trie
 from lodestar.llm.quality import quality_table
 from lodestar.llm.suffixes import repeat_table
+from lodestar.llm.syncmers import fingerprint_table
+from lodestar.llm.whitening import whitening_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_table(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_media_columns": op2_media_columns,
@@ -70,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_license_scans": op9_license_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
