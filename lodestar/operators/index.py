@@ -1,21 +1,27 @@
 """The vector table: what must be embedded, what is stale, and its replacement.
 
-The table is Parquet, one folder per model and chunk configuration, in it one
-folder per version.  ``build`` writes the next version; readers take the last
-one that is complete, so a build that breaks changes nothing for them.
+The table has a folder per model and chunk configuration.  Its rows lie in
+buckets by the hash of their id; a commit file per version names the folder of
+every bucket.  ``build`` finds what changed in one pass, writes new folders for
+the buckets that hold a change, and then puts the next commit file in place by
+one rename.  Readers take the last commit file, so they see a whole version
+before and after, and a build that breaks changes nothing for them.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from lodestar.functions.dates import day_number, utc_timestamp
 from lodestar.functions.text import blank, record_hash
+from lodestar.sources.tables import files_of
 
 
 class Embedder(Protocol):
@@ -151,59 +157,170 @@ def index_path(root: str, model: str, configuration: str) -> str:
     return f"{root.rstrip('/')}/{model}__{configuration}"
 
 
-def _files(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+#: Parts that rows are dealt to by id; fixed when a table is first built.
+BUCKETS = 256
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """The complete versions of a table, in order."""
-    where, files = _files(spark, path)
+    """The committed versions of a table, in order."""
+    where, files = files_of(spark, f"{path}/commits")
     if not files.exists(where):
         return []
     names = [f.getPath().getName() for f in files.listStatus(where)]
-    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d{6}", n) and files.exists(_files(spark, f"{path}/{n}/_SUCCESS")[0]))
+    return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"(\d{6})\.json", n)))
 
 
-def open_index(spark: SparkSession, path: str) -> DataFrame:
-    """The table's last version, read only; it must be there."""
-    if not (known := versions(spark, path)):
+def committed(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    """A version's commit: schema, number of buckets, and the folder of each bucket that has rows."""
+    known = versions(spark, path)
+    if not known or (version is not None and version not in known):
+        return None
+    return json.loads(_read(spark, f"{path}/commits/{known[-1] if version is None else version:06d}.json"))
+
+
+def _read(spark: SparkSession, path: str) -> str:
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def commit(spark: SparkSession, path: str, version: int, entry: dict) -> None:
+    """Puts a commit file in place by one rename; of two writers of one version the later fails."""
+    draft, files = files_of(spark, f"{path}/commits/.{version:06d}-{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(json.dumps(entry, sort_keys=True).encode()))
+    out.close()
+    final = files_of(spark, f"{path}/commits/{version:06d}.json")[0]
+    if files.exists(final) or not files.rename(draft, final):
+        files.delete(draft, False)
+        raise RuntimeError(f"version {version} of {path} was committed by another build")
+
+
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+def _rows(spark: SparkSession, path: str, entry: dict, buckets: list[int] | None = None) -> DataFrame:
+    schema = T.StructType.fromJson(entry["schema"])
+    folders = [f"{path}/{folder}" for b, folder in entry["folders"].items() if buckets is None or int(b) in buckets]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def open_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The table's last version (or an earlier one), read only; it must be there."""
+    if (entry := committed(spark, path, version)) is None:
         raise FileNotFoundError(f"no index in {path}")
-    return spark.read.parquet(f"{path}/v{known[-1]:06d}")
+    return _rows(spark, path, entry)
+
 
+def _changes(current: DataFrame, indexed: DataFrame | None, buckets: int) -> DataFrame:
+    """What differs: rows of ``current`` to put, ids to drop, and ids with two contents, each with its bucket.
 
-def build(current: DataFrame, path: str, make: Callable[[], Embedder], steps: int = 8) -> DataFrame:
+    One join by id; the counts over an id use the join's own partitioning.
+    """
+    if indexed is None:
+        both = current.withColumn("_old", F.lit(None).cast("string"))
+    else:
+        old = indexed.select(F.col("id").alias("_id"), F.col("hash").alias("_old"))
+        both = current.join(old, current["id"] == old["_id"], "full_outer").withColumn("id", F.coalesce("id", "_id")).drop("_id")
+    by_id = W.partitionBy("id")
+    what = (
+        F.when(F.min("hash").over(by_id) < F.max("hash").over(by_id), "clash").when(F.col("hash").isNull(), "drop").when(F.col("_old").isNull() | (F.col("_old") != F.col("hash")), "put")
+    )
+    first = F.row_number().over(by_id.orderBy("hash"))
+    seen = both.filter("id IS NOT NULL").withColumns({"what": what, "_n": first}).filter("_n = 1 AND what IS NOT NULL")
+    return seen.drop("_n", "_old").withColumn("bucket", _bucket(buckets))
+
+
+def _staged(spark: SparkSession, staging: str) -> list[str]:
+    """Folders of embedded rows that earlier steps, of this build or one that broke, have finished."""
+    where, files = files_of(spark, staging)
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return [f"{staging}/{n}" for n in sorted(names) if n.startswith("vectors-") and files.exists(files_of(spark, f"{staging}/{n}/_SUCCESS")[0])]
+
+
+def build(current: DataFrame, path: str, make: Callable[[], Embedder], steps: int = 8, buckets: int = BUCKETS) -> DataFrame:
     """Brings the table in ``path`` up to ``current`` (id, text, metadata..., hash) and returns it.
 
-    New and changed rows are embedded in ``steps`` by their ids, and every step
-    is kept in a staging folder: a build that broke goes on after its last
-    whole step.  Then kept and staged rows become the next version.  With
-    nothing changed no version is written.
+    ``current`` is read once; everything after that reads the changes alone.
+    They are embedded in ``steps``, each kept below ``staging``: a build that
+    broke goes on with what is not there yet.  Buckets without a change keep
+    their folders.  With nothing changed no version is written.
+
+    Defined results: rows without an id are left out; repeated rows of one id
+    and hash are one row; an id with two hashes is refused before anything is
+    embedded; a table with other metadata columns than ``current`` is built anew.
     """
     spark, staging = current.sparkSession, f"{path}/staging"
-    known = versions(spark, path)
-    indexed = open_index(spark, path) if known else None
-    if indexed is not None and not pending(current, indexed).limit(1).count() and not stale(current, indexed).limit(1).count():
+    entry, known = committed(spark, path), versions(spark, path)
+    wanted = [f.name for f in current.schema.fields] + ["embedding"]
+    if entry is not None and [f["name"] for f in entry["schema"]["fields"]] != wanted:
+        entry = None
+    buckets = entry["buckets"] if entry else buckets
+    indexed = _rows(spark, path, entry) if entry else None
+    found = f"{staging}/changes-{uuid.uuid4().hex}"
+    _changes(current, indexed, buckets).write.parquet(found)
+    changes = spark.read.parquet(found)
+    touched = {r["bucket"]: r["puts"] for r in changes.groupBy("bucket").agg(F.count_if(F.col("what") == "put").alias("puts")).collect()}
+    if clash := changes.filter("what = 'clash'").select("id").limit(3).collect():
+        _removed(spark, found)
+        raise ValueError(f"ids with more than one content: {', '.join(str(r['id']) for r in clash)}")
+    if not touched and entry:
+        _removed(spark, staging)
         return indexed
-    step = F.pmod(F.xxhash64("id"), F.lit(steps))
-    parts = []
-    for i in range(steps):
-        part, files = _files(spark, f"{staging}/{i}")
-        if not files.exists(_files(spark, f"{staging}/{i}/_SUCCESS")[0]):
-            todo = current.filter(step == i)
-            todo = todo if indexed is None else pending(todo, indexed).select(*current.columns)
-            embedded(todo, "text", make).write.mode("overwrite").parquet(str(part))
-        parts.append(str(part))
-    # a step from a build that broke may hold rows that have changed since: those are embedded again
-    staged = spark.read.parquet(*parts)
-    have = staged if indexed is None else indexed.unionByName(staged)
-    new = refreshed(current, have.dropDuplicates(["id", "hash"]), make)
-    new.write.mode("overwrite").parquet(f"{path}/v{(known or [0])[-1] + 1:06d}")
-    where, files = _files(spark, staging)
-    files.delete(where, True)
+
+    puts = changes.filter("what = 'put'").drop("what")
+    ready = _staged(spark, staging)
+    for step in range(steps):
+        todo = puts.filter(F.col("bucket") % steps == step)
+        if ready:
+            todo = todo.join(spark.read.parquet(*ready).select("id", "hash"), ["id", "hash"], "left_anti")
+        embedded(todo.select("id", "text", "hash"), "text", make).select("id", "hash", "embedding").write.parquet(f"{staging}/vectors-{uuid.uuid4().hex}")
+
+    vectors = spark.read.parquet(*_staged(spark, staging)).dropDuplicates(["id", "hash"])
+    fresh = puts.join(vectors, ["id", "hash"]).select(*wanted, "bucket")
+    if entry:
+        old = _rows(spark, path, entry, list(touched)).withColumn("bucket", _bucket(buckets))
+        fresh = fresh.unionByName(old.join(changes.select("id"), "id", "left_anti").select(*wanted, "bucket"))
+    name = f"data/{uuid.uuid4().hex}"
+    spark.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {rows}", rows=fresh).write.partitionBy("bucket").parquet(f"{path}/{name}")
+    where, files = files_of(spark, f"{path}/{name}")
+    written = {int(f.getPath().getName().split("=")[1]) for f in files.listStatus(where) if f.isDirectory() and "bucket=" in f.getPath().getName()}
+    folders = dict(entry["folders"]) if entry else {}
+    for b in touched:
+        folders.pop(str(b), None)
+    folders |= {str(b): f"{name}/bucket={b}" for b in written}
+    schema = fresh.drop("bucket").schema.jsonValue()
+    commit(spark, path, (known or [0])[-1] + 1, {"buckets": buckets, "folders": folders, "schema": schema})
+    _removed(spark, staging)
     return open_index(spark, path)
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    where, files = files_of(spark, path)
+    files.delete(where, True)
+
+
+def vacuumed(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Deletes data that none of the last ``keep`` versions names, and older commits; returns the folders deleted.
+
+    For a time when no build runs and no reader is on an older version.
+    """
+    known = versions(spark, path)
+    named = {folder for v in known[-keep:] for folder in committed(spark, path, v)["folders"].values()}
+    gone = 0
+    for v in known[:-keep]:
+        _removed(spark, f"{path}/commits/{v:06d}.json")
+    where, files = files_of(spark, f"{path}/data")
+    for build_folder in files.listStatus(where) if files.exists(where) else []:
+        name = build_folder.getPath().getName()
+        for bucket in files.listStatus(build_folder.getPath()):
+            if bucket.isDirectory() and f"data/{name}/{bucket.getPath().getName()}" not in named:
+                files.delete(bucket.getPath(), True)
+                gone += 1
+    return gone
+
+
 def refreshed(current: DataFrame, indexed: DataFrame | None, make: Callable[[], Embedder]) -> DataFrame:
     """The whole new table: unchanged rows keep their vectors, changed ones are embedded.
 

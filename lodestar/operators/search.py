@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestar.functions.vectors import dot
-
-#: Rows of a query table up to which it is sent to every task.
-MOST_BROADCAST = 10_000
+from lodestar.operators.nearest import nearest_per_query, nearest_to
 
 
 def top_k(corpus: DataFrame, vector: list[float], k: int, where: Column | None = None, id_column: str = "id", vector_column: str = "embedding") -> DataFrame:
@@ -16,31 +13,12 @@ def top_k(corpus: DataFrame, vector: list[float], k: int, where: Column | None =
     The filter stands below the scores, so it reaches the scan, and each task
     keeps its own k before they meet.
     """
-    rows = corpus if where is None else corpus.filter(where)
-    query = F.array(*(F.lit(float(x)) for x in vector))
-    return rows.withColumn("similarity", dot(F.col(vector_column), query)).orderBy(F.desc("similarity"), F.asc(id_column)).limit(k)
-
+    return nearest_to(corpus if where is None else corpus.filter(where), vector, k, id_column, vector_column)
 
-def top_k_per_query(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", id_column: str = "id", vector_column: str = "embedding", salts: int = 64) -> DataFrame:
-    """The ``k`` nearest rows of every query (query_id, vector), with their rank.
 
-    Up to ``MOST_BROADCAST`` queries go to every task; beyond, corpus and
-    queries meet in batches of that many.  Scores are ranked first within
-    salted parts of the corpus, so no query's candidates meet in one task.
-    """
-    n = queries.count()
-    parts: list[DataFrame] = []
-    numbered = queries.withColumn("_batch", F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-n // MOST_BROADCAST)))))
-    for batch in range(max(1, -(-n // MOST_BROADCAST))):
-        few = numbered.filter(F.col("_batch") == batch).select(query_id, F.col("vector").alias("_query"))
-        scored = corpus.join(F.broadcast(few), F.lit(True))
-        scored = scored.select(query_id, F.col(id_column), dot(F.col(vector_column), F.col("_query")).alias("similarity"), F.pmod(F.xxhash64(id_column), F.lit(salts)).alias("_salt"))
-        local = W.partitionBy(query_id, "_salt").orderBy(F.desc("similarity"), F.asc(id_column))
-        parts.append(scored.withColumn("_place", F.row_number().over(local)).filter(F.col("_place") <= k).drop("_place", "_salt"))
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.union(part)
-    return both.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("similarity"), F.asc(id_column)))).filter(F.col("rank") <= k)
+def top_k_per_query(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", id_column: str = "id", vector_column: str = "embedding") -> DataFrame:
+    """The ``k`` nearest rows of every query (query_id, vector), with their rank; exact."""
+    return nearest_per_query(corpus, queries, k, query_id, id_column, vector_column)
 
 
 def gated(hits: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:

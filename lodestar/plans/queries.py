@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lodestar.functions import dates, text as tx
-from lodestar.operators import chunks, dedupe, filters, index, lookups, metrics, risk, search
+from lodestar.operators import chunks, dedupe, filters, index, lookups, metrics, nearest, risk, search
 from lodestar.plans import reports
+from lodestar.sources.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +85,30 @@ def vector_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    corpus = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return corpus, corpus.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(f"""SELECT query_id, vec_id, rank, round(s, 4) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS s,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0) WHERE rank <= 8""")
+def vector_topk_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout by cells, all of them probed: the exact search."""
+    corpus, asked = _asked(spark, sf_dir)
+    layout = nearest.lay_out(corpus, new_path(spark, "cells"))
+    hits = nearest.nearest_in_cells(layout, asked, 8, len(layout.centroids), id_column="vec_id")
+    return hits.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+
+
+@query(None)
+def vector_cell_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query: how many of its eight nearest are found with as many cells as a recall of 0.9 is measured to take."""
+    corpus, asked = _asked(spark, sf_dir)
+    layout = nearest.lay_out(corpus, new_path(spark, "cells"))
+    found = nearest.nearest_in_cells(layout, asked, 8, nearest.probes_for(layout, spark, 8, id_column="vec_id"), id_column="vec_id")
+    return nearest.recall(found, nearest.nearest_per_query(corpus, asked, 8, id_column="vec_id"), id_column="vec_id")
+
+
 # ---------------------------------------------------------------- repeated keys
 
 @query("""SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey
@@ -668,6 +693,35 @@ def index_upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.upsert_counts(*_snapshots(spark, sf_dir))
 
 
+class _Shape:
+    """Stands in for a model: a text's characters, blanks and line ends."""
+
+    name = "shape"
+
+    def passages(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+    def query(self, text: str) -> list[float]:
+        return self.passages([text])[0]
+
+    def tokens(self, text: str) -> int:
+        return len(text.split())
+
+
+@query(r"""SELECT doc_id AS id, lang, substring(sha1(text || '{"lang":"' || lang || '"}'), 1, 16) AS hash, length(text) AS chars, length(text) - length(replace(text, ' ', '')) AS blanks,
+length(text) - length(replace(text, chr(10), '')) AS line_ends, 2 AS version FROM documents WHERE lang <> 'fr' AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def index_build_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after two builds: of another state of the documents, then of theirs; some rows went, changed and came between."""
+    docs = table(spark, sf_dir, "documents")
+    rows = lambda df: index.to_index(df, "doc_id", "text", {"lang": F.col("lang")})
+    path = new_path(spark, "index")
+    index.build(rows(docs.filter("lang <> 'es'").withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text")))), path, _Shape, steps=2, buckets=64)
+    index.build(rows(docs.filter("lang <> 'fr'")), path, _Shape, steps=2)
+    part = lambda k: F.get("embedding", F.lit(k)).cast("long")
+    built = index.open_index(spark, path).select("id", "lang", "hash", part(0).alias("chars"), part(1).alias("blanks"), part(2).alias("line_ends"))
+    return built.withColumn("version", F.lit(index.versions(spark, path)[-1]))
+
+
 # ---------------------------------------------------------------- nested records
 
 

@@ -14,18 +14,23 @@ from lodestar.operators.dedupe import latest_per_key
 from lodestar.operators.index import Embedder, embedded
 
 
-def indexed_stream(rows: DataFrame, path: str, checkpoint: str, make: Callable[[], Embedder]) -> StreamingQuery:
+def indexed_stream(rows: DataFrame, path: str, checkpoint: str, make: Callable[[], Embedder], order: str | None = None) -> StreamingQuery:
     """Appends (id, text, hash, embedding, batch) for rows that differ from what their id holds now.
 
     A text that comes back after another one is a change too.  A null text
-    takes the id out.  A batch that is run again finds its rows in place and
-    appends nothing, so the table is right after any failure; ``current_index``
-    gives what holds.
+    takes the id out.  Of several rows of one id in a batch the last by
+    ``order`` holds (nulls first; on a tie, and without ``order``, the greatest
+    hash, where a null text counts as least).  A batch that is run again finds
+    its rows in place and appends nothing, so the table is right after any
+    failure; ``current_index`` gives what holds.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("hash", F.when(F.col("text").isNotNull(), F.col("hash"))).dropDuplicates(["id", "hash"])
+        fresh = batch.withColumn("hash", F.when(F.col("text").isNotNull(), F.col("hash")))
+        last = [F.desc_nulls_last(order)] if order else []
+        fresh = latest_per_key(fresh, ["id"], [*last, F.desc_nulls_last("hash")])
+        fresh = fresh.drop(order) if order else fresh
         if _there(spark, path):
             now = _latest(spark, path).select(F.col("id").alias("id_now"), F.col("hash").alias("hash_now"))
             fresh = fresh.join(now, (F.col("id") == F.col("id_now")) & F.col("hash").eqNullSafe(F.col("hash_now")), "left_anti")

@@ -28,6 +28,45 @@ def test_records_inside_zips(spark, tmp_path):
     assert archives.inner_digest(found).first().sha256 == downloads.inner_sha256((tmp_path / "2026-01.zip").read_bytes())
 
 
+AWKWARD = [
+    {"records": [{"a": 'quote " and \\ and \\" } ]', "b": [{"c": "{"}, []]}, {"é": "漢字 \\\\"}, {}], "more": [{"records": [1]}]},
+    {"name": "records", "other": [{"records": [{"x": 1}]}], "deep": {"records": [{"y": 2}]}, "records": [{"z": [[[{}]]]}, 5, "text", None, [{"not": "one"}], {"last": {"records": [{}]}}]},
+    {"records": []},
+]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1 << 20])
+@pytest.mark.parametrize("package", AWKWARD)
+@pytest.mark.parametrize("indent", [None, 2])
+def test_records_are_cut_wherever_chunks_end(package, size, indent):
+    text = json.dumps(package, indent=indent, ensure_ascii=False).encode()
+    cutter, out = archives.RecordCutter(), []
+    for at in range(0, len(text), size):
+        out += cutter.cut(text[at : at + size])
+    cutter.finish("x")
+    assert [json.loads(r) for r in out] == [r for r in package["records"] if isinstance(r, dict)]
+
+
+@pytest.mark.parametrize(("text", "said"), [(b'{"other": []}', "no array"), (b'{"records": [{"a": 1}', "ends inside"), (b"", "no array"), (b"[1, 2]", "no array")])
+def test_texts_without_whole_records_are_errors(text, said):
+    with pytest.raises(ValueError, match=said):
+        list(archives.cut_records(io.BytesIO(text), "x"))
+
+
+def test_members_are_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "CHUNK", 1000)
+    package = lambda a, n: json.dumps({"records": [{"ocid": f"{a}{i}", "compiledRelease": {"tender": {"title": "x" * 300}}} for i in range(n)]})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "m.zip").write_bytes(zipped(a__json=package("a", 50), b__json=package("b", 7), readme__txt="no"))
+    (tmp_path / "n.zip").write_bytes(zipped(c__json=package("c", 3)))
+    got = archives.member_records(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted((r.member, r.ocid) for r in got.collect()) == sorted([("a.json", f"a{i}") for i in range(50)] + [("b.json", f"b{i}") for i in range(7)] + [("c.json", f"c{i}") for i in range(3)])
+    assert archives.member_records(spark, f"file://{tmp_path}", members="c*").count() == 3
+    with pytest.raises(Exception, match="nothing"):
+        archives.member_records(spark, str(tmp_path / "nothing")).count()
+
+
 def test_pages_keep_their_numbers(spark, tmp_path):
     (tmp_path / "ley.pdf").write_bytes(b"uno\fdos")
     got = archives.document_pages(archives.read_binary(spark, str(tmp_path), "*.pdf"), lambda content: content.decode().split("\f")).orderBy("page").collect()
@@ -172,19 +211,22 @@ class Toy:
         return len(text)
 
 
+def indexable(spark, *pairs):
+    return index.to_index(spark.createDataFrame(list(pairs), "id string, text string"), "id", "text", {})
+
+
 def test_index_is_idempotent_and_incremental(spark, tmp_path):
-    rows = lambda *pairs: index.to_index(spark.createDataFrame(list(pairs), "id string, text string"), "id", "text", {})
-    old = index.refreshed(rows(("a", "x"), ("b", "yy"), ("c", " ")), None, Toy)
+    rows = lambda *pairs: indexable(spark, *pairs)
     path = index.index_path(str(tmp_path), "toy", "c500")
-    old.write.parquet(path)
+    with pytest.raises(FileNotFoundError, match="no index"):
+        index.open_index(spark, path)
+    index.build(rows(("a", "x"), ("b", "yy"), ("c", " ")), path, Toy)
     old = index.open_index(spark, path)
     assert old.count() == 2 and index.pending(rows(("a", "x"), ("b", "yy")), old).count() == 0
     now = rows(("a", "x"), ("b", "changed"), ("d", "new"))
     assert index.upsert_counts(now, old).first().asDict() == {"to_index": 3, "already_there": 1, "upserted": 2, "deleted": 0, "total": 3}
     fresh = {r.id: r.embedding[0] for r in index.refreshed(now, old, Toy).collect()}
-    assert fresh == {"a": 1.0, "b": 7.0, "d": 3.0}
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        index.open_index(spark, str(tmp_path / "none"))
+    assert fresh == {"a": 1.0, "b": 7.0, "d": 3.0} == {r.id: r.embedding[0] for r in index.build(now, path, Toy).collect()}
 
 
 def test_embedders():
@@ -228,26 +270,93 @@ def test_a_text_that_comes_back_and_one_that_goes(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
 
 
-def test_index_build_is_resumed_and_replaced_whole(spark, tmp_path):
-    path = str(tmp_path / "index")
-    rows = lambda *pairs: index.to_index(spark.createDataFrame(list(pairs), "id string, text string"), "id", "text", {})
-    with pytest.raises(FileNotFoundError):
-        index.open_index(spark, path)
-    first = index.build(rows(("a", "x"), ("b", "y")), path, Toy, steps=2)
-    assert index.versions(spark, path) == [1] and first.count() == 2
-    index.build(rows(("a", "x"), ("b", "y")), path, Toy, steps=2)
-    assert index.versions(spark, path) == [1]
+def embedded_texts(path):
+    return [line for f in sorted(path.glob("*")) for line in f.read_text().split("\n")[:-1]]
+
+
+def noting(folder, fail_on=()):
+    """An embedder that leaves a note of every text it is asked for, and fails on some."""
 
-    class Failing(Toy):
+    class Noting(Toy):
         def passages(self, texts):
-            raise OSError("gone")
+            import uuid
+
+            if any(t in fail_on for t in texts):
+                raise OSError("gone")
+            (folder / uuid.uuid4().hex).write_text("".join(t + "\n" for t in texts))
+            return super().passages(texts)
+
+    return Noting
+
 
+def test_a_build_that_broke_goes_on(spark, tmp_path):
+    path, notes = str(tmp_path / "index"), tmp_path / "notes"
+    notes.mkdir()
+    first = [(f"i{k}", f"text {k}") for k in range(40)]
+    assert index.build(indexable(spark, *first), path, noting(notes), steps=4).count() == 40
+    assert sorted(embedded_texts(notes)) == sorted(t for _, t in first)
+    index.build(indexable(spark, *first), path, noting(notes), steps=4)
+    assert index.versions(spark, path) == [1] and len(embedded_texts(notes)) == 40
+
+    changed = [(i, t + "!" if k % 2 else t) for k, (i, t) in enumerate(first[:30])] + [("new", "new text")]
     with pytest.raises(Exception, match="gone"):
-        index.build(rows(("a", "xx"), ("c", "z")), path, Failing, steps=1)
-    assert {r.id for r in index.open_index(spark, path).collect()} == {"a", "b"}
-    second = index.build(rows(("a", "xx"), ("c", "z")), path, Toy, steps=2)
-    assert {r.id: r.text for r in second.collect()} == {"a": "xx", "c": "z"} and second.filter("embedding is null").count() == 0
+        index.build(indexable(spark, *changed), path, noting(notes, {"text 29!"}), steps=4)
+    before = len(embedded_texts(notes))
+    assert {r.id: r.text for r in index.open_index(spark, path).collect()} == dict(first)
+    got = index.build(indexable(spark, *changed), path, noting(notes), steps=4)
+    assert {r.id: r.text for r in got.collect()} == dict(changed)
+    assert {r.id: r.embedding[0] for r in got.collect()} == {i: float(len(t)) for i, t in changed}
     assert index.versions(spark, path) == [1, 2]
+    # nothing that the broken build had finished was asked for again
+    assert 40 < before and len(embedded_texts(notes)) == 40 + 16
+
+
+def test_a_break_between_data_and_commit(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    index.build(indexable(spark, ("a", "x"), ("b", "y")), path, Toy)
+    with monkeypatch.context() as m:
+        m.setattr(index, "commit", lambda *a: (_ for _ in ()).throw(OSError("no commit")))
+        with pytest.raises(OSError, match="no commit"):
+            index.build(indexable(spark, ("a", "xx"), ("c", "z")), path, Toy)
+    assert {r.id: r.text for r in index.open_index(spark, path).collect()} == {"a": "x", "b": "y"}
+    assert {r.id: r.text for r in index.build(indexable(spark, ("a", "xx"), ("c", "z")), path, noting(tmp_path, {"xx", "z"})).collect()} == {"a": "xx", "c": "z"}
+    assert {r.id: r.text for r in index.open_index(spark, path, 1).collect()} == {"a": "x", "b": "y"}
+    with pytest.raises(RuntimeError, match="another build"):
+        index.commit(spark, path, 2, {})
+    assert index.vacuumed(spark, path, keep=1) > 0
+    assert {r.id: r.text for r in index.open_index(spark, path).collect()} == {"a": "xx", "c": "z"} and index.versions(spark, path) == [2]
+
+
+def test_only_buckets_with_changes_are_written(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(f"i{k}", "t") for k in range(60)]
+    index.build(indexable(spark, *rows), path, Toy, buckets=16)
+    old = index.committed(spark, path)["folders"]
+    index.build(indexable(spark, ("i7", "other"), *(r for r in rows if r[0] not in ("i7", "i9"))), path, Toy)
+    new = index.committed(spark, path)["folders"]
+    differ = {b for b in {*old, *new} if old.get(b) != new.get(b)}
+    assert 1 <= len(differ) <= 2 and index.open_index(spark, path).count() == 59
+
+
+def test_repeated_null_and_clashing_ids(spark, tmp_path):
+    path = str(tmp_path / "index")
+    assert index.build(indexable(spark, ("a", "x"), ("a", "x"), (None, "n"), ("b", "y")), path, Toy).count() == 2
+    with pytest.raises(ValueError, match="more than one content: a"):
+        index.build(indexable(spark, ("a", "x"), ("a", "z")), path, noting(tmp_path, {"x", "z"}))
+    assert index.build(indexable(spark), path, Toy).count() == 0 and index.versions(spark, path) == [1, 2]
+    wider = index.to_index(spark.createDataFrame([("a", "x", 1)], "id string, text string, k int"), "id", "text", {"k": index.F.col("k")})
+    assert index.build(wider, path, Toy).columns == ["id", "text", "k", "hash", "embedding"]
+
+
+def test_several_rows_of_one_id_in_a_batch(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([("a", "y", 2), ("a", "x", 1), ("b", "u", 1), ("b", None, 3), ("c", "k", None)], "id string, text string, at int").selectExpr("*", "sha1(text) hash")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("id string, text string, at int, hash string").parquet(str(tmp_path / "in"))
+    for checkpoint in ("one", "again"):  # the second stream runs the same batch once more
+        jobs.indexed_stream(source(), path, str(tmp_path / checkpoint), Toy, order="at").awaitTermination()
+        assert {r.id: r.text for r in jobs.current_index(spark, path).collect()} == {"a": "y", "c": "k"}
+    assert spark.read.parquet(path).count() == 3
 
 
 def test_windowed_stream(spark, tmp_path):
