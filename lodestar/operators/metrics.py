@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestar.operators.quantiles import same_keys
+
 
 def with_hits(hits: DataFrame, relevant: DataFrame, on: Sequence[str]) -> DataFrame:
     """Retrieved rows with ``hit``: whether ``relevant`` has the same ``on``."""
@@ -35,20 +37,22 @@ def retrieval_summary(by_question: DataFrame, ks: Sequence[int]) -> DataFrame:
     return by_question.agg(F.count("*").alias("questions"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), *means)
 
 
-def auc(scores: DataFrame, score: str, positive: str, steps: int = 1000) -> DataFrame:
-    """Share of (positive, negative) pairs in order, ties as half; scores of bounded range, as similarities are.
+def auc(scores: DataFrame, score: str, positive: str, steps: int = 1000, by: Sequence[str] = ()) -> DataFrame:
+    """Share of (positive, negative) pairs in order, ties as half, of all rows or of each ``by``; scores of bounded range, as similarities are.
 
     By counts of equal scores and running totals, so pairs are never made:
-    totals of ``steps`` parts of the unit first, then inside each part.
+    totals of ``steps`` parts of the unit first, then inside each part.  A
+    group without a positive or without a negative has a null.
     """
-    counted = scores.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
+    counted = scores.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
     counted = counted.withColumn("part", F.floor(F.col("s") * steps))
-    before = F.coalesce(F.sum("part_neg").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = counted.groupBy("part").agg(F.sum("neg").alias("part_neg")).select("part", before.alias("before"))
-    inside = F.coalesce(F.sum("neg").over(W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted.withColumn("inside", inside).join(parts, "part")
+    before = F.coalesce(F.sum("part_neg").over(W.partitionBy(*by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = counted.groupBy(*by, "part").agg(F.sum("neg").alias("part_neg")).select(*by, "part", before.alias("before"))
+    inside = F.coalesce(F.sum("neg").over(W.partitionBy(*by, "part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = same_keys(counted.withColumn("inside", inside), parts, [*by, "part"])
     total = F.sum(F.col("pos") * (F.col("before") + F.col("inside") + F.col("neg") / 2))
-    return ranked.agg(F.round(total / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    area = F.round(total / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)), 6).alias("auc")
+    return ranked.groupBy(*by).agg(area) if by else ranked.agg(area)
 
 
 def threshold_sweep(scores: DataFrame, score: str, outside: str, thresholds: Sequence[float]) -> DataFrame:
@@ -66,15 +70,16 @@ def threshold_sweep(scores: DataFrame, score: str, outside: str, thresholds: Seq
     return joined.select("threshold", right.alias("right"), wrong.alias("wrong"), F.round(right / F.col("n_outside"), 4).alias("right_rate"), F.round(wrong / F.col("n_inside"), 4).alias("wrong_rate"))
 
 
-def threshold_options(runs: DataFrame, thresholds: Sequence[float], call_cost: float) -> DataFrame:
+def threshold_options(runs: DataFrame, thresholds: Sequence[float], call_cost: float, listed: int = 20) -> DataFrame:
     """Per threshold, from a run without gate (id, score, outside, verdict): the gate alone, and gate or verdict.
 
-    Also the calls made, what they cost, and the questions wrongly turned away.
+    Also the calls made, what they cost, and of the questions wrongly turned
+    away the first ``listed`` by their text; all of them are in ``turned_away``.
     """
     each = runs.withColumn("threshold", F.explode(F.array(*map(F.lit, map(float, thresholds)))))
     gate = F.round("score", 4) < F.col("threshold")
     final = gate | F.col("verdict")
-    return each.groupBy("threshold").agg(
+    counts = each.groupBy("threshold").agg(
         F.count_if(gate & F.col("outside")).alias("gate_right"),
         F.count_if(gate & ~F.col("outside")).alias("gate_wrong"),
         F.count_if(final & F.col("outside")).alias("final_right"),
@@ -82,8 +87,16 @@ def threshold_options(runs: DataFrame, thresholds: Sequence[float], call_cost: f
         F.count_if(~gate).alias("calls"),
         F.round(F.count_if(~gate) * call_cost, 6).alias("cost"),
         F.round(F.min(F.when(~F.col("outside"), F.col("score"))) - F.first("threshold"), 4).alias("margin"),
-        F.array_join(F.array_sort(F.collect_list(F.when(gate & ~F.col("outside"), F.col("id").cast("string")))), ",").alias("wrongly_gated"),
     )
+    first = turned_away(runs, thresholds).withColumn("_n", F.row_number().over(W.partitionBy("threshold").orderBy("id"))).filter(F.col("_n") <= listed)
+    names = first.groupBy("threshold").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("wrongly_gated"))
+    return counts.join(names, "threshold", "left").withColumn("wrongly_gated", F.coalesce("wrongly_gated", F.lit("")))
+
+
+def turned_away(runs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """(threshold, id as text) of every question inside that the gate alone would turn away."""
+    each = runs.withColumn("threshold", F.explode(F.array(*map(F.lit, map(float, thresholds)))))
+    return each.filter((F.round("score", 4) < F.col("threshold")) & ~F.col("outside")).select("threshold", F.col("id").cast("string").alias("id"))
 
 
 def abstention_rates(answers: DataFrame, abstained: str, outside: str) -> DataFrame:
@@ -112,16 +125,6 @@ def field_accuracy(pairs: DataFrame, fields: dict[str, tuple[str, str, bool]]) -
     return pairs.agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"right_{name}") for name, c in right.items()), F.count_if(every).alias("all_right"))
 
 
-def exclusive_p90(values: str) -> Column:
-    """The ninth decile by the exclusive method: place 0.9 (n + 1) in order, interpolated, inside the data."""
-    ordered = F.array_sort(F.collect_list(F.col(values).cast("double")))
-    place = 0.9 * (F.size(ordered) + 1)
-    lower = F.least(F.greatest(F.floor(place).cast("int"), F.lit(1)), F.size(ordered) - 1)
-    step = place - lower
-    # the method extrapolates from the last two values when the place is past the end
-    return F.when(F.size(ordered) < 2, F.get(ordered, 0)).otherwise(F.get(ordered, lower - 1) * (1 - step) + F.get(ordered, lower) * step)
-
-
 def reading_order(pages: DataFrame, by: str, position: str, value: str) -> DataFrame:
     """Share of steps that do not go back."""
     step = F.col(value) >= F.lag(value).over(W.partitionBy(by).orderBy(position))

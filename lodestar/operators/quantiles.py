@@ -32,18 +32,18 @@ def at_places(df: DataFrame, by: Sequence[str], value: str, places: dict[str, Co
     span = counts.groupBy(*by).agg(F.min("v").alias("_low"), F.max("v").alias("_high"), F.sum("n").alias("size"))
     width = F.greatest((F.col("_high") - F.col("_low")) / CELLS, F.lit(1e-300))
     cell = F.least(F.floor((F.col("v") - F.col("_low")) / width), F.lit(CELLS - 1)).cast("int")
-    keyed = _same(counts, span, by).withColumn("_cell", cell)
+    keyed = same_keys(counts, span, by).withColumn("_cell", cell)
     cells = keyed.groupBy(*by, "_cell").agg(F.sum("n").alias("_in"))
     before = F.coalesce(F.sum("_in").over(W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cells = cells.withColumn("_before", before)
     wanted = span.select(*by, F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(k), F.least(F.greatest(p.cast("long"), F.lit(1)), F.col("size"))) for k, p in places.items())))).alias("name", "_place"))
-    hit = _same(cells, wanted, by).filter((F.col("_place") > F.col("_before")) & (F.col("_place") <= F.col("_before") + F.col("_in")))
-    inside = _same(keyed, hit.select(*by, "_cell", "name", "_place", "_before"), [*by, "_cell"])
+    hit = same_keys(cells, wanted, by).filter((F.col("_place") > F.col("_before")) & (F.col("_place") <= F.col("_before") + F.col("_in")))
+    inside = same_keys(keyed, hit.select(*by, "_cell", "name", "_place", "_before"), [*by, "_cell"])
     upto = F.col("_before") + F.sum("n").over(W.partitionBy(*by, "_cell", "name").orderBy("v"))
     return inside.withColumn("_upto", upto).filter((F.col("_place") <= F.col("_upto")) & (F.col("_place") > F.col("_upto") - F.col("n"))).select(*by, "name", F.col("v").alias("value"))
 
 
-def _same(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+def same_keys(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of equal ``by``, null keys included."""
     if not by:
         return a.crossJoin(b)
@@ -54,12 +54,28 @@ def _same(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(right, on[0]).drop(*(f"_b_{c}" for c in by))
 
 
+def described(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """(by..., n, least, median, most, and a column for each of ``shares``).
+
+    Shares are exclusive quantiles: the value at place ``share`` (n + 1),
+    interpolated; past the ends by the last two values; of one value, itself.
+    """
+    shares = shares or {}
+    size = F.col("size")
+    lower = {k: F.least(F.greatest(F.floor(share * (size + 1)), F.lit(1)), F.greatest(size - 1, F.lit(1))) for k, share in shares.items()}
+    places = {"_m0": F.floor((size + 1) / 2), "_m1": F.floor(size / 2) + 1}
+    for k, place in lower.items():
+        places |= {f"{k}0": place, f"{k}1": place + 1}
+    found = at_places(df, by, value, places)
+    sizes = value_counts(df, by, value).groupBy(*by).agg(F.sum("n").alias("size"), F.min("v").alias("least"), F.max("v").alias("most"))
+    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in places))
+    out = [size.alias("n"), "least", ((F.col("_m0") + F.col("_m1")) / 2).alias("median"), "most"]
+    for k, share in shares.items():
+        step = share * (size + 1) - lower[k]
+        out.append(F.when(size < 2, F.col(f"{k}0")).otherwise(F.col(f"{k}0") * (1 - step) + F.col(f"{k}1") * step).alias(k))
+    return same_keys(sizes, wide, by).select(*by, *out)
+
+
 def exclusive(df: DataFrame, by: Sequence[str], value: str, share: float, output: str) -> DataFrame:
-    """(by..., output): the quantile at place ``share`` (n + 1), interpolated; past the ends by the last two values."""
-    place = share * (F.col("size") + 1)
-    lower = F.least(F.greatest(F.floor(place), F.lit(1)), F.greatest(F.col("size") - 1, F.lit(1)))
-    found = at_places(df, by, value, {"lower": lower, "upper": lower + 1})
-    sizes = value_counts(df, by, value).groupBy(*by).agg(F.sum("n").alias("size"))
-    pair = found.groupBy(*by).agg(F.max(F.when(F.col("name") == "lower", F.col("value"))).alias("_a"), F.max(F.when(F.col("name") == "upper", F.col("value"))).alias("_b"))
-    step = place - lower
-    return _same(sizes, pair, by).select(*by, F.when(F.col("size") < 2, F.col("_a")).otherwise(F.col("_a") * (1 - step) + F.col("_b") * step).alias(output))
+    """(by..., output): one exclusive quantile of each group."""
+    return described(df, by, value, {output: share}).select(*by, output)

@@ -15,6 +15,7 @@ from lodestar.functions.dates import utc_timestamp
 from lodestar.functions.text import accent_key, blank, first_join, is_short, literal_newlines_out, lost_quotes, mojibake, repaired, sorted_join, squeeze
 from lodestar.operators.dedupe import changed_versions, latest_per_key, values_per_key, version_groups
 from lodestar.operators.lookups import aliased, cascade, filled_by_mode, mapped, spelling_variants
+from lodestar.operators.quantiles import same_keys
 from lodestar.schemas import PROCESS, fields
 
 
@@ -235,11 +236,24 @@ def variant_counts(valid: DataFrame, columns: Sequence[str] = ("buyer_department
     return out
 
 
-def examples_per_class(df: DataFrame, kind: str, group: Sequence[str], member: Column, groups: int = 3) -> DataFrame:
-    """The first groups of each class with their members in order."""
-    listed = df.filter(F.col(kind) != "").groupBy(kind, *group).agg(F.array_sort(F.collect_list(member)).alias("members"))
-    place = F.row_number().over(W.partitionBy(kind).orderBy(*group))
-    return listed.withColumn("place", place).filter(F.col("place") <= groups)
+def examples_per_class(df: DataFrame, kind: str, group: Sequence[str], groups: int = 3) -> DataFrame:
+    """All rows of the first ``groups`` groups of each class, with their group's ``place``; classes that are null or empty have none.
+
+    A task keeps the first groups of each class before they meet, and members
+    come by a join with the few that are chosen: no class or group is gathered.
+    """
+    named = df.filter(F.col(kind) != "")
+    order = W.partitionBy(kind).orderBy(*group)
+    first = named.select(kind, *group).distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= groups)
+    return same_keys(named, first, [kind, *group])
+
+
+def text_pair(valid: DataFrame, before: str, after: str, mark: str = "¿", chars: int = 90) -> DataFrame:
+    """One row (before, after): of the rows that ``quotes_lost`` marks, the one with the earliest ``mark``; none without such a row."""
+    place = F.nullif(F.locate(mark, F.col(before)), F.lit(0))
+    pair = F.struct(F.substring(before, 1, chars).alias("before"), F.substring(after, 1, chars).alias("after"))
+    found = valid.filter(F.col("quotes_lost") & place.isNotNull()).agg(F.min_by(pair, F.struct(place, F.col("ocid"))).alias("pair"))
+    return found.filter("pair IS NOT NULL").select("pair.*")
 
 
 def news_located(news: DataFrame, valid: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lodestar.functions import dates, text as tx
 from lodestar.operators import chunks, dedupe, filters, index, lookups, metrics, nearest, risk, search
@@ -172,18 +172,14 @@ def union_files_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.join(dedupe.values_per_key(union, "o_orderkey", "file", "months"), "o_orderkey").orderBy("o_orderkey")
 
 
-@query("""SELECT lang, array_to_string(list_sort(list(doc_id)), ',') AS members, place FROM (SELECT lang, text, doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY sha256(text)) AS place
-FROM (SELECT *, count(*) OVER (PARTITION BY lang, text) AS n FROM documents) WHERE n > 1) WHERE place <= 3 GROUP BY lang, text, place""")
+@query("""SELECT lang, doc_id, place FROM (SELECT lang, doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY sha256(text)) AS place
+FROM (SELECT *, count(*) OVER (PARTITION BY lang, text) AS n FROM documents) WHERE n > 1) WHERE place <= 3""")
 def examples_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.plans.processes import examples_per_class as examples
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
-    repeated = dedupe.group_members(docs, ["lang", "digest"])
-    out = examples(repeated, "lang", ["digest"], F.col("doc_id"))
-    return out.select("lang", F.array_join("members", ",").alias("members"), F.col("place").cast("long").alias("place"))
-
-
-# ---------------------------------------------------------------- text
+    out = examples(dedupe.group_members(docs, ["lang", "digest"]), "lang", ["digest"])
+    return out.select("lang", "doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2028}\x{2029}\p{Zs}]+', ' ', 'g'))) AS digest FROM documents")
@@ -542,14 +538,14 @@ def recall_precision_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.retrieval_summary(metrics.retrieval_by_question(hits, "query_id", (1, 3, 5)), (1, 3, 5))
 
 
-_SCORES = f"""scores AS (SELECT e.vec_id AS id, round({_DOT}, 4) AS score, e.label >= 7 AS outside, e.label = 8 AS verdict FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
+_SCORES = f"""scores AS (SELECT e.vec_id AS id, round({_DOT}, 4) AS score, e.label >= 7 AS outside, e.label = 8 AS verdict, e.label FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     from lodestar.functions.vectors import dot
 
     vector = F.array(*map(F.lit, map(float, _vector(spark, sf_dir, 0))))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(dot(F.col("embedding"), vector), 4).alias("score"), (F.col("label") >= 7).alias("outside"), (F.col("label") == 8).alias("verdict"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(dot(F.col("embedding"), vector), 4).alias("score"), (F.col("label") >= 7).alias("outside"), (F.col("label") == 8).alias("verdict"), *more)
 
 
 @query(f"WITH {_SCORES} SELECT round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) AS auc FROM scores a JOIN scores b ON NOT a.outside AND b.outside")
@@ -568,7 +564,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_SCORES}, t AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in _THRESHOLDS)}]) AS threshold) SELECT threshold, count(*) FILTER (outside AND score < threshold) AS gate_right, count(*) FILTER (NOT outside AND score < threshold) AS gate_wrong,
 count(*) FILTER (outside AND (score < threshold OR verdict)) AS final_right, count(*) FILTER (NOT outside AND (score < threshold OR verdict)) AS final_wrong, count(*) FILTER (score >= threshold) AS calls, round(count(*) FILTER (score >= threshold) * 0.00012::DOUBLE, 6) AS cost,
-round(min(CASE WHEN NOT outside THEN score END) - threshold, 4) AS margin, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) FILTER (NOT outside AND score < threshold), '') AS wrongly_gated FROM t, scores GROUP BY threshold""")
+round(min(CASE WHEN NOT outside THEN score END) - threshold, 4) AS margin, array_to_string(coalesce(list_slice(list_sort(list(CAST(id AS VARCHAR)) FILTER (NOT outside AND score < threshold)), 1, 20), []), ',') AS wrongly_gated FROM t, scores GROUP BY threshold""")
 def threshold_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.threshold_options(_scores(spark, sf_dir), _THRESHOLDS, 0.00012)
 
@@ -634,6 +630,27 @@ def chunk_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.length_stats(table(spark, sf_dir, "documents"))
 
 
+_DECILE = "CASE WHEN len({0}) < 2 THEN {0}[1] ELSE {0}[least(greatest(floor(0.9::DOUBLE * (len({0}) + 1))::BIGINT, 1), len({0}) - 1)] * (1 - {1}) + {0}[least(greatest(floor(0.9::DOUBLE * (len({0}) + 1))::BIGINT, 1), len({0}) - 1) + 1] * {1} END"
+_STEP = "(0.9::DOUBLE * (len({0}) + 1) - least(greatest(floor(0.9::DOUBLE * (len({0}) + 1))::BIGINT, 1), len({0}) - 1))"
+_SIZES = ", ".join(f"floor({m}[1])::BIGINT AS {n}_least, floor(list_median({m}))::BIGINT AS {n}_median, floor({_DECILE.format(m, _STEP.format(m))})::BIGINT AS {n}_p90, floor({m}[len({m})])::BIGINT AS {n}_most" for m, n in (("c", "chars"), ("t", "tokens")))
+
+
+@query(f"""SELECT lang, chunks, over_limit, {_SIZES} FROM (SELECT lang, count(*) AS chunks, count(*) FILTER (tokens > 512) AS over_limit, list(chars::DOUBLE ORDER BY chars) AS c, list(tokens::DOUBLE ORDER BY tokens) AS t
+FROM (SELECT lang, length(text) AS chars, length(text) - length(replace(text, ' ', '')) + 1 AS tokens FROM documents) GROUP BY lang)""")
+def chunk_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages stand for chunk configurations, blanks part the tokens."""
+    tokens = F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1
+    sizes = reports.chunk_sizes(table(spark, sf_dir, "documents"), ["lang"], tokens, 512)
+    return sizes.select("lang", "chunks", "over_limit", *(F.col(f"{n}_{c}").cast("long").alias(f"{n}_{c}") for n in ("chars", "tokens") for c in ("least", "median", "p90", "most")))
+
+
+@query(f"""WITH {_SCORES} SELECT a.label % 3 AS configuration, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) AS auc
+FROM scores a JOIN scores b ON NOT a.outside AND b.outside AND a.label % 3 = b.label % 3 GROUP BY 1""")
+def auc_by_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _scores(spark, sf_dir, F.col("label"), (F.col("label") % 3).cast("long").alias("configuration")).withColumn("positive", ~F.col("outside"))
+    return metrics.auc(scores, "score", "positive", by=["configuration"])
+
+
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user_turn FROM conversations""")
 def carry_forward_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.carried_forward(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], F.when(F.col("role") == "user", F.col("turn")), "last_user_turn").select("conv_id", "turn", "last_user_turn")

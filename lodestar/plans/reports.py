@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.operators.filters import legibility
 from lodestar.operators.lookups import over_dimension
-from lodestar.operators.metrics import exclusive_p90, reading_order
+from lodestar.operators.metrics import auc, reading_order, retrieval_by_question
+from lodestar.operators.quantiles import described, exclusive, same_keys
 from lodestar.operators.risk import minimum_sizes, ranked, rate_by, size_percentiles, ties_at_cut, universe
 
 
@@ -65,8 +66,39 @@ def length_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def length_p90_exclusive(chunks: DataFrame, by: str, text: str = "text") -> DataFrame:
-    """The exclusive ninth decile of each configuration (small groups)."""
-    return chunks.select(by, F.length(text).alias("chars")).groupBy(by).agg(F.round(exclusive_p90("chars"), 2).alias("p90_exclusive"))
+    """The exclusive ninth decile of each configuration."""
+    return exclusive(chunks.select(by, F.length(text).alias("chars")), [by], "chars", 0.9, "p90").select(by, F.round("p90", 2).alias("p90_exclusive"))
+
+
+def chunk_sizes(chunks: DataFrame, by: Sequence[str], tokens: Column, limit: int, text: str = "text") -> DataFrame:
+    """A row per configuration: chunks, characters and tokens (least, median, ninth decile, most), and chunks over the limit.
+
+    ``tokens`` counts what the model sees.  Medians and exclusive deciles are
+    cut to whole numbers.
+    """
+    sized = chunks.select(*by, F.length(text).cast("long").alias("chars"), tokens.cast("long").alias("tokens"))
+    measures = sized.select(*by, F.explode(F.create_map(F.lit("chars"), "chars", F.lit("tokens"), "tokens")).alias("measure", "size"))
+    stats = described(measures, [*by, "measure"], "size", {"p90": 0.9})
+    columns = [F.max(F.when(F.col("measure") == m, F.floor(F.col(c)))).alias(f"{m}_{c}") for m in ("chars", "tokens") for c in ("least", "median", "p90", "most")]
+    counts = sized.groupBy(*by).agg(F.count("*").alias("chunks"), F.count_if(F.col("tokens") > limit).alias("over_limit"))
+    return same_keys(counts, stats.groupBy(*by).agg(*columns), by)
+
+
+def chunks_per_document(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
+    return chunks.groupBy(*by, "document").agg(F.count("*").alias("chunks"))
+
+
+def configuration_report(chunks: DataFrame, hits: DataFrame, scores: DataFrame, by: str, ks: Sequence[int], tokens: Column, limit: int) -> DataFrame:
+    """Sizes, retrieval and separation of each chunk configuration.
+
+    ``hits`` are (by, question, rank, hit) of the questions inside, ``scores``
+    (by, question, score, inside) the best similarity of every question.
+    """
+    keyed = hits.withColumn("_question", F.struct(by, "question"))
+    found = retrieval_by_question(keyed, "_question", ks).withColumn(by, F.col(f"_question.{by}"))
+    quality = found.groupBy(by).agg(F.count("*").alias("questions"), *(F.round(F.avg(f"recall_{k}"), 3).alias(f"recall_{k}") for k in ks), F.round(F.avg("reciprocal_rank"), 3).alias("mrr"))
+    out = same_keys(chunk_sizes(chunks, [by], tokens, limit), quality, [by])
+    return same_keys(out, auc(scores, "score", "inside", by=[by]), [by])
 
 
 def source_check(pages: DataFrame, least: int = 100, most_odd: float = 0.1) -> DataFrame:
