@@ -57,7 +57,7 @@ def anchors(ws: Column, k: int = K, s: int = S) -> Column:
     named = lambda ws, places: F.transform(places, lambda i: F.struct(i.alias("place"), short(F.xxhash64(*(F.get(ws, i + j) for j in range(k)))).alias("anchor")))
     whole = lambda ws: F.array(F.struct(F.lit(0).alias("place"), short(F.xxhash64(F.lit(k), F.array_join(ws, " "))).alias("anchor")))
     none = F.array().cast("array<struct<place:int,anchor:bigint>>")
-    chosen = lambda ws: let(named(ws, edge(inner(ws))), lambda found: F.when(F.size(found) > 0, found).otherwise(whole(ws)))
+    chosen = lambda ws: let(named(ws, let(inner(ws), edge)), lambda found: F.when(F.size(found) > 0, found).otherwise(whole(ws)))
     return let(ws, lambda ws: F.when(F.size(ws) == 0, none).when(F.size(ws) < k, whole(ws)).otherwise(chosen(ws)))
 
 
