@@ -19,7 +19,8 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
+import sys
+import types
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -125,10 +126,16 @@ class Encoder:
             yield column[row].as_py() if whole else cuts[code[at[row]]]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker."""
-    return Encoder(path)
+    """One for all tasks of a worker.
+
+    Functions reach a worker by value, so it is kept in a module of the
+    worker's own and not in a variable here.
+    """
+    shared = sys.modules.setdefault("_lodestar_worker", types.ModuleType("_lodestar_worker")).__dict__
+    if path not in shared:
+        shared[path] = Encoder(path)
+    return shared[path]
 
 
 class Packer:
