@@ -6,6 +6,9 @@ minus template position); neighbouring diagonals, as an inserted or a lost
 word makes them, are merged; a merged span is verified by the template words
 that its hits cover, as a share of the template or of the span's own extent
 in the document, whichever is longer, so that scattered words are no license.
+Texts that differ in a word or two, as the GPL's relatives do, match each
+other's templates as well: of verified spans with different labels over the
+same words (``SAME`` of the longer one) only the best covered give labels.
 The templates are a fixed table, so their side of the join is broadcast.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.  Defined
@@ -29,6 +32,8 @@ SLACK = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a template's words, and of its own extent, that a verified span covers.
 COVERED = 0.75
+#: Share of the longer of two spans that both have for them to be readings of one text.
+SAME = 0.8
 
 # fixed values: public license texts and notices
 TEMPLATES = (
@@ -70,6 +75,7 @@ TEMPLATES = (
         "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
         "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     (
         "zlib",
         "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
@@ -166,13 +172,34 @@ def license_spans(docs: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, "template", "label", "first_at", "last_at", (F.size(words) / F.greatest("n_template", extent)).alias("coverage"))
 
 
+def best_read(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, coverage, found): the best coverage of a document, and the labels of its verified spans that no better covered one of another label reads over the same words.
+
+    Verified spans that overlap in a row are one cluster; a cluster ends where
+    a span starts after all before it have ended.
+    """
+    along = W.partitionBy(*keys).orderBy("first_at", "last_at", "template")
+    verified = F.col("coverage") >= COVERED
+    until = F.max(F.when(verified, F.col("last_at"))).over(along.rowsBetween(W.unboundedPreceding, -1))
+    marked = spans.withColumn("apart", F.coalesce(verified & (F.col("first_at") > until), F.lit(False)).cast("int"))
+    clustered = marked.withColumn("cluster", F.sum("apart").over(along))
+    span = F.when(verified, F.struct("label", "first_at", "last_at", "coverage"))
+    gathered = clustered.groupBy(*keys, "cluster").agg(F.max("coverage").alias("coverage"), F.collect_list(span).alias("spans"))
+    size = lambda s: s["last_at"] - s["first_at"] + 1
+    shared = lambda s, t: F.least(s["last_at"], t["last_at"]) - F.greatest(s["first_at"], t["first_at"]) + 1
+    beaten = lambda s: F.exists("spans", lambda t: (t["label"] != s["label"]) & (t["coverage"] > s["coverage"]) & (shared(s, t) >= SAME * F.greatest(size(s), size(t))))
+    labels = F.array_distinct(F.transform(F.filter("spans", lambda s: ~beaten(s)), lambda s: s["label"]))
+    read = gathered.select(*keys, "coverage", labels.alias("labels"))
+    return read.groupBy(*keys).agg(F.max("coverage").alias("coverage"), F.array_distinct(F.flatten(F.collect_set("labels"))).alias("found"))
+
+
 def license_table(docs: DataFrame) -> DataFrame:
     """Each document's base phrases, its labels, and the score of its best span."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("scan_key", F.xxhash64("doc_id", "text"))
     keyed = keyed.withColumn("scan_id", F.coalesce("doc_id", F.lit(-1)))
     keys = ["scan_id", "scan_key"]
     spans = license_spans(keyed, keys)
-    found = spans.groupBy(*keys).agg(F.max("coverage").alias("coverage"), F.collect_set(F.when(F.col("coverage") >= COVERED, F.col("label"))).alias("found"))
+    found = best_read(spans, keys)
     base = _phrases(_words(keyed)).drop("text")
     both = base.join(found, keys, "left")
     none = F.expr("cast(array() as array<string>)")
@@ -209,12 +236,13 @@ d AS (
 ), spanned AS (
   SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal, template_at ROWS UNBOUNDED PRECEDING) AS span FROM marked
 ), covered AS (
-  SELECT rid, template, label, span, count(DISTINCT template_at + j) / greatest(n_template, max(i) - min(i) + {K}) AS coverage FROM spanned, (SELECT unnest(range(0, {K})) AS j) GROUP BY rid, template, label, n_template, span
+  SELECT rid, template, label, span, min(i) AS a, max(i) + {K} AS b, count(DISTINCT template_at + j) / greatest(n_template, max(i) - min(i) + {K}) AS coverage FROM spanned, (SELECT unnest(range(0, {K})) AS j) GROUP BY rid, template, label, n_template, span
 ), found AS (
   SELECT rid, max(coverage) AS coverage FROM covered GROUP BY rid
 ), labelled AS (
   SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
-    SELECT rid, label FROM covered WHERE coverage >= {COVERED} UNION SELECT rid, label FROM places WHERE label IS NOT NULL) GROUP BY rid
+    SELECT rid, label FROM covered s WHERE coverage >= {COVERED} AND NOT EXISTS (SELECT 1 FROM covered t WHERE t.rid = s.rid AND t.label <> s.label AND t.coverage > s.coverage
+      AND least(s.b, t.b) - greatest(s.a, t.a) >= {SAME}::DOUBLE * greatest(s.b - s.a, t.b - t.a)) UNION SELECT rid, label FROM places WHERE label IS NOT NULL) GROUP BY rid
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   round(greatest(coalesce(coverage, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END), 6) AS score

@@ -156,3 +156,26 @@ def test_classifier_edges(spark):
     kept = quality.accepted_documents(documents(spark))
     assert kept.columns == documents(spark).columns and kept.count() > 0
     assert quality.quality_table(empty(spark)).count() == 0
+
+
+NOTICES = {
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "cc-by-sa": "Licensed under CC BY-SA 4.0", "cc-by": "Licensed under CC BY 4.0", "cc-by-nc": "Licensed under CC BY-NC 4.0",
+}
+
+
+def test_similar_notices_keep_their_own_label(spark):
+    base = {"agpl": {"gpl"}, "lgpl": set()}  # what the contract's phrases add
+    cases = [(label, text) for label, text in NOTICES.items()] + [(f"{a}+{b}", f"{NOTICES[a]} Some words between the two of them here. {NOTICES[b]}") for a in NOTICES for b in NOTICES if a < b]
+    made = spark.createDataFrame([(i, prose(i, 40) + " " + text + " " + prose(i + 500, 40)) for i, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_table(made).collect()}
+    for i, (names, _) in enumerate(cases):
+        want = {x for n in names.split("+") for x in {n, *base.get(n, set())}}
+        phrases = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(got[i]["labels"].split(",")) == want | phrases, (names, got[i])
+        assert got[i]["score"] == 1.0
