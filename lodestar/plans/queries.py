@@ -241,46 +241,50 @@ def mask_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.mask_secrets(message).alias("message"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '1|7') AND NOT regexp_matches(lower(p_name), '9$')")
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'ring|b[aeiou]') AND NOT regexp_matches(lower(p_name), '^small|x$')")
 def regex_include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(filters.by_words(F.lower("p_name"), ["1", "7"], ["9$"])).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").filter(filters.by_words(F.lower("p_name"), ["ring", "b[aeiou]"], ["^small", "x$"])).select("p_partkey", "p_name")
 
 
-@query(r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body,
-len(regexp_extract_all(html, '<[^>]+>')) AS tags FROM pages) SELECT page_id, tags, length(body) AS chars, md5(body) AS digest FROM t""")
+@query(r"""WITH s AS (SELECT page_id, html, regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS bare FROM pages), t AS (SELECT *, regexp_replace(bare, '<[^>]+>', '', 'g') AS body FROM s)
+SELECT page_id, len(regexp_extract_all(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>')) AS scripts, len(regexp_extract_all(bare, '<[^>]+>')) AS tags, length(body) AS chars, md5(body) AS digest FROM t""")
 def html_page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.col("html")
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]+>", " ")
-    body = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    tags = F.regexp_count(html, F.lit("<[^>]+>")).cast("long").alias("tags")
-    return table(spark, sf_dir, "pages").withColumn("body", body).select("page_id", tags, F.length("body").cast("long").alias("chars"), F.md5("body").alias("digest"))
+    body, hits = tx.removed(F.col("html"), {"scripts": r"(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>", "tags": "<[^>]+>"})
+    return table(spark, sf_dir, "pages").select("page_id", *(n.cast("long").alias(k) for k, n in hits.items()), F.length(body).cast("long").alias("chars"), F.md5(body).alias("digest"))
 
 
-@query("""SELECT doc_id, document, page FROM (SELECT doc_id, 'd' || (doc_id % 3) AS document, unnest([doc_id % 7 + 1, doc_id % 5 + 2]) AS page FROM documents UNION SELECT doc_id, 'x', doc_id % 4 FROM documents) GROUP BY ALL""")
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(source || ':' || (length(text) % 97) || ', ' || (n_chars % 31) || ',x;' || lang || ':' || (doc_id % 5) || ';' || left(text, 3), ';')) AS part FROM documents),
+p AS (SELECT doc_id, trim(string_split(part, ':')[1]) AS document, unnest(string_split(string_split(part, ':')[2], ',')) AS page FROM s WHERE contains(part, ':')) SELECT DISTINCT doc_id, document, TRY_CAST(trim(page) AS BIGINT) AS page FROM p""")
 def page_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
     s = lambda c: c.cast("string")
-    spec = F.concat(F.lit("d"), s(i % 3), F.lit(":"), s(i % 7 + 1), F.lit(","), s(i % 5 + 2), F.lit(";x:"), s(i % 4))
+    spec = F.concat("source", F.lit(":"), s(F.length("text") % 97), F.lit(", "), s(F.col("n_chars") % 31), F.lit(",x;"), "lang", F.lit(":"), s(F.col("doc_id") % 5), F.lit(";"), F.left("text", F.lit(3)))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.pages_of(spec)).alias("p"))
     return rows.select("doc_id", "p.document", F.col("p.page").cast("long").alias("page"))
 
 
-@query("""SELECT doc_id, 'See (one, p. 1) and, then (two, p. 2).' || CAST(doc_id AS VARCHAR) AS answer, [1, 9, 2] = [1, 9, 2] AS cited FROM documents""")
+@query(r"""WITH m AS (SELECT doc_id, replace(replace(replace(text, ' the ', ' [F2] '), ' de ', ' [F9] '), ' and ', ' [F1] ') AS t FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(t, '[F2]', '(two, p. 2)'), '[F9]', ''), '[F1]', '(one, p. 1)'), '\s+([.,;:])', '\1', 'g'), ' ')) AS answer, array_to_string(regexp_extract_all(t, '\[F(\d+)\]', 1), ',') AS cited FROM m""")
 def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("See [F1] and [F9] , then [F2] ."), F.col("doc_id").cast("string"))
+    """Marks in place of common words; the first two have a source, the ninth has none."""
+    marked = F.col("text")
+    for word, n in (("the", 2), ("de", 9), ("and", 1)):
+        marked = F.replace(marked, F.lit(f" {word} "), F.lit(f" [F{n}] "))
     labels = F.array(F.lit("(one, p. 1)"), F.lit("(two, p. 2)"))
-    cited = tx.numbers_cited(text) == F.array(F.lit(1), F.lit(9), F.lit(2))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.citations_set(text, labels).alias("answer"), cited.alias("cited"))
+    return table(spark, sf_dir, "documents").withColumn("marked", marked).select("doc_id", F.md5(tx.citations_set(F.col("marked"), labels)).alias("answer"), F.array_join(tx.numbers_cited(F.col("marked")).cast("array<string>"), ",").alias("cited"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'id-' || conv_id ELSE '' END AS cited, CASE WHEN turn % 2 = 0 THEN '' ELSE 'id-' || conv_id END AS invented,
-CASE WHEN turn % 2 = 0 THEN 'as id-' || conv_id || ' says' ELSE 'as [removed] says' END AS answer FROM conversations""")
+@query(r"""WITH m AS (SELECT conv_id, turn, regexp_replace(replace(text, ' the ', ' id-' || (turn % 10) || ' '), ' (of|de|and) ', ' id-' || ((turn + conv_id) % 10) || ' ', 'g') AS t, ['id-' || (turn % 10), 'id-3'] AS known FROM conversations),
+n AS (SELECT *, regexp_extract_all(t, 'id-\d') AS every FROM m), u AS (SELECT *, list_filter(every, lambda x, i: list_position(every, x) = i) AS named FROM n)
+SELECT conv_id, turn, array_to_string(list_filter(named, lambda x: list_contains(known, x)), ',') AS cited, array_to_string(list_filter(named, lambda x: NOT list_contains(known, x)), ',') AS invented,
+md5(list_reduce(list_filter(named, lambda x: NOT list_contains(known, x)), lambda s, x: replace(s, x, '[removed]'), t)) AS answer FROM u""")
 def invalid_ids_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("as id-"), F.col("conv_id").cast("string"), F.lit(" says"))
-    known = F.when(F.col("turn") % 2 == 0, F.array(F.concat(F.lit("id-"), F.col("conv_id").cast("string")))).otherwise(F.array(F.lit("id-x")))
-    named = tx.ids_in(text, r"id-\d+")
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.array_join(F.array_intersect(named, known), ",").alias("cited"), F.array_join(F.array_except(named, known), ",").alias("invented"), tx.ids_masked(text, named, known, "[removed]").alias("answer")
+    """Ids in place of common words, of which two are known."""
+    mark = lambda n: F.concat(F.lit(" id-"), (n % 10).cast("string"), F.lit(" "))
+    text = F.regexp_replace(F.replace("text", F.lit(" the "), mark(F.col("turn"))), F.lit(" (of|de|and) "), mark(F.col("turn") + F.col("conv_id")))
+    known = F.array(F.concat(F.lit("id-"), (F.col("turn") % 10).cast("string")), F.lit("id-3"))
+    marked = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("t"), known.alias("known")).withColumn("named", tx.ids_in(F.col("t"), r"id-\d"))
+    return marked.select(
+        "conv_id", "turn", F.array_join(F.array_intersect("named", "known"), ",").alias("cited"), F.array_join(F.array_except("named", "known"), ",").alias("invented"), F.md5(tx.ids_masked(F.col("t"), F.col("named"), F.col("known"), "[removed]")).alias("answer")
     )
 
 
@@ -400,9 +404,9 @@ def semi_join_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
 def anti_join_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 100 THEN 'too short' WHEN len(regexp_extract_all(text, '[#*$%&|<>]')) / length(text) > 0.05 THEN 'illegible' ELSE 'usable' END AS verdict FROM documents""")
@@ -534,7 +538,8 @@ def json_tokens_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_RUN}, q AS (SELECT query_id, coalesce(1 / min(CASE WHEN label = query_label THEN rank END), 0.0) AS rr, {', '.join(f"max(CASE WHEN rank <= {k} AND label = query_label THEN 1 ELSE 0 END) AS r{k}, count(*) FILTER (rank <= {k} AND label = query_label) / {k} AS p{k}, avg(CASE WHEN rank <= {k} THEN (label = query_label)::INT END) AS c{k}" for k in (1, 3, 5))}
 FROM hits WHERE rank <= 5 GROUP BY query_id) SELECT count(*) AS questions, round(avg(rr), 4) AS mrr, {', '.join(f'round(avg(r{k}), 4) AS recall_{k}, round(avg(p{k}), 4) AS precision_{k}, round(avg(c{k}), 4) AS compliance_{k}' for k in (1, 3, 5))} FROM q""")
 def recall_precision_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _run(spark, sf_dir, 5).withColumn("hit", F.col("label") == F.col("query_label"))
+    same = table(spark, sf_dir, "embeddings").select("label", F.col("label").alias("query_label"))
+    hits = metrics.with_hits(_run(spark, sf_dir, 5), same, ["label", "query_label"])
     return metrics.retrieval_summary(metrics.retrieval_by_question(hits, "query_id", (1, 3, 5)), (1, 3, 5))
 
 
@@ -579,8 +584,12 @@ def abstention_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT o_totalprice AS a, o_totalprice * (1 + (o_orderkey % 5) * 0.004) AS b, o_orderstatus AS x, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS y FROM orders)""")
 def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    pairs = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("a"), (F.col("o_totalprice") * (1 + (key % 5) * 0.004)).alias("b"), F.col("o_orderstatus").alias("x"), F.when(key % 11 != 0, F.col("o_orderstatus")).alias("y"))
-    return metrics.field_accuracy(pairs, {"amount": ("a", "b", True), "status": ("x", "y", False)})
+    from lodestar.plans.evaluation import engine_report
+
+    orders = table(spark, sf_dir, "orders")
+    gold = orders.select(key.alias("id"), (key % 10 == 0).alias("outside"), F.col("o_totalprice").alias("a"), F.col("o_orderstatus").alias("x"))
+    answers = orders.select(key.alias("id"), (key % 10 == 1).alias("abstained"), (F.col("o_totalprice") * (1 + (key % 5) * 0.004)).alias("b"), F.when(key % 11 != 0, F.col("o_orderstatus")).alias("y"))
+    return engine_report(answers, gold, {"amount": ("a", "b", True), "status": ("x", "y", False)})[1]
 
 
 # ---------------------------------------------------------------- paragraphs and chunks
@@ -591,10 +600,10 @@ def _doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents), t AS (SELECT doc_id, trim(l) AS l, p FROM l WHERE trim(l) <> ''),
-m AS (SELECT *, CASE WHEN regexp_matches(lag(l) OVER w, '[.:;][”"]?$') AND regexp_matches(l, '^\p{Lu}') OR lag(l) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM m) SELECT doc_id, count(DISTINCT g) AS paragraphs FROM g GROUP BY doc_id""")
+m AS (SELECT *, CASE WHEN regexp_matches(l, '{UNIT}') OR regexp_matches(lag(l) OVER w, '[.:;][”"]?$') AND regexp_matches(l, '^\p{Lu}') OR lag(l) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM m) SELECT doc_id, count(DISTINCT g) AS paragraphs FROM g GROUP BY doc_id""".replace("{UNIT}", chunks.UNIT_START))
 def paragraph_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = chunks.paragraphs(_doc_pages(spark, sf_dir), blank_lines=False, extra_start="^\u0000$")
+    parts = chunks.paragraphs(_doc_pages(spark, sf_dir), blank_lines=False)
     return parts.groupBy(F.col("document").cast("long").alias("doc_id")).agg(F.count("*").alias("paragraphs"))
 
 
@@ -774,3 +783,7 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: the streaming job's windows, run as a batch."""
     counts = table(spark, sf_dir, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", "total")
+
+
+# the process pipeline's own queries register themselves
+from lodestar.plans import process_queries  # noqa: E402,F401
