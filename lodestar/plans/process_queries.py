@@ -13,10 +13,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestar.plans import processes as P
+from lodestar.plans import cube, processes as P
 from lodestar.plans.queries import query, table
 from lodestar.schemas import PARTY, PROCESS, fields
 from lodestar.sources.archives import zipped_records
+from lodestar.sources.tables import new_path
 
 
 def _null(kind: str) -> Column:
@@ -154,3 +155,21 @@ def quality_report_of_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's counts of rules 2 to 5, from the whole pipeline."""
     names = "rows amount_missing amount_rescued amount_invalid foreign_currency description_empty description_rescued description_short location_off no_department no_bidders amount_rescue_rate located_rate".split()
     return P.quality_report(_valid(spark, sf_dir)).select(*names)
+
+
+@query("""WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, n_name AS department, c_mktsegment AS category, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS amount, o_orderstatus = 'F' AS single
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT * FROM p WHERE category IN ('BUILDING', 'MACHINERY') AND amount >= 10000 AND amount < 1000000)
+SELECT dimension, value, count(*) AS processes, round(sum(amount), 2) AS amount, round(avg(single::INT), 4) AS single_rate
+FROM (SELECT 'month' AS dimension, month AS value, * FROM s UNION ALL SELECT 'department', department, * FROM s UNION ALL SELECT 'category', category, * FROM s) GROUP BY ALL""")
+def dashboard_from_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube of all orders, written by month; the tables of one selection from its cells."""
+    buyers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf_dir, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    processes = orders.select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("n_name").alias("department"), F.col("c_mktsegment").alias("category"), F.col("o_totalprice").alias("amount"),
+        (F.col("o_orderkey") % 5 != 0).alias("amount_valid"), (F.col("o_orderstatus") == "F").alias("single_bid"), F.col("o_custkey").cast("string").alias("buyer_id"),
+    )
+    path = new_path(spark, "cube")
+    cube.write_cube(processes, path)
+    chosen = cube.Selection(categories=["BUILDING", "MACHINERY"], amount_from=1e4, amount_below=1e6)
+    return cube.tables(cube.read_cube(spark, path), chosen).filter("dimension <> 'band'").select("dimension", "value", "processes", "amount", "single_rate")

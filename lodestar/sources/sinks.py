@@ -42,7 +42,7 @@ def write_months(df: DataFrame, path: str, month: Column) -> None:
     """
     spark = df.sparkSession
     where, files = files_of(spark, path)
-    if files.exists(where):
+    if files.exists(where) and any(f.getPath().getName().startswith(f"{MONTH}=") for f in files.listStatus(where)):
         old = spark.read.parquet(path).drop(MONTH).schema
         fitted(df, T.StructType([T.StructField(f.name, f.dataType) for f in old.fields]))
         df = df.select(*old.names)
