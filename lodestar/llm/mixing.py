@@ -56,17 +56,52 @@ def water_fill(sizes: list[int], weights: Iterable[int], most: int) -> list[Frac
     return out
 
 
+def few_sums(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray | None:
+    """The selection whose words are nearest to ``budget``, from all its reachable sums; None if these are over ``DP_BUDGET``."""
+    sums, by = np.zeros(1, dtype=np.int64), np.full(1, -1, dtype=np.int64)
+    items: list[tuple[int, int]] = []
+    for i, (length, left) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
+        left, group = min(left, 2 * budget // length), 1
+        while left:
+            group = min(group, left)
+            # no sum over twice the budget is nearer than nothing
+            new = np.setdiff1d(sums + group * length, sums, assume_unique=True)
+            new = new[new <= 2 * budget]
+            if len(sums) + len(new) > DP_BUDGET:
+                return None
+            order = np.argsort(np.concatenate([sums, new]), kind="stable")
+            sums, by = np.concatenate([sums, new])[order], np.concatenate([by, np.full(len(new), len(items))])[order]
+            items.append((i, group))
+            left -= group
+            group *= 2
+    take, at = np.zeros(len(lengths), dtype=np.int64), int(np.abs(sums - budget).argmin())
+    while by[at] >= 0:
+        i, group = items[by[at]]
+        take[i] += group
+        at = int(np.searchsorted(sums, sums[at] - group * lengths[i]))
+    return take
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words meet ``budget``.
 
-    A budget over the program's table is first met by the proportional share of
-    all lengths; single documents in turn bring the rest within the program's table, which then finds the nearest
-    reachable sum to what is left.  If every document left is longer than a rest
-    that is over the table, the shortest is taken where that is nearer.
+    Lengths are measured in their common step.  A budget within the program's
+    table of ``DP_BUDGET`` steps is met as nearly as any selection can, and so
+    is a larger one where the documents, being few or alike, have no more than
+    that many sums.  Any other is first met by the proportional share of all
+    lengths; single documents in turn bring the rest within the table, which
+    then finds the nearest reachable sum to what is left.  If every document
+    left is longer than a rest that is over the table, the shortest is taken
+    where that is nearer.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
+    step = int(np.gcd.reduce(lengths))
+    if step > 1:
+        return fit_budget(lengths // step, counts, (2 * budget + step) // (2 * step))
+    if budget > DP_BUDGET and (exact := few_sums(lengths, counts, budget)) is not None:
+        return exact
     share = budget if budget > DP_BUDGET else 0
     take = np.array([int(n) * share // total for n in counts], dtype=np.int64)
     rest = budget - int((lengths * take).sum())

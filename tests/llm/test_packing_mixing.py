@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -94,3 +95,31 @@ def test_fit_is_near(counts, share):
     assert (take >= 0).all() and (take <= n).all()
     got = int((lengths * take).sum())
     assert abs(got - budget) <= lengths.max() / 2 + 1 or lengths.max() > mixing.OVER
+
+
+def reachable(lengths, counts):
+    sums = {0}
+    for length, n in zip(lengths, counts):
+        sums = {s + k * length for s in sums for k in range(n + 1)}
+    return sums
+
+
+def test_budgets_beyond_the_table_are_met_exactly_by_few_documents():
+    r = random.Random(8)
+    cases = [([180_000, 300_000], [3, 3], 540_000), ([150_000, 220_000], [4, 4], 450_000), ([131_073], [2], 200_000)]
+    for _ in range(40):
+        lengths = sorted(r.sample(range(1_000, 400_000), r.randint(1, 6)))
+        counts = [r.randint(1, 4) for _ in lengths]
+        cases.append((lengths, counts, r.randint(131_073, sum(a * b for a, b in zip(lengths, counts)) + 1 if sum(a * b for a, b in zip(lengths, counts)) > 131_073 else 131_074)))
+    for lengths, counts, budget in cases:
+        take = mixing.fit_budget(np.array(lengths), np.array(counts), budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts))
+        got = sum(int(t) * n for t, n in zip(take, lengths))
+        assert abs(got - budget) == min(abs(s - budget) for s in reachable(lengths, counts)), (lengths, counts, budget, got)
+
+
+def test_steps_in_common_are_exact_and_many_documents_near():
+    assert mixing.fit_budget(np.array([40_000, 60_000]), np.array([500, 500]), 10_020_000).tolist() and abs(int((mixing.fit_budget(np.array([40_000, 60_000]), np.array([500, 500]), 10_020_000) * np.array([40_000, 60_000])).sum()) - 10_020_000) == 0
+    lengths = np.arange(50, 900)
+    take = mixing.fit_budget(lengths, np.full(850, 40), 7_654_321)
+    assert int((take * lengths).sum()) == 7_654_321
