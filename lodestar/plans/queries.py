@@ -785,5 +785,5 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", "total")
 
 
-# the process pipeline's own queries register themselves
-from lodestar.plans import process_queries  # noqa: E402,F401
+# queries of whole pipelines register themselves
+from lodestar.plans import document_queries, process_queries  # noqa: E402,F401
