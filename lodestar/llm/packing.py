@@ -54,8 +54,10 @@ class Encoder:
     Byte-level BPE never joins over a single blank between two other
     characters, so texts are cut there and every distinct cut is looked up
     once.  Cuts not met before go through the tokenizer in one joined text;
-    the bytes that each id stands for say where one cut ends.  The table of
-    known cuts is emptied when it holds ``KNOWN`` of them.
+    the bytes that each id stands for say where one cut ends.  Known cuts are
+    kept in two tables: when the newer holds half of ``KNOWN`` it becomes the
+    older one, and cuts that are met again move from there, so frequent ones
+    stay.
     """
 
     KNOWN, LONGEST = 3 << 18, 64
@@ -63,13 +65,14 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # in the vocabulary one character stands for one byte
         self.n_bytes = np.array([added.get(i) or len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        # the fast form leaves out offsets, which nothing here reads
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def learn(self, cuts: list[str]) -> None:
         """Remembers the ids of each of ``cuts`` after a blank."""
@@ -81,10 +84,13 @@ class Encoder:
             at = end
 
     def after_blank(self, cuts: list[str]) -> list[bytes]:
-        if len(self.known) >= self.KNOWN:
-            self.known.clear()
-        if new := [c for c in cuts if len(c) <= self.LONGEST and c not in self.known]:
-            self.learn(new)
+        if len(self.known) >= self.KNOWN // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        if missing := [c for c in cuts if c not in known]:
+            self.known |= {c: older[c] for c in missing if c in older}
+            if new := [c for c in missing if c not in older and len(c) <= self.LONGEST]:
+                self.learn(new)
         get = self.known.get
         return [get(c) or self.ids(" " + c) for c in cuts]
 
