@@ -786,4 +786,4 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # queries of whole pipelines register themselves
-from lodestar.plans import document_queries, process_queries  # noqa: E402,F401
+from lodestar.plans import document_queries, evaluation_queries, process_queries  # noqa: E402,F401
