@@ -65,7 +65,12 @@ def prefixed(model: Callable[[list[str]], list[list[float]]], name: str, batch:
 
 
 def logged(inner: Embedder, log: Callable[[dict], None], batch: int = 100) -> Embedder:
-    """An embedder behind an API: every batch is logged; a failure is logged, then raised."""
+    """An embedder behind an API: every batch is logged; a failure is logged, then raised.
+
+    For calls from the driver, as single queries are: inside tasks ``log``
+    would reach a worker's copy, so columns go through
+    ``embedding.embedded_with_log``.
+    """
 
     class Logged:
         name = inner.name

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, is_dataclass
+from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
@@ -54,6 +55,20 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CALL_LOG).parquet(path)
 
 
+def append_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """Lines added to a text log, each headed by the time (UTC) and its number in the call, line ends as blanks; nothing to add, no file."""
+    at = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    rows = [(f"{at} {i:04d} {' '.join(line.splitlines())}",) for i, line in enumerate(lines)]
+    if rows:
+        spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, line) of a text log; ``at`` orders the lines."""
+    parts = F.split("value", " ", 3)
+    return spark.read.text(path).select(F.concat_ws(" ", parts[0], parts[1]).alias("at"), parts[2].alias("line"))
+
+
 def settings(kind: type, values: Mapping[str, Any]) -> Any:
     """A settings dataclass from nested mappings; unknown names are errors, defaults fill the rest."""
     known = {f.name: f for f in fields(kind)}

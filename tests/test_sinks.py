@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestar.plans import processes as P, reports
 from lodestar.schemas import NEWS, PROCESS, names
-from lodestar.sources import sinks
+from lodestar.sources import files as files_module, sinks
 from tests.test_processes import process, rules  # noqa: F401
 
 
@@ -82,3 +82,11 @@ def test_chunk_sizes_of_each_configuration(spark):
     scores = spark.createDataFrame([(c, q, s, q != "z") for c in texts for q, s in (("x", 0.9), ("y", 0.7), ("z", 0.8))], "configuration string, question string, score double, inside boolean")
     report = reports.configuration_report(df, hits, scores, "configuration", (1, 3), F.length("text"), 60).collect()
     assert len(report) == 3 and all((r.recall_1, r.recall_3, r.mrr, r.auc) == (0.0, 1.0, 0.5, 0.5) for r in report)
+
+
+def test_lines_of_a_text_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    files_module.append_lines(spark, path, ["first  line", "second\nhalf"])
+    files_module.append_lines(spark, path, [])
+    files_module.append_lines(spark, path, ["third"])
+    assert [r.line for r in files_module.read_lines(spark, path).orderBy("at").collect()] == ["first  line", "second half", "third"]
