@@ -212,3 +212,35 @@ def trie(conversations: DataFrame) -> DataFrame:
         (F.col("saved") + F.coalesce("s", F.lit(0))).alias("saved_tokens"),
         F.coalesce("ends_sha256", nothing).alias("ends_sha256"),
     )
+
+
+ORACLE_SQL = """
+WITH turns AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_hash, length(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS first, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: unicode(ch)::BIGINT),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), taken AS (
+  SELECT c.*, least(h, coalesce(n, 0)) AS taken FROM convs c LEFT JOIN (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1) s ON s.conv_id = c.first
+), rows AS (
+  SELECT c.conv_id, t.place AS depth, turn_hash, chars FROM taken c JOIN turns t ON t.conv_id = c.first AND t.place <= c.taken
+  UNION ALL SELECT c.conv_id, t.place - h + taken, turn_hash, chars FROM taken c JOIN turns t ON t.conv_id = c.conv_id AND t.place > h
+), named AS (
+  SELECT conv_id, depth, chars, sha256(string_agg(turn_hash, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM rows UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs
+), linked AS (
+  SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM named
+), nodes AS (
+  SELECT depth, k, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved FROM linked GROUP BY depth, k
+), counted AS (
+  SELECT n.*, coalesce(c, 0) AS n_children FROM nodes n LEFT JOIN (SELECT depth - 1 AS depth, up AS k, count(*) AS c FROM nodes GROUP BY ALL) USING (depth, k)
+), under AS (
+  SELECT a.depth, a.k, count(*) FILTER (n.n_children = 0) AS n_leaves, sum(n.saved) AS saved_tokens FROM counted n JOIN named a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY ALL
+), ends AS (
+  SELECT depth, k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, max(depth) AS depth, max_by(k, depth) AS k FROM named GROUP BY conv_id) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM counted n JOIN under USING (depth, k) LEFT JOIN ends USING (depth, k) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = n.up
+"""

@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, licenses, lines, rules
+from lodestar.llm import chat, licenses, lines, prefixes, rules
 from lodestar.llm.media import media_digest
 from lodestar.llm.mixing import mix_table
 from lodestar.llm.neardup import near_dup_table
 from lodestar.llm.packing import pack_documents
-from lodestar.llm.prefixes import trie
 from lodestar.llm.quality import quality_table
 from lodestar.llm.suffixes import repeat_table
 from lodestar.llm.syncmers import fingerprint_table
@@ -71,7 +70,7 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie(table(spark, sf_dir, "conversations"))
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -95,4 +94,5 @@ ORACLE: dict[str, str] = {
     "op5_quality_rules": rules.ORACLE_SQL,
     "op6_line_dedup": lines.ORACLE_SQL,
     "op9_license_scans": licenses.oracle_sql(),
+    "op13_conversation_prefix_trie": prefixes.ORACLE_SQL,
 }
