@@ -19,6 +19,8 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 import zlib
@@ -38,7 +40,7 @@ TIERS = (256, 512, 1024)
 STEP_TOKENS = 8 * WINDOW
 RESERVE = 8 * WINDOW
 #: Bytes of text that are encoded at once.
-RUN_BYTES = 1 << 22
+RUN_BYTES = 3 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_id long"
 
 
@@ -60,7 +62,7 @@ class Encoder:
     stay.
     """
 
-    KNOWN, LONGEST = 3 << 18, 64
+    KNOWN, LONGEST = 1 << 18, 64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -144,6 +146,13 @@ def encoder(path: str) -> Encoder:
     return shared[path]
 
 
+def returned() -> None:
+    """Gives memory that is free in this worker back to the machine: workers stay between stages, and their neighbours need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Packer:
     """Pools of remainders by tier; ``emit`` takes (piece, sequence, offset, window, step)."""
 
@@ -248,5 +257,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
                         yield flush()
         packer.finish()
         yield flush()
+        returned()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, SCHEMA)
