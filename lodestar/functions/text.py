@@ -35,10 +35,12 @@ def accent_key(text: Column) -> Column:
 
     Built-in functions only: marks that stand alone are taken out, letters with
     marks are looked up in ``FOLDED``; ``accent_key_full`` covers what else
-    Unicode decomposes (ligatures, fractions, other scripts).
+    Unicode decomposes (ligatures, fractions, other scripts).  Texts of ASCII
+    alone have nothing to look up.
     """
     upper = F.upper(F.coalesce(text.cast("string"), F.lit("")))
-    return squeeze(F.translate(F.regexp_replace(upper, r"\p{Mn}+", ""), MARKED, PLAIN))
+    folded = F.translate(F.regexp_replace(upper, r"\p{Mn}+", ""), MARKED, PLAIN)
+    return squeeze(F.when(upper.rlike(r"[^\x00-\x7F]"), folded).otherwise(upper))
 
 
 def accent_key_full(text: Column) -> Column:
