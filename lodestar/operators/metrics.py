@@ -70,11 +70,11 @@ def threshold_sweep(scores: DataFrame, score: str, outside: str, thresholds: Seq
     return joined.select("threshold", right.alias("right"), wrong.alias("wrong"), F.round(right / F.col("n_outside"), 4).alias("right_rate"), F.round(wrong / F.col("n_inside"), 4).alias("wrong_rate"))
 
 
-def threshold_options(runs: DataFrame, thresholds: Sequence[float], call_cost: float, listed: int = 20) -> DataFrame:
+def threshold_options(runs: DataFrame, thresholds: Sequence[float], call_cost: float) -> DataFrame:
     """Per threshold, from a run without gate (id, score, outside, verdict): the gate alone, and gate or verdict.
 
-    Also the calls made, what they cost, and of the questions wrongly turned
-    away the first ``listed`` by their text; all of them are in ``turned_away``.
+    Also the calls made, what they cost, and all questions wrongly turned away
+    by their text; ``turned_away`` has them as rows.
     """
     each = runs.withColumn("threshold", F.explode(F.array(*map(F.lit, map(float, thresholds)))))
     gate = F.round("score", 4) < F.col("threshold")
@@ -88,8 +88,9 @@ def threshold_options(runs: DataFrame, thresholds: Sequence[float], call_cost: f
         F.round(F.count_if(~gate) * call_cost, 6).alias("cost"),
         F.round(F.min(F.when(~F.col("outside"), F.col("score"))) - F.first("threshold"), 4).alias("margin"),
     )
-    first = turned_away(runs, thresholds).withColumn("_n", F.row_number().over(W.partitionBy("threshold").orderBy("id"))).filter(F.col("_n") <= listed)
-    names = first.groupBy("threshold").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("wrongly_gated"))
+    # sorted and joined by the ids' first characters, so that no task sorts all ids
+    parts = turned_away(runs, thresholds).groupBy("threshold", F.left("id", F.lit(4)).alias("first")).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    names = parts.groupBy("threshold").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "ids"))), lambda p: p["ids"]), ",").alias("wrongly_gated"))
     return counts.join(names, "threshold", "left").withColumn("wrongly_gated", F.coalesce("wrongly_gated", F.lit("")))
 
 
