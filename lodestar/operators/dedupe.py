@@ -33,26 +33,38 @@ def values_per_key(df: DataFrame, key: str, value: str, output: str) -> DataFram
     return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col(value).cast("string"))), ",").alias(output))
 
 
-def version_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], failed: Column, day: Column, description: Column) -> DataFrame:
-    """Rows of repeated keys with the kind of their group and whether they are current.
+def with_version_kinds(df: DataFrame, keys: Sequence[str], row: str, order: Sequence[Column], failed: Column, day: Column, description: Column) -> DataFrame:
+    """``df`` with the kind of each row's group in ``version_kind``, empty where its keys do not repeat, and whether it is current.
 
     A: an earlier one failed.  B: all of one day and all described differently
     (separate matters, all current).  C: all of one day.  D: anything else.
-    Null keys make no group.
+    Null keys make no group; ``_apart`` parts their rows, by ``row``.  All
+    windows have one partitioning, and the rows pass once.
     """
-    named = df.filter(" and ".join(f"{k} is not null" for k in keys))
-    by_key, in_order = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(*order)
+    named = F.lit(True)
+    for key in keys:
+        named = named & F.col(key).isNotNull()
+    df = df.withColumn("_apart", F.when(~named, F.coalesce(F.col(row).cast("string"), F.lit(""))))
+    by_key = W.partitionBy(*keys, "_apart")
+    in_order = by_key.orderBy(*order)
     whole = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    numbered = named.withColumns({"_n": F.count("*").over(by_key), "_at": F.row_number().over(in_order), "_day": day, "_description": description, "_failed": F.coalesce(failed, F.lit(False))})
-    seen = numbered.filter("_n > 1").withColumns(
+    repeated = (F.col("_n") > 1) & F.col("_apart").isNull()
+    numbered = df.withColumns({"_n": F.count("*").over(by_key), "_at": F.row_number().over(in_order), "_day": day, "_description": description, "_failed": F.coalesce(failed, F.lit(False))})
+    seen = numbered.withColumns(
         {
             "_earlier_failed": F.max(F.col("_failed") & (F.col("_at") < F.col("_n"))).over(whole),
-            # distinct counts over a window: the last of the dense ranks
-            "_days": F.size(F.collect_set("_day").over(by_key)),
-            "_descriptions": F.size(F.collect_set("_description").over(by_key)),
+            # rows without a group add nothing to the sets
+            "_days": F.size(F.collect_set(F.when(repeated, F.col("_day"))).over(by_key)),
+            "_descriptions": F.size(F.collect_set(F.when(repeated, F.col("_description"))).over(by_key)),
         }
     )
     one_day = F.col("_days") == 1
-    kind = F.when(F.col("_earlier_failed"), "A").when(one_day & (F.col("_descriptions") == F.col("_n")), "B").when(one_day, "C").otherwise("D")
-    out = seen.withColumn("version_kind", kind).withColumn("is_current", (F.col("version_kind") == "B") | (F.col("_at") == F.col("_n")))
+    kind = F.when(~repeated, "").when(F.col("_earlier_failed"), "A").when(one_day & (F.col("_descriptions") == F.col("_n")), "B").when(one_day, "C").otherwise("D")
+    out = seen.withColumn("version_kind", kind).withColumn("is_current", F.col("version_kind").isin("", "B") | (F.col("_at") == F.col("_n")))
     return out.drop("_n", "_at", "_day", "_description", "_failed", "_earlier_failed", "_days", "_descriptions")
+
+
+def version_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], failed: Column, day: Column, description: Column) -> DataFrame:
+    """Rows of repeated keys with the kind of their group and whether they are current, as ``with_version_kinds`` has them."""
+    named = df.filter(" and ".join(f"{k} is not null" for k in keys))
+    return with_version_kinds(named, keys, keys[0], order, failed, day, description).filter("version_kind <> ''").drop("_apart")

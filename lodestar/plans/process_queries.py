@@ -27,16 +27,20 @@ def _null(kind: str) -> Column:
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ocid, releases, compiledRelease): nested records, some of their branches missing."""
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left")
-    parts = line.select(
-        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"), F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("date")).alias("release"),
-        F.struct(F.col("p_name").alias("description"), F.col("l_returnflag").alias("statusDetails"), F.struct(F.concat(F.lit("k"), F.col("l_partkey") % 50).alias("id")).alias("classification")).alias("item"),
-        F.when(F.col("l_returnflag") == "R", F.struct(F.struct(F.col("l_extendedprice").alias("amount")).alias("value"), F.array(F.struct(F.concat(F.lit("s"), "l_suppkey").alias("id"))).alias("suppliers"))).alias("award"),
-        F.struct(F.concat(F.lit("s"), "l_suppkey").alias("id")).alias("tenderer"),
-    )
-    rows = parts.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("at", "release", "item", "award", "tenderer"))).alias("rows"))
-    each = lambda name: F.transform("rows", lambda r: r[name])
+    # plain columns travel; what nests is made of them after the grouping
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag", "p_name")
+    rows = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    supplier = lambda r: F.struct(F.concat(F.lit("s"), r["l_suppkey"]).alias("id"))
+    nested = {
+        "release": lambda r: F.struct(F.date_format(r["l_shipdate"], "yyyy-MM-dd").alias("date")),
+        "item": lambda r: F.struct(r["p_name"].alias("description"), r["l_returnflag"].alias("statusDetails"), F.struct(F.concat(F.lit("k"), r["l_partkey"] % 50).alias("id")).alias("classification")),
+        "award": lambda r: F.struct(F.struct(r["l_extendedprice"].alias("amount")).alias("value"), F.array(supplier(r)).alias("suppliers")),
+        "tenderer": supplier,
+    }
+    each = lambda name: F.transform("rows", nested[name])
     buyers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
     orders = table(spark, sf_dir, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(rows, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = orders.withColumns({"tenderers": F.array_distinct(each("tenderer")), "awards": F.transform(F.filter("rows", lambda r: r["l_returnflag"] == "R"), nested["award"])})
     key, cust = F.col("o_orderkey"), F.concat(F.lit("c"), "o_custkey")
     foreign = key % 7 == 0
     other = F.struct(F.lit("s0").alias("id"), F.array(F.lit("supplier")).alias("roles"), _null("array<struct<scheme:string,id:string>>").alias("additionalIdentifiers"), _null("struct<department:string,region:string,locality:string>").alias("address"))
@@ -50,13 +54,12 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 13 != 0, F.concat(F.lit("t"), key)).alias("id"), F.concat(F.lit("Call "), "o_orderpriority").alias("title"), F.when(key % 17 != 0, F.concat_ws(" ", F.lit("Order of"), "c_name")).alias("description"),
         F.col("o_orderpriority").alias("procurementMethodDetails"), F.col("c_mktsegment").alias("mainProcurementCategory"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datePublished"),
         F.when(key % 19 != 0, F.struct(amount.alias("amount"), F.when(foreign, "USD").otherwise("PEN").alias("currency"), F.when(foreign & (key % 2 == 0), F.round(F.col("o_totalprice") * 4, 2)).alias("amount_PEN"))).alias("value"),
-        F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("startDate")).alias("tenderPeriod"), F.when(key % 11 != 0, F.size(F.array_distinct(each("tenderer")))).alias("numberOfTenderers"),
-        F.when(key % 2 == 0, F.array_distinct(each("tenderer"))).alias("tenderers"), each("item").alias("items"),
+        F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("startDate")).alias("tenderPeriod"), F.when(key % 11 != 0, F.size("tenderers")).alias("numberOfTenderers"),
+        F.when(key % 2 == 0, F.col("tenderers")).alias("tenderers"), each("item").alias("items"),
     )
-    awards = F.filter(each("award"), lambda a: a.isNotNull())
     compiled = F.struct(
         F.concat(F.lit("o"), key).alias("ocid"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.struct(F.date_format("o_orderdate", "yyyy-MM").alias("id")).alias("dataSegmentation"),
-        F.struct(cust.alias("id"), F.col("c_name").alias("name")).alias("buyer"), F.array(other, buyer).cast(f"array<{PARTY}>").alias("parties"), tender.alias("tender"), F.when(F.size(awards) > 0, awards).alias("awards"),
+        F.struct(cust.alias("id"), F.col("c_name").alias("name")).alias("buyer"), F.array(other, buyer).cast(f"array<{PARTY}>").alias("parties"), tender.alias("tender"), F.when(F.size("awards") > 0, F.col("awards")).alias("awards"),
     )
     return orders.select(F.when(key % 23 != 0, F.concat(F.lit("o"), key)).alias("ocid"), each("release").alias("releases"), compiled.alias("compiledRelease"))
 

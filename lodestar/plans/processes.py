@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestar.functions.dates import utc_timestamp
 from lodestar.functions.text import accent_key, blank, first_join, is_short, literal_newlines_out, lost_quotes, mojibake, repaired, sorted_join, squeeze
-from lodestar.operators.dedupe import changed_versions, latest_per_key, values_per_key, version_groups
+from lodestar.operators.dedupe import changed_versions, latest_per_key, values_per_key, with_version_kinds
 from lodestar.operators.lookups import aliased, cascade, filled_by_mode, mapped, spelling_variants
 from lodestar.operators.quantiles import same_keys
 from lodestar.schemas import PROCESS, fields
+from lodestar.sources.tables import kept
 
 
 def _first(array: Column, condition) -> Column:
@@ -30,6 +31,8 @@ def flattened(records: DataFrame, file_month: Column) -> DataFrame:
         _first(c["parties"], lambda p: F.array_contains(F.coalesce(p["roles"], F.array().cast("array<string>")), "buyer")),
         _first(c["parties"], lambda p: p["id"] == c["buyer"]["id"]),
     )
+    # found once for the four columns that read it
+    records, buyer = records.withColumn("_buyer", buyer), F.col("_buyer")
     n = lambda array: F.coalesce(F.size(array), F.lit(0))
     size = lambda array: F.when(array.isNull(), 0).otherwise(n(array))
     suppliers = F.array_distinct(F.filter(F.flatten(F.transform(c["awards"], lambda a: F.transform(F.coalesce(a["suppliers"], F.expr("cast(array() as array<struct<id:string>>)")), lambda s: s["id"]))), lambda x: x.isNotNull()))
@@ -131,15 +134,14 @@ def with_repeats(df: DataFrame, rules: Rules) -> DataFrame:
     for state in rules.failed_states:
         failed = failed | F.coalesce(F.col("item_states").contains(state), F.lit(False))
     in_time = [F.asc_nulls_last("published"), F.asc_nulls_last("compiled_at"), F.asc("ocid")]
-    kinds = version_groups(df, ["buyer_id", "title"], in_time, failed, F.to_date("published"), F.col("description")).select("ocid", "version_kind", "is_current")
-    df = df.join(kinds, "ocid", "left").withColumns({"version_kind": F.coalesce("version_kind", F.lit("")), "is_current": F.coalesce("is_current", F.lit(True))})
+    df = with_version_kinds(df, ["buyer_id", "title"], "ocid", in_time, failed, F.to_date("published"), F.col("description"))
     # the same day and description again inside a group is the same process counted twice
     eligible = (F.col("version_kind") != "") & F.col("in_analysis")
-    same_day = W.partitionBy("buyer_id", "title", F.to_date("published"), "description", F.when(~eligible, F.col("ocid"))).orderBy(*newest)
+    same_day = W.partitionBy("buyer_id", "title", "_apart", F.to_date("published"), "description", F.when(~eligible, F.col("ocid"))).orderBy(*newest)
     again = eligible & (F.row_number().over(same_day) > 1)
     df = df.withColumn("_again", again)
     df = df.withColumns({"in_analysis": F.col("in_analysis") & ~F.col("_again"), "excluded_because": F.when(F.col("_again"), "registered again on the same day").otherwise(F.col("excluded_because"))})
-    return _warned(df, (F.col("version_kind") != "", "possible repeat of an earlier call")).drop("_tender_n", "_tender_at", "_again")
+    return _warned(df, (F.col("version_kind") != "", "possible repeat of an earlier call")).drop("_tender_n", "_tender_at", "_apart", "_again")
 
 
 def with_amounts(df: DataFrame, rules: Rules) -> DataFrame:
@@ -194,8 +196,11 @@ def accent_key_of(text: str) -> str:
 
 
 def validated(processes: DataFrame, rules: Rules) -> DataFrame:
-    """All rules in turn; as many rows as before."""
-    out = with_basics(processes, rules)
+    """All rules in turn; as many rows as before.
+
+    The rows are written once before: filling from the same buyer reads them twice.
+    """
+    out = with_basics(kept(processes, "processes"), rules)
     for rule in (with_repeats, with_amounts, with_descriptions, with_location):
         out = rule(out, rules)
     return out.withColumn("n_warnings", F.size("warnings"))
