@@ -64,22 +64,33 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.when(key % 23 != 0, F.concat(F.lit("o"), key)).alias("ocid"), each("release").alias("releases"), compiled.alias("compiledRelease"))
 
 
-def _archives(records: DataFrame) -> DataFrame:
-    """(path, content): the records as JSON packages, a ZIP for each part of the table."""
+#: Bytes of an archive after which its task begins another.
+ARCHIVE = 8 << 20
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        out, n = io.BytesIO(), 0
+def packages(batches: Iterator[pa.RecordBatch], name: str, most: int = ARCHIVE) -> Iterator[pa.RecordBatch]:
+    """ZIPs of one JSON package each, of about ``most`` bytes, however many records there are."""
+    runs = (batch.slice(i, 256).column(0).to_pylist() for batch in batches for i in range(0, batch.num_rows, 256))
+    k, run = 0, next(runs, None)
+    while run:
+        out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("package.json", "w", force_zip64=True) as member:
             member.write(b'{"uri": "records", "records": [')
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    member.write((", " if n else "").encode() + text.encode())
-                    n += 1
+            member.write(", ".join(run).encode())
+            while (run := next(runs, None)) and out.tell() < most:
+                member.write((", " + ", ".join(run)).encode())
             member.write(b'], "publisher": {"records": []}}')
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{TaskContext.get().partitionId()}.zip"]), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{name}-{k}.zip"]), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
+        k += 1
+
+
+def _archives(records: DataFrame) -> DataFrame:
+    """(path, content): the records as JSON packages in ZIPs, one or more for each part of the table."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        yield from packages(batches, f"part-{TaskContext.get().partitionId()}")
 
     return records.select(F.to_json(F.struct(*records.columns)).alias("json")).mapInArrow(pack, "path string, content binary")
 
