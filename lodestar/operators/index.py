@@ -1,10 +1,11 @@
 """The vector table: what must be embedded, what is stale, and its replacement.
 
 The table has a folder per model and chunk configuration.  Its rows lie in
-buckets by the hash of their id; a commit file per version names the folder of
+buckets by the hash of their id; a commit file per version names the folders of
 every bucket.  ``build`` finds what changed in one pass, writes new folders for
 the buckets that hold a change, and then puts the next commit file in place by
-one rename.  Readers take the last commit file, so they see a whole version
+one rename.  Texts are dealt out once, to their buckets: what follows reads and
+writes bucket by bucket.  Readers take the last commit file, so they see a whole version
 before and after, and a build that breaks changes nothing for them.
 """
 
@@ -203,9 +204,25 @@ def _bucket(n: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
 
+#: Shares of a bucket that tasks work on.
+SHARES = 4
+
+
+def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` by ``bucket`` and ``_share`` of the ids, each in one task."""
+    share = F.pmod(F.shiftrightunsigned(F.xxhash64("id"), 32), F.lit(SHARES)).cast("int")
+    return df.withColumns({"bucket": _bucket(buckets), "_share": share}).repartition("bucket", "_share")
+
+
+def _folders(entry: dict, bucket: str) -> list[str]:
+    """A bucket's folders; commits of before name one without a list."""
+    named = entry["folders"][bucket]
+    return [named] if isinstance(named, str) else named
+
+
 def _rows(spark: SparkSession, path: str, entry: dict, buckets: list[int] | None = None) -> DataFrame:
     schema = T.StructType.fromJson(entry["schema"])
-    folders = [f"{path}/{folder}" for b, folder in entry["folders"].items() if buckets is None or int(b) in buckets]
+    folders = [f"{path}/{folder}" for b in entry["folders"] if buckets is None or int(b) in buckets for folder in _folders(entry, b)]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
@@ -219,38 +236,53 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Da
 def _changes(current: DataFrame, indexed: DataFrame | None, buckets: int) -> DataFrame:
     """What differs: rows of ``current`` to put, ids to drop, and ids with two contents, each with its bucket.
 
-    One join by id; the counts over an id use the join's own partitioning.
+    Indexed rows come as ids and hashes among those of ``current``, all dealt by bucket; windows over an id need no other order.
     """
-    if indexed is None:
-        both = current.withColumn("_old", F.lit(None).cast("string"))
-    else:
-        old = indexed.select(F.col("id").alias("_id"), F.col("hash").alias("_old"))
-        both = current.join(old, current["id"] == old["_id"], "full_outer").withColumn("id", F.coalesce("id", "_id")).drop("_id")
-    by_id = W.partitionBy("id")
-    what = (
-        F.when(F.min("hash").over(by_id) < F.max("hash").over(by_id), "clash").when(F.col("hash").isNull(), "drop").when(F.col("_old").isNull() | (F.col("_old") != F.col("hash")), "put")
-    )
-    first = F.row_number().over(by_id.orderBy("hash"))
-    seen = both.filter("id IS NOT NULL").withColumns({"what": what, "_n": first}).filter("_n = 1 AND what IS NOT NULL")
-    return seen.drop("_n", "_old").withColumn("bucket", _bucket(buckets))
-
-
-def _staged(spark: SparkSession, staging: str) -> list[str]:
-    """Folders of embedded rows that earlier steps, of this build or one that broke, have finished."""
-    where, files = files_of(spark, staging)
+    both = current.withColumn("_old", F.lit(None).cast("string"))
+    if indexed is not None:
+        both = both.unionByName(indexed.select("id", F.col("hash").alias("_old")), allowMissingColumns=True)
+    in_order = W.partitionBy("bucket", "_share", "id").orderBy(F.asc_nulls_last("hash"))
+    whole = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    old = F.max("_old").over(whole)
+    what = F.when(F.min("hash").over(whole) < F.max("hash").over(whole), "clash").when(F.col("hash").isNull(), "drop").when(old.isNull() | (old != F.col("hash")), "put")
+    seen = _dealt(both.filter("id IS NOT NULL"), buckets).withColumns({"what": what, "_n": F.row_number().over(in_order)}).filter("_n = 1 AND what IS NOT NULL")
+    return seen.drop("_n", "_old", "_share").select(*current.columns, "what", "bucket")
+
+
+def _unchanged(old: DataFrame, changes: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``old`` whose ids are not among ``changes``, by bucket."""
+    both = old.withColumn("_gone", F.lit(None).cast("boolean")).unionByName(changes.select("id", F.lit(True).alias("_gone")), allowMissingColumns=True)
+    gone = F.max("_gone").over(W.partitionBy("bucket", "_share", "id"))
+    return _dealt(both, buckets).withColumn("_any", gone).filter("_any IS NULL").select(*old.columns, "bucket")
+
+
+def _staged(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
+    """Bucket folders of embedded rows that earlier steps, of a build that broke, have finished: those that ``staging`` names."""
+    where, files = files_of(spark, f"{path}/staging")
     if not files.exists(where):
         return []
-    names = [f.getPath().getName() for f in files.listStatus(where)]
-    return [f"{staging}/{n}" for n in sorted(names) if n.startswith("vectors-") and files.exists(files_of(spark, f"{staging}/{n}/_SUCCESS")[0])]
+    names = sorted(m[1] for f in files.listStatus(where) if (m := re.fullmatch(r"rows-(\w+)", f.getPath().getName())))
+    done = [f"{path}/data/{n}" for n in names if files.exists(files_of(spark, f"{path}/data/{n}/_SUCCESS")[0])]
+    parts = {d: [f"{d}/bucket={b}" for b in _written(spark, d)] for d in done}
+    kinds = {f.name: f.dataType for f in schema}
+    # rows with other columns are of another table
+    return [f for some in parts.values() if some and {f.name: f.dataType for f in spark.read.parquet(some[0]).schema} == kinds for f in some]
+
+
+def _written(spark: SparkSession, folder: str) -> list[int]:
+    """The buckets that have rows in a folder of data."""
+    where, files = files_of(spark, folder)
+    return [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(where) if f.isDirectory() and "bucket=" in f.getPath().getName()]
 
 
 def build(current: DataFrame, path: str, make: Callable[[], Embedder], steps: int = 8, buckets: int = BUCKETS) -> DataFrame:
     """Brings the table in ``path`` up to ``current`` (id, text, metadata..., hash) and returns it.
 
     ``current`` is read once; everything after that reads the changes alone.
-    They are embedded in ``steps``, each kept below ``staging``: a build that
-    broke goes on with what is not there yet.  Buckets without a change keep
-    their folders.  With nothing changed no version is written.
+    They are embedded in ``steps``, each written to data of its own that
+    ``staging`` names: a build that broke goes on with what is not there yet.
+    Buckets without a change keep their folders.  With nothing changed no
+    version is written.
 
     Defined results: rows without an id are left out; repeated rows of one id
     and hash are one row; an id with two hashes is refused before anything is
@@ -264,8 +296,9 @@ def build(current: DataFrame, path: str, make: Callable[[], Embedder], steps: in
     buckets = entry["buckets"] if entry else buckets
     indexed = _rows(spark, path, entry) if entry else None
     found = f"{staging}/changes-{uuid.uuid4().hex}"
-    _changes(current, indexed, buckets).write.parquet(found)
-    changes = spark.read.parquet(found)
+    rows = _changes(current, indexed, buckets)
+    rows.write.option("compression", "zstd").partitionBy("bucket").parquet(found)
+    changes = spark.read.schema(rows.schema).parquet(found)
     touched = {r["bucket"]: r["puts"] for r in changes.groupBy("bucket").agg(F.count_if(F.col("what") == "put").alias("puts")).collect()}
     if clash := changes.filter("what = 'clash'").select("id").limit(3).collect():
         _removed(spark, found)
@@ -275,28 +308,33 @@ def build(current: DataFrame, path: str, make: Callable[[], Embedder], steps: in
         return indexed
 
     puts = changes.filter("what = 'put'").drop("what")
-    ready = _staged(spark, staging)
+    schema = T.StructType([*(f for f in puts.schema if f.name != "bucket"), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    written: list[str] = []
+
+    def write(df: DataFrame) -> None:
+        """A folder of data with the rows of ``df`` by bucket; of a build that breaks the next one finds it."""
+        name = uuid.uuid4().hex
+        where, files = files_of(spark, f"{staging}/rows-{name}")
+        files.create(where, False).close()
+        df.select(*wanted, "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/data/{name}")
+        written.append(f"data/{name}")
+
+    ready = _staged(spark, path, schema)
+    done = spark.read.schema(schema).parquet(*ready) if ready else None
     for step in range(steps):
         todo = puts.filter(F.col("bucket") % steps == step)
-        if ready:
-            todo = todo.join(spark.read.parquet(*ready).select("id", "hash"), ["id", "hash"], "left_anti")
-        embedded(todo.select("id", "text", "hash"), "text", make).select("id", "hash", "embedding").write.parquet(f"{staging}/vectors-{uuid.uuid4().hex}")
-
-    vectors = spark.read.parquet(*_staged(spark, staging)).dropDuplicates(["id", "hash"])
-    fresh = puts.join(vectors, ["id", "hash"]).select(*wanted, "bucket")
+        if done is not None:
+            todo = todo.join(done.select("id", "hash"), ["id", "hash"], "left_anti")
+        write(embedded(todo, "text", make))
+    if done is not None:
+        write(_dealt(done.join(puts.select("id", "hash"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]), buckets))
     if entry:
-        old = _rows(spark, path, entry, list(touched)).withColumn("bucket", _bucket(buckets))
-        fresh = fresh.unionByName(old.join(changes.select("id"), "id", "left_anti").select(*wanted, "bucket"))
-    name = f"data/{uuid.uuid4().hex}"
-    spark.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {rows}", rows=fresh).write.partitionBy("bucket").parquet(f"{path}/{name}")
-    where, files = files_of(spark, f"{path}/{name}")
-    written = {int(f.getPath().getName().split("=")[1]) for f in files.listStatus(where) if f.isDirectory() and "bucket=" in f.getPath().getName()}
-    folders = dict(entry["folders"]) if entry else {}
-    for b in touched:
-        folders.pop(str(b), None)
-    folders |= {str(b): f"{name}/bucket={b}" for b in written}
-    schema = fresh.drop("bucket").schema.jsonValue()
-    commit(spark, path, (known or [0])[-1] + 1, {"buckets": buckets, "folders": folders, "schema": schema})
+        write(_unchanged(_rows(spark, path, entry, list(touched)), changes, buckets))
+    folders = {b: f for b, f in entry["folders"].items() if int(b) not in touched} if entry else {}
+    for name in written:
+        for b in sorted(_written(spark, f"{path}/{name}")):
+            folders.setdefault(str(b), []).append(f"{name}/bucket={b}")
+    commit(spark, path, (known or [0])[-1] + 1, {"buckets": buckets, "folders": folders, "schema": schema.jsonValue()})
     _removed(spark, staging)
     return open_index(spark, path)
 
@@ -312,7 +350,7 @@ def vacuumed(spark: SparkSession, path: str, keep: int = 2) -> int:
     For a time when no build runs and no reader is on an older version.
     """
     known = versions(spark, path)
-    named = {folder for v in known[-keep:] for folder in committed(spark, path, v)["folders"].values()}
+    named = {folder for v in known[-keep:] for entry in [committed(spark, path, v)] for b in entry["folders"] for folder in _folders(entry, b)}
     gone = 0
     for v in known[:-keep]:
         _removed(spark, f"{path}/commits/{v:06d}.json")
