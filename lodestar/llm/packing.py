@@ -40,7 +40,7 @@ TIERS = (256, 512, 1024)
 STEP_TOKENS = 8 * WINDOW
 RESERVE = 8 * WINDOW
 #: Bytes of text that are encoded at once.
-RUN_BYTES = 3 << 20
+RUN_BYTES = 8 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_id long"
 
 
@@ -55,19 +55,21 @@ class Encoder:
 
     Byte-level BPE never joins over a single blank between two other
     characters, so texts are cut there and every distinct cut is looked up
-    once.  Cuts not met before go through the tokenizer in one joined text;
-    the bytes that each id stands for say where one cut ends.  Known cuts are
-    kept in two tables: when the newer holds half of ``KNOWN`` it becomes the
-    older one, and cuts that are met again move from there, so frequent ones
-    stay.
+    once.  Cuts not met before go through the tokenizer ``AT_ONCE`` in a joined text;
+    the bytes that each id stands for say where one cut ends.  The ``KNOWN``
+    cuts met most often, with older meetings counting half as much at every
+    run of texts, are kept with their ids as Arrow columns.
     """
 
-    KNOWN, LONGEST = 1 << 18, 64
+    KNOWN, LONGEST, AT_ONCE = 1 << 18, 64, 1 << 15
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        # a cut goes through once, so the tokenizer's own table of words would only cost time
+        self.tokenizer.model._resize_cache(0)
+        self.cuts, self.parts, self.met = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # in the vocabulary one character stands for one byte
         self.n_bytes = np.array([added.get(i) or len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
@@ -76,25 +78,31 @@ class Encoder:
         # the fast form leaves out offsets, which nothing here reads
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def learn(self, cuts: list[str]) -> None:
-        """Remembers the ids of each of ``cuts`` after a blank."""
-        raw, at = self.ids("".join([" " + c for c in cuts])), 0
-        ends = np.cumsum(np.array([len(c.encode()) + 1 for c in cuts], dtype=np.int64))
+    def learn(self, cuts: pa.Array) -> pa.Array:
+        """The ids of each of ``cuts`` after a blank, from the tokenizer."""
+        whole = pc.binary_join(pa.LargeListArray.from_arrays([0, len(cuts)], cuts), " ")[0].as_py()
+        raw = self.ids(" " + whole)
+        ends = np.cumsum(pc.binary_length(cuts).to_numpy().astype(np.int64) + 1)
         n_ids = np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(raw, "<u4")]), ends) + 1
-        for cut, end in zip(cuts, (4 * n_ids).tolist(), strict=True):
-            self.known[cut] = raw[at:end]
-            at = end
-
-    def after_blank(self, cuts: list[str]) -> list[bytes]:
-        if len(self.known) >= self.KNOWN // 2:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        if missing := [c for c in cuts if c not in known]:
-            self.known |= {c: older[c] for c in missing if c in older}
-            if new := [c for c in missing if c not in older and len(c) <= self.LONGEST]:
-                self.learn(new)
-        get = self.known.get
-        return [get(c) or self.ids(" " + c) for c in cuts]
+        bounds = np.concatenate([[0], 4 * n_ids]).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+
+    def after_blank(self, cuts: pa.Array, times: np.ndarray) -> pa.Array:
+        """The ids of each of the distinct ``cuts`` after a blank; ``times`` is how often each was met."""
+        known = self.cuts.cast(cuts.type)
+        place = pc.index_in(cuts, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+        missing = place < 0
+        new = cuts.filter(pa.array(missing))
+        place[missing] = len(known) + np.arange(len(new))
+        learned = [self.learn(new.slice(i, self.AT_ONCE)) for i in range(0, len(new), self.AT_ONCE)]
+        known, parts = pa.concat_arrays([known, new]), pa.concat_arrays([self.parts, *learned])
+        met = np.concatenate([self.met // 2, np.zeros(len(new), np.int64)])
+        met[place] += times
+        keep = np.flatnonzero(pc.binary_length(known).to_numpy() <= self.LONGEST)
+        if len(keep) > self.KNOWN:
+            keep = keep[np.argpartition(-met[keep], self.KNOWN)[: self.KNOWN]]
+        self.cuts, self.parts, self.met = known.take(pa.array(keep)), parts.take(pa.array(keep)), met[keep]
+        return parts.take(pa.array(place))
 
     def many(self, column: pa.Array) -> tuple[bytes, np.ndarray]:
         """(little-endian ids of all texts, the bytes before each text)."""
@@ -103,12 +111,11 @@ class Encoder:
         lists = pc.split_pattern(column.fill_null(""), " ")
         at = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        cuts, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        cuts, code = coded.dictionary, coded.indices.to_numpy()
         # white space at a cut's edge may be one token with the blank beside it
-        loose = np.zeros((2, len(cuts)), dtype=bool)
-        for i in [i for i, c in enumerate(cuts) if not c or c.strip() != c]:
-            loose[:, i] = not cuts[i] or cuts[i][0].isspace(), not cuts[i] or cuts[i][-1].isspace()
-        loose = loose[1, code[:-1]] | loose[0, code[1:]]
+        size = pc.binary_length(cuts).to_numpy()
+        begins, ends = ((size == 0) | (pc.binary_length(trim(cuts)).to_numpy() < size) for trim in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace))
+        loose = ends[code[:-1]] | begins[code[1:]]
         loose[at[1:-1] - 1] = False  # from one text to the next there is no blank
         joined = np.zeros(len(column), dtype=bool)
         joined[np.searchsorted(at, np.flatnonzero(loose), side="right") - 1] = True
@@ -116,22 +123,25 @@ class Encoder:
         first[at[:-1]] = True
         # texts with such cuts, and the first cut of every text, are encoded as they are
         inner = ~first & ~np.repeat(joined, np.diff(at))
-        used = np.flatnonzero(np.bincount(code[inner], minlength=len(cuts)))
-        parts = self.after_blank([cuts[i] for i in used])
+        times = np.bincount(code[inner], minlength=len(cuts))
+        used = np.flatnonzero(times)
+        parts = self.after_blank(cuts.take(pa.array(used)), times[used])
         place = np.zeros(len(cuts), dtype=np.int64)
         place[used] = np.arange(len(used))
         which = np.full(len(code), -1, dtype=np.int64)
         which[inner] = place[code[inner]]
         which[at[:-1]] = len(parts) + np.arange(len(column))
-        parts += [self.ids(x) for x in self._alone(column, cuts, code, at, joined)]
-        n = np.where(which >= 0, np.array([len(x) for x in parts])[which], 0)
-        raw = b"".join(map(parts.__getitem__, which[which >= 0].tolist()))
-        return raw, np.concatenate([[0], np.cumsum(n)])[at]
+        alone = pa.array([self.ids(x) for x in self._alone(column, cuts, code, at, joined)], pa.large_binary())
+        there = which >= 0
+        whole = pa.concat_arrays([parts, alone]).take(pa.array(which[there]))
+        _, bounds, raw = whole.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[: len(whole) + 1]
+        return raw.to_pybytes()[: bounds[-1]] if raw else b"", bounds[np.concatenate([[0], np.cumsum(there)])[at]]
 
     @staticmethod
-    def _alone(column: pa.Array, cuts: list[str], code: np.ndarray, at: np.ndarray, joined: np.ndarray) -> Iterator[str]:
+    def _alone(column: pa.Array, cuts: pa.Array, code: np.ndarray, at: np.ndarray, joined: np.ndarray) -> Iterator[str]:
         for row, whole in enumerate(joined.tolist()):
-            yield column[row].as_py() if whole else cuts[code[at[row]]]
+            yield (column[row] if whole else cuts[int(code[at[row]])]).as_py()
 
 
 def encoder(path: str) -> Encoder:

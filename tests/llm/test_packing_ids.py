@@ -46,3 +46,25 @@ def test_pieces_with_added_tokens(spark):
     for r in got:
         assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
     assert all(sum(r.length for r in got if r.doc_id == i) == len(ids[i]) for i in ids)
+
+
+class Small(Encoder):
+    KNOWN, AT_ONCE = 60, 7
+
+    def ids(self, text):
+        self.asked.append(text)
+        return super().ids(text)
+
+
+def test_known_cuts_and_what_is_encoded_at_once_stay_bounded():
+    t, encode = json_tokenizer(), Small(default_tokenizer())
+    for turn in range(3):
+        encode.asked = []
+        made = [" ".join(f"often{j % 5} once{turn}x{i}x{j}" for j in range(40)) + " " + "long" * 30 for i in range(12)]
+        ids, at = encode.many(pa.array(made))
+        assert [np.frombuffer(ids[a:b], "<u4").tolist() for a, b in zip(at, at[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in made]
+        assert max(len(x.split()) for x in encode.asked) <= Small.AT_ONCE
+        assert len(encode.cuts) == len(encode.parts) == len(encode.met) <= Small.KNOWN
+        assert {f"often{k}" for k in range(5)} <= set(encode.cuts.to_pylist()) and max(map(len, encode.cuts.to_pylist())) <= Small.LONGEST
+        # each text's first cut goes alone; other frequent cuts are not asked for again
+        assert turn == 0 or not any("often" in x for x in encode.asked if x.startswith(" "))
