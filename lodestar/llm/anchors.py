@@ -14,9 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from lodestar.llm.wordhash import CHUNK, _Tables, mix, runs, utf8_parts
+from lodestar.llm.wordhash import _Tables, mix, runs, utf8_parts
 
 GRAM = 32
+#: Bytes of text at once; eight for each must fit a core's cache.
+CHUNK = 1 << 17
 
 
 class Anchorer:

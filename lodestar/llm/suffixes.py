@@ -21,9 +21,9 @@ string a row, copies counted, and is sorted likewise.
 
 Defined results: null text is empty; texts under ``LENGTH`` bytes lose
 nothing; texts are worked on whole; ties, equal texts and repeated rows are
-repeats of each other; rows without id are told apart by their texts, and
-rows equal in id and text get equal results; an empty table gives no rows;
-further columns stay in ``remove_repeats``, are ignored by ``repeat_table``.
+repeats of each other; rows are named by their texts, so equal texts are cut
+once, counted, and get equal results; an empty table gives no rows; further
+columns stay in ``remove_repeats``, are ignored by ``repeat_table``.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm.anchors import Anchorer
 from lodestar.llm.scratch import dropped, stored
+from lodestar.llm.wordhash import utf8_parts
 
 LENGTH = 200
 PERIOD = 32
@@ -47,7 +48,7 @@ SLICE = 43
 BLOCK_BYTES = 1 << 20
 #: A suffix bucket over so many bytes is dealt by all bytes of its strings.
 WIDE_BYTES = BLOCK_BYTES
-KEY = "row_key"
+KEY = "text_key"
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -66,17 +67,37 @@ def _big_endian(text: np.ndarray, at: np.ndarray, n: int = PERIOD) -> list[np.nd
     return [np.ascontiguousarray(text[at[:, None] + np.arange(k, k + 8)]).view(">u8").ravel().astype(np.uint64) for k in range(0, n, 8)]
 
 
-def _dense(keys: list[np.ndarray]) -> np.ndarray:
-    """Ranks of rows in the order of ``keys``; equal rows, equal ranks."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=np.int64)
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
+def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``key``, and the classes of equal values in that order."""
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])[: len(key)])
+
+
+def _pair_order(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for two columns of ranks from -1: with the row number in the low bits a plain sort will do, where all fit one number."""
+    bits, low, high = (int(n).bit_length() for n in (len(one), two.max(initial=0) + 1, one.max(initial=0) + 1))
+    if bits + low + high > 63:
+        return _order(_ranks(*_order(one)) * (int(two.max(initial=0)) + 2) + two + 1)
+    packed = np.sort((one + 1) << (low + bits) | (two + 1) << bits | np.arange(len(one)))
+    both = packed >> bits
+    return packed & ((1 << bits) - 1), np.cumsum(np.concatenate([[False], both[1:] != both[:-1]])[: len(both)])
+
+
+def _ranks(order: np.ndarray, classes: np.ndarray) -> np.ndarray:
     ranks = np.empty(len(order), dtype=np.int64)
-    ranks[order] = np.cumsum(new)
+    ranks[order] = classes
     return ranks
 
 
+def _sorted_keys(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by ``keys``, whose words (unsigned) become ranks first, and the classes of equal rows in that order."""
+    out = _order(keys[0])
+    for key in keys[1:]:
+        out = _pair_order(_ranks(*out), _ranks(*_order(key)) if key.dtype == np.uint64 else key)
+    return out
+
+
 def cover_ranks(text: np.ndarray, cover: np.ndarray) -> np.ndarray:
     """For each sampled place, the rank of its next ``RANKED`` bytes in the block, else -1.
 
@@ -85,10 +106,10 @@ def cover_ranks(text: np.ndarray, cover: np.ndarray) -> np.ndarray:
     n = len(text) - PERIOD
     places = np.concatenate([np.arange(r, n, PERIOD) for r in cover])
     ranks = np.full(len(text) + RANKED, -1, dtype=np.int64)
-    ranks[places] = _dense(_big_endian(text, places))
+    ranks[places] = _ranks(*_sorted_keys(_big_endian(text, places)))
     step = PERIOD
     while step < RANKED:
-        ranks[places] = _dense([ranks[places], ranks[places + step]])
+        ranks[places] = _ranks(*_pair_order(ranks[places], ranks[places + step]))
         step *= 2
     return ranks
 
@@ -97,23 +118,17 @@ def block_classes(text: np.ndarray, starts: np.ndarray, groups: np.ndarray, leng
     """Sorted order of the strings at ``starts`` inside ``groups``, and their classes in that order.
 
     Strings of one group start at one residue of ``PERIOD``, so a group has
-    one offset to the next sampled place.
+    one offset to its first sampled place, and one to the last whose rank ends
+    with the string or before.
     """
     cover = difference_cover(PERIOD)
     ranks = cover_ranks(text, cover)
-    to_sample = np.array([min((c - r) % PERIOD for c in cover) for r in range(PERIOD)])
-    first = to_sample[starts % PERIOD]
-    # sampled places a period apart, the last so that its rank ends with the string or less than a period before
-    last = first + (length - RANKED - first) // PERIOD * PERIOD
+    ahead, behind = (np.array([min(way * (c - r) % PERIOD for c in cover) for r in range(PERIOD)]) for way in (1, -1))
+    first, rest = ahead[starts % PERIOD], behind[(starts + length - RANKED) % PERIOD]
     # bytes before the first rank and after the last one
-    rest = int((length - RANKED - last).max(initial=0))
-    head, tail = _big_endian(text, starts, int(first.max(initial=0))), _big_endian(text, starts + length - -(-rest // 8) * 8, rest)
-    keys = [groups, *head, ranks[starts + first], ranks[starts + last], *tail]
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=np.int64)
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
-    return order, np.cumsum(new)
+    n_head, n_tail = int(first.max(initial=0)), int(rest.max(initial=0))
+    head, tail = _big_endian(text, starts, n_head), _big_endian(text, starts + length - -(-n_tail // 8) * 8, n_tail)
+    return _sorted_keys([groups, *head, ranks[starts + first], ranks[starts + length - RANKED - rest], *tail])
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
@@ -127,77 +142,80 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(read, f"{KEY} binary, lo int, hi int, anchor int, bucket long")
 
 
-def _row_key(doc_id: Column, text: Column) -> Column:
-    """128 bits of SHA-256 over id and text; a null id is no number."""
-    whole = F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("none")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
-    return F.substring(F.unhex(F.sha2(whole, 256)), 1, 16)
+def _text_key(text: Column) -> Column:
+    """128 bits of SHA-256: rows of one text lose the same bytes."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(_row_key(F.col("doc_id"), F.col("text")).alias(KEY), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(_text_key(F.col("text")).alias(KEY), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _batched(schema: str, rows: list[list]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(rows, types, strict=True)], names=list(names))
+def _each_once(texts: DataFrame) -> DataFrame:
+    return texts.groupBy(KEY).agg(F.any_value("text").alias("text"), F.count("*").alias("times"))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """(the row of each entry, the entries) of a column of lists of structs, null lists empty."""
+    return np.repeat(np.arange(len(column)), pc.list_value_length(column).fill_null(0).to_numpy()), column.flatten()
 
 
 def _slices(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """Every run in slices of up to ``SLICE`` strings.
+    """Every run in slices of up to ``SLICE`` strings, each text once; ``copies`` is how many rows have the text.
 
     ``piece`` names a slice's bytes and ``before``, the bytes from its start to
     the anchor.
     """
-    schema = f"suffix_bucket long, piece binary, {KEY} binary, start int, before int, size int"
+    schema = f"suffix_bucket long, piece binary, {KEY} binary, start int, before int, size int, copies long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            buckets, pieces, keys, starts, befores, sizes = out
-            for key, text, some in zip(batch.column(KEY).to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                for run in some.as_py():
-                    lo, hi, x = run["lo"], run["hi"], run["anchor"]
-                    name = run["bucket"] & (2**64 - 1)
-                    for k in range((x - hi) // SLICE, (x - lo) // SLICE + 1):
-                        near, far = k * SLICE, k * SLICE + SLICE - 1  # bytes from a string's start to the anchor
-                        start = max(lo, x - far)
-                        part = raw[start : min(hi, x - near) + LENGTH]
-                        core = raw[x - near : x - far + LENGTH]
-                        buckets.append(xxhash.xxh3_64_intdigest(core, name ^ k) - 2**63)
-                        pieces.append(hashlib.blake2b(part, digest_size=16, salt=bytes([x - start])).digest())
-                        keys.append(key)
-                        starts.append(start)
-                        befores.append(x - start)
-                        sizes.append(len(part))
-            yield _batched(schema, out)
-
-    return texts.join(lists, KEY).mapInArrow(cut, schema)
+            raw, offsets = utf8_parts(batch.column("text"))
+            whole = memoryview(raw)
+            row, runs = _flat(batch.column("runs"))
+            lo, hi, x = (runs.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "anchor"))
+            names = runs.field("bucket").to_numpy().view(np.uint64)
+            least = (x - hi) // SLICE
+            n = (x - lo) // SLICE - least + 1
+            run = np.repeat(np.arange(len(n)), n)
+            k = least[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            row, x = row[run], x[run]
+            near, far = k * SLICE, k * SLICE + SLICE - 1  # bytes from a string's start to the anchor
+            start, end = np.maximum(lo[run], x - far), np.minimum(hi[run], x - near) + LENGTH
+            at, before = offsets[row], x - start
+            seeds = names[run] ^ k.astype(np.uint64)
+            buckets = [xxhash.xxh3_64_intdigest(whole[a:b], seed) - 2**63 for a, b, seed in zip((at + x - near).tolist(), (at + x - far + LENGTH).tolist(), seeds.tolist(), strict=True)]
+            salts = [bytes([i]) for i in range(LENGTH)]
+            pieces = [hashlib.blake2b(whole[a:b], digest_size=16, salt=salts[d]).digest() for a, b, d in zip((at + start).tolist(), (at + end).tolist(), before.tolist(), strict=True)]
+            rows = pa.array(row)
+            numbers = [pa.array(c.astype(np.int32)) for c in (start, before, end - start)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(pieces, pa.binary()), batch.column(KEY).take(rows), *numbers, batch.column("times").take(rows)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return _each_once(texts).join(lists, KEY).mapInArrow(cut, schema)
 
 
 def _open_pieces(texts: DataFrame, slices: DataFrame) -> DataFrame:
     """(suffix_bucket, piece, copies, before, bytes) of suffix buckets with two slices or more, each name once."""
-    pieces = stored(slices.groupBy("suffix_bucket", "piece").agg(F.count("*").alias("copies"), F.min(F.struct(KEY, "start", "before", "size")).alias("one")), "suffix-pieces")
+    pieces = stored(slices.groupBy("suffix_bucket", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct(KEY, "start", "before", "size")).alias("one")), "suffix-pieces")
     several = stored(pieces.groupBy("suffix_bucket").agg(F.sum("copies").alias("n")).filter("n > 1").select("suffix_bucket"), "suffix-open")
     wanted = pieces.join(several, "suffix_bucket").select("suffix_bucket", "piece", "copies", "one.*")
-    lists = wanted.groupBy(KEY).agg(F.collect_list(F.struct("suffix_bucket", "piece", "copies", "before", "start", "size")).alias("pieces"))
-    # repeated rows are one here: their slices are counted already
-    one_each = texts.groupBy(KEY).agg(F.any_value("text").alias("text"))
+    # written before texts are dealt out, so that their shuffle is alone on disk
+    lists = stored(wanted.groupBy(KEY).agg(F.collect_list(F.struct("suffix_bucket", "piece", "copies", "before", "start", "size")).alias("pieces")), "suffix-places")
+    dropped(pieces, several)
     schema = "suffix_bucket long, piece binary, copies long, before int, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for text, some in zip(batch.column("text"), batch.column("pieces"), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                for p in some.as_py():
-                    for column, value in zip(out, (p["suffix_bucket"], p["piece"], p["copies"], p["before"], raw[p["start"] : p["start"] + p["size"]]), strict=True):
-                        column.append(value)
-            yield _batched(schema, out)
-
-    out = stored(one_each.join(lists, KEY).mapInArrow(cut, schema), "suffix-bytes")
-    dropped(pieces, several)
+            raw, offsets = utf8_parts(batch.column("text"))
+            whole = raw.tobytes()
+            row, some = _flat(batch.column("pieces"))
+            begin = offsets[row] + some.field("start").to_numpy()
+            parts = [whole[a:b] for a, b in zip(begin.tolist(), (begin + some.field("size").to_numpy()).tolist(), strict=True)]
+            names = [c.split()[0] for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(some.field(c) for c in names[:-1]), pa.array(parts, pa.binary())], names=names)
+
+    out = stored(_each_once(texts).join(lists, KEY).mapInArrow(cut, schema), "suffix-bytes")
+    dropped(lists)
     return out
 
 
@@ -279,7 +297,7 @@ def _repeats(pieces: DataFrame) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(row_key, starts): where repeated strings start, as (lo, hi) ranges of each document."""
+    """(text_key, starts): where repeated strings start, as (lo, hi) ranges of each text."""
     texts = _keyed(docs)
     runs = stored(_anchored(texts), "suffix-runs")
     # tables are written where the next join is to split a key that many rows share
@@ -292,7 +310,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     found = stored(_repeats(pieces), "suffix-found")
     dropped(pieces)
     ranges = slices.select(KEY, "start", "piece").join(found, "piece").select(KEY, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    starts = stored(ranges.groupBy(KEY).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("starts")), "suffix-starts")
+    starts = stored(ranges.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("starts")), "suffix-starts")
     dropped(slices, found)
     return starts
 
@@ -313,22 +331,39 @@ def kept_parts(raw: bytes, starts: list[dict]) -> tuple[list[bytes], int, int]:
     return parts, removed, spans
 
 
+def removed_spans(starts: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the removed runs of a batch, whose texts lie at ``offsets`` in its bytes."""
+    row, ranges = _flat(starts)
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 3
+    lo, hi = offsets[row] + ranges.field("lo").to_numpy(), offsets[row] + ranges.field("hi").to_numpy() + LENGTH
+    reach = np.maximum.accumulate(hi)
+    new = np.concatenate([[True], (lo[1:] > reach[:-1]) | (row[1:] != row[:-1])])
+    return row[new], lo[new], reach[np.concatenate([new[1:], [True]])]
+
+
 def repeat_table(docs: DataFrame) -> DataFrame:
     """Each document's bytes, what was removed, and the digest of what stays."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
-                raw = (text.as_py() or "").encode()
-                parts, removed, spans = kept_parts(raw, starts.as_py() or [])
-                rows.append((len(raw), removed, spans, hashlib.sha256(b"".join(parts)).hexdigest()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.string()), strict=True))], names=[x.split()[0] for x in schema.split(", ")])
+            raw, offsets = utf8_parts(batch.column("text"))
+            row, first, last = removed_spans(batch.column("starts"), offsets)
+            n, whole = len(batch), memoryview(raw)
+            removed, spans = np.bincount(row, weights=last - first, minlength=n).astype(np.int64), np.bincount(row, minlength=n)
+            ends, firsts, lasts, i, kept = np.cumsum(spans).tolist(), first.tolist(), last.tolist(), 0, []
+            for at, end, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), ends, strict=True):
+                hashed = hashlib.sha256()
+                while i < stop:
+                    hashed.update(whole[at : firsts[i]])
+                    at, i = lasts[i], i + 1
+                hashed.update(whole[at:end])
+                kept.append(hashed.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (np.diff(offsets), removed, spans)), pa.array(kept, pa.string())], names=[x.split()[0] for x in schema.split(", ")])
 
     starts = repeated_starts(docs)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _row_key(F.col("doc_id"), F.col("text")).alias(KEY))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _text_key(F.col("text")).alias(KEY))
     return keyed.join(starts, KEY, "left").select("doc_id", "text", "starts").mapInArrow(digest, schema)
 
 
@@ -338,7 +373,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns, schema = docs.columns, docs.schema
     plain = docs.toDF(*(f"in_{i}" for i in range(len(columns))))
     at = columns.index("text")
-    keyed = plain.withColumn(KEY, _row_key(F.col(f"in_{columns.index('doc_id')}"), F.col(f"in_{at}")))
+    keyed = plain.withColumn(KEY, _text_key(F.col(f"in_{at}")))
     joined = keyed.join(starts, KEY, "left").drop(KEY)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

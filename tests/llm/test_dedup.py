@@ -242,6 +242,30 @@ def test_rows_without_id_are_told_apart_by_their_texts(spark):
     assert _sorted(suffixes.repeat_table(df).collect()) == _sorted(brute_repeats(texts))
 
 
+def test_equal_texts_are_cut_once_and_counted(spark, monkeypatch):
+    tables, stored = {}, suffixes.stored
+    monkeypatch.setattr(suffixes, "dropped", lambda *_: None)
+    monkeypatch.setattr(suffixes, "stored", lambda df, name: tables.setdefault(name, stored(df, name)))
+    text = prose(40, 120)
+    texts = [(i, text) for i in range(6)] + [(6, prose(41, 90)), (7, prose(42, 70) + text[:500]), (8, "x" * 199), (9, text)]
+    got = suffixes.repeat_table(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert _sorted(got) == _sorted(brute_repeats(texts))
+    slices = tables["suffix-slices"].collect()
+    assert len({(r.piece, r.start, r.copies) for r in slices if r.copies == 7}) == sum(r.copies == 7 for r in slices) > 0
+    assert {r.copies for r in slices} == {1, 7}
+
+
+def test_ranks_by_plain_sorts_order_like_lexsort():
+    rng = np.random.default_rng(5)
+    for top in (3, 1 << 20, 1 << 45):  # the last does not fit one number
+        keys = [rng.integers(0, 4, 4000), rng.integers(0, 1 << 64, 50, dtype=np.uint64)[rng.integers(0, 50, 4000)], rng.integers(-1, top, 9)[rng.integers(0, 9, 4000)], rng.integers(-1, top, 9)[rng.integers(0, 9, 4000)]]
+        order, classes = suffixes._sorted_keys(keys)
+        rows = list(zip(*(k.tolist() for k in keys), strict=True))
+        assert [rows[i] for i in order] == sorted(rows)
+        assert classes.tolist() == np.cumsum([0, *(rows[a] != rows[b] for a, b in zip(order, order[1:], strict=False))]).tolist()
+    assert [len(x) for x in suffixes._sorted_keys([np.zeros(0, np.int64), np.zeros(0, np.uint64)])] == [0, 0]
+
+
 def test_removed_text_keeps_columns(spark):
     out = suffixes.remove_repeats(documents(spark))
     assert out.columns == documents(spark).columns
